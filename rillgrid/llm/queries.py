@@ -4,26 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rillgrid.llm import minhash_dedup, quality_rules
+from rillgrid.llm import language_model, line_dedup, minhash_dedup, mixing, mtree, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text leaves 1 on division by n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n == 1
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"), _fold(5))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(3))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_OP3 = """
+WITH lines AS (
+  SELECT DISTINCT doc_id, coalesce(source, chr(1)) AS source, trim(x, chr(32) || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM documents)
+), boiler AS (
+  SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), hit AS (
+  SELECT doc_id, list(line) AS gone FROM lines JOIN boiler USING (line) WHERE doc_id <> first_id GROUP BY doc_id
+)
+SELECT d.doc_id, d.source,
+  CASE WHEN gone IS NULL THEN text ELSE
+    array_to_string(list_filter(string_split(text, chr(10)), x -> NOT list_contains(gone, trim(x, chr(32) || chr(9) || chr(13)))), chr(10)) END AS text
+FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id
+"""
+
+_OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where SQL gives the same rows; tests/llm compares the others with brute force."""
+    return {"op3_line_dedup": _OP3, "op10_exact_topk": _OP10}
