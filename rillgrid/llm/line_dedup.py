@@ -60,5 +60,6 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = docs.toDF(*names.values())
     id_, text = F.col(names[id_col]), F.col(names[text_col])
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(_trimmed(x)))), "\n")
-    joined = plain.join(drops.withColumnRenamed("id", "drop_id"), id_.eqNullSafe(F.col("drop_id")), "left")
+    # Texts and drops meet in a shuffle at every size: a broadcast of small drops would only hide what large ones cost.
+    joined = plain.hint("merge").join(drops.withColumnRenamed("id", "drop_id"), id_.eqNullSafe(F.col("drop_id")), "left")
     return joined.select(*(F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()))
