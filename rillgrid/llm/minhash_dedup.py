@@ -8,10 +8,13 @@ circularly by k gives coordinate k: min over the set of pi(sigma(x) + k).
 
 Nothing is capped. Equal sets collapse into one class before banding. In each
 bucket all members are first compared with one leader (linear in the bucket);
-the links confirmed so are closed into components. Only pairs of a bucket that
-lie in different components and that the triangle inequality over the distances
-to the leader allows (Jaccard distance is a metric) are compared after that, so
-a bucket of near copies never emits its pairs. A link is confirmed on full sets.
+the links confirmed so are closed into components. After that a member is compared
+only with members of other components, and members of a bucket's largest component
+never with each other, so a bucket of near copies never emits its pairs. Jaccard
+distance is a metric: distances to the leader rule out pairs, and so do low bits of
+the coordinates (a pair at 0.75 falls below the limit once in 10^7). Members of an
+unsettled bucket of more than ``LARGE`` are dealt anew by 96 bands of 7 coordinates,
+which texts that merely share a passage seldom survive. A link is confirmed on full sets.
 
 Null ids are not linked, null and empty texts have no set; repeated rows of one
 id count once per row with the same result; an empty table gives an empty one.
@@ -29,6 +32,8 @@ from rillgrid.llm import components, tokens as tk
 from rillgrid.llm.scratch import written
 
 BANDS, ROWS, WIDTH = 32, 4, 5
+LARGE = 64  # members of an unsettled bucket that is dealt anew
+FINE_BANDS, FINE_ROWS, FINE = 96, 7, 1024
 BROADCAST_IDS = 500_000  # more ids than these go through a shuffle
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,13 +76,13 @@ def _pi(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray, coordinates: int) -> np.ndarray:
-    """(texts, coordinates) of 32 bits. Texts without a set must be left out."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, coordinates: int, shift: int = 0) -> np.ndarray:
+    """(texts, coordinates) of 32 bits, of the shifts from shift on. Texts without a set must be left out."""
     sigma = (tk.mix(sets, 7) >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(offsets) - 1, coordinates), np.uint32)
     with np.errstate(over="ignore"):
         for k in range(coordinates):
-            out[:, k] = np.minimum.reduceat(_pi(sigma + np.uint32(k)), offsets[:-1])
+            out[:, k] = np.minimum.reduceat(_pi(sigma + np.uint32(shift + k)), offsets[:-1])
     return out
 
 
@@ -91,6 +96,50 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return tk.mix(key + np.arange(bands, dtype=np.uint64)[None, :] * _ODD)
 
 
+def packed(signature: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of each coordinate, packed into longs: a row for each text."""
+    per = 64 // bits
+    parts = (signature & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(signature), -1, per)
+    return np.bitwise_or.reduce(parts << (np.arange(per, dtype=np.uint64) * np.uint64(bits)), axis=2)
+
+
+def lists_of(some: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list of longs for each place: the next row of values where some is true, else empty."""
+    ends = np.r_[0, np.cumsum(some * values.shape[1])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel().view(np.int64)))
+
+
+def _unlike(longs: int, bits: int, coordinates: int, share: float) -> str:
+    """SQL: whether the packed bits la and lb of two texts agree too seldom for a similarity of share (5.3 standard deviations)."""
+    agree = share + (1 - share) / 2**bits
+    most = coordinates - int(coordinates * agree - 5.3 * (coordinates * agree * (1 - agree)) ** 0.5)
+    spots = sum(1 << (i * bits) for i in range(64 // bits))
+    mask = spots - (1 << 64) if spots >> 63 else spots
+
+    def differ(i: int) -> str:
+        x = f"(la[{i}] ^ lb[{i}])"
+        return f"bit_count({x})" if bits == 1 else f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {mask}L)"
+
+    return f"({' + '.join(differ(i) for i in range(longs))}) > {most}"
+
+
+def _fine(width: int):
+    """For texts of unsettled large buckets: band keys and low bits of many more coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, d, o in tk.chunks(*tk.column(batch, "text"), tk.CHUNK // 4):
+                sets, at = shingles(d, o, width)
+                some = np.diff(at) > 0
+                keys, low = np.zeros((0, FINE_BANDS), np.uint64), np.zeros((0, FINE // 64), np.uint64)
+                if some.any():
+                    signature = signatures(sets, np.r_[at[:-1][some], len(sets)], FINE, 1 << 20)
+                    keys, low = band_keys(signature[:, : FINE_BANDS * FINE_ROWS], FINE_BANDS, FINE_ROWS), packed(signature, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_of(some, keys), lists_of(some, low)], names=["id", "bands", "low"])
+
+    return run
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,15 +148,16 @@ def _sketch(width: int, bands: int, rows: int):
                 size = np.diff(at)
                 some = np.flatnonzero(size)
                 h1, h2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-                keys = np.zeros((0, bands), np.uint64)
+                keys, low = np.zeros((0, bands), np.uint64), np.zeros((0, bands * rows // 16), np.uint64)
                 if len(some):
                     starts = at[:-1][some]
                     with np.errstate(over="ignore"):
                         h1[some] = np.add.reduceat(tk.mix(sets, 1), starts)
                         h2[some] = np.bitwise_xor.reduceat(tk.mix(sets, 2), starts)
-                    keys = band_keys(signatures(sets, np.r_[starts, len(sets)], bands * rows), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((size > 0) * bands)].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["id", "n_shingles", "h1", "h2", "bands"])
+                    signature = signatures(sets, np.r_[starts, len(sets)], bands * rows)
+                    keys, low = band_keys(signature, bands, rows), packed(signature, 4)
+                lists, lows = lists_of(size > 0, keys), lists_of(size > 0, low)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, lows], names=["id", "n_shingles", "h1", "h2", "bands", "low"])
 
     return run
 
@@ -151,6 +201,20 @@ def _distances(pairs: DataFrame, docs: DataFrame, width: int, name: str) -> Data
     return written(joined.mapInArrow(_confirm, f"a {kind}, b {kind}, both long, `union` long"), f"{name}-found")
 
 
+def _unsettled(placed: DataFrame, name: str) -> DataFrame:
+    """(band, members, major) of the buckets whose members lie in several components; major holds the most."""
+    held = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
+    return written(held.groupBy("band").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("major")).where("parts > 1").drop("parts"), name)
+
+
+def _across(members: DataFrame, near: str) -> DataFrame:
+    """Distinct (a, b), a < b, of one bucket and different components, where near holds. One of each pair is outside its bucket's largest component."""
+    left = members.where("c != major").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("far").alias("fa"), F.col("low").alias("la"))
+    right = members.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("major").alias("m"), F.col("far").alias("fb"), F.col("low").alias("lb"))
+    found = left.join(right, "band").where(f"cx != cy AND (cy = m OR x < y) AND {near}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with an equal set), component_id, kept: a row for each row.
 
@@ -160,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = similarity
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = written(source.mapInArrow(_sketch(width, bands, rows), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
+    sketches = written(source.mapInArrow(_sketch(width, bands, rows), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>"), "sketches")
     equal = ["n_shingles", "h1", "h2"]
     classes = sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     copied = written(classes.where("copies > 1").drop("copies"), "classes")
@@ -173,20 +237,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, width, "led")
     link = F.col("both") * den >= F.col("union") * num
     first = components.smallest_reachable(led.where(link).select("a", "b"))
-    # What a leader has not settled: members of one bucket in different components, as near to the leader as a link asks.
+    # What a leader has not settled: members of a bucket that lie in different components.
     far = (1 - F.col("both") / F.col("union")).alias("far")
+    in_one = first.select("id", F.col("component").alias("c"))
     placed = written(
         buckets.join(led.select(F.col("a").alias("leader"), F.col("b").alias("id"), far), ["leader", "id"], "left").where("id != leader")
-        .join(first.select("id", F.col("component").alias("c")), "id", "left").select("band", "id", F.coalesce("c", "id").alias("c"), "far"),
+        .join(in_one, "id", "left").select("band", "id", F.coalesce("c", "id").alias("c"), "far"),
         "placed",
     )
-    mixed = written(placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band"), "mixed")
-    gap = 1 - num / den + 1e-9
-    open_ = written(placed.join(mixed, "band", "left_semi").withColumn("cell", F.floor(F.col("far") / gap).cast("int")), "open")
-    left = open_.select("band", F.col("cell").alias("cell"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"))
-    right = open_.select("band", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("far").alias("fb"))
-    rest = left.join(right, ["band", "cell"]).where(f"a < b AND ca != cb AND abs(fa - fb) <= {gap}").select("a", "b").distinct()
-    late = _distances(rest, source, width, "late")
+    open_ = written(placed.join(_unsettled(placed, "mixed"), "band"), "open")
+    lows = sketches.join(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids"), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
+    few = written(open_.where(f"members <= {LARGE}").join(lows, "id"), "few")
+    near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
+    rest = _across(few, near)
+    many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
+    chosen = source.join(F.broadcast(many.select("id")) if many.count() <= BROADCAST_IDS else many.select("id"), "id", "left_semi")
+    fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>").dropDuplicates(["id"]), "fine")
+    dealt = written(many.join(fine.select("id", F.explode("bands").alias("band")), "id"), "dealt")
+    again = dealt.join(_unsettled(dealt, "fine-mixed"), "band").join(fine.select("id", "low"), "id")
+    far_rest = _across(written(again.withColumn("far", F.lit(0.0)), "again"), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)}")
+    late = _distances(rest.unionByName(far_rest).distinct(), source, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
     return (
