@@ -8,8 +8,10 @@ executors would not see each other's files.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep_last: int = 0) -> None:
-    """Deletes the tables written so far; call it once results that read them are themselves written."""
-    drop, _TABLES[:] = _TABLES[: len(_TABLES) - keep_last], _TABLES[len(_TABLES) - keep_last :]
+@contextlib.contextmanager
+def scope() -> Iterator[list]:
+    """Collects the tables written inside, for release() once results that read them are themselves written."""
+    begin, held = len(_TABLES), []
+    try:
+        yield held
+    finally:
+        held += _TABLES[begin:]
+
+
+def release(tables: list | None = None) -> None:
+    """Deletes some of the tables, or at the end of the program all of them."""
+    drop = list(_TABLES if tables is None else tables)
+    _TABLES[:] = [x for x in _TABLES if x not in drop]
     for spark, path in drop:
         try:
             jvm = spark.sparkContext._jvm
