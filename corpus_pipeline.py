@@ -1,25 +1,56 @@
-"""A training corpus from raw documents: quality rules, line dedup, near-dedup, mixing, pieces."""
+"""A training corpus from raw documents: quality rules, line dedup, near-dedup, mixing, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and reread before the next one. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rillgrid.llm import line_dedup, minhash_dedup, mixing, pieces, quality_rules, scratch
 
-from rillgrid.llm import minhash_dedup, quality_rules, scratch
+ORACLE_SQL = None  # suffix arrays, signatures and pieces are beyond SQL; tests/llm compares with brute force
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+_used: list = []  # scratch tables of the stage before; its result has been written by the time the next begins
 
-ORACLE_SQL = None  # suffix arrays and signatures are beyond SQL; tests/llm compares with brute force
+
+def _staged(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    scratch.release(_used)
+    with scratch.scope() as held:
+        out = stage(docs)
+    _used[:] = held
+    return out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    return _staged(quality_rules.keep_good, docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without cross-site boilerplate lines; n_chars follows the text."""
+    return _staged(lambda x: line_dedup.remove_boilerplate(x).withColumn("n_chars", F.char_length("text").cast("long")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash_dedup.keep_one(docs)
+    return _staged(minhash_dedup.keep_one, docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, dealt to shards."""
+    return _staged(mixing.mix, docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and piece ids of each document of the mix."""
+    return _staged(lambda x: pieces.encode(x, pieces.Vocabulary.load(PIECES)), docs)
 
 
-STAGES = [("quality rules", quality), ("MinHash near-dedup", near_dedup)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mixture), ("SentencePiece encoding and decoding", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
