@@ -88,10 +88,10 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray
     return out
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(a row for each row: id, source, place (its hash), size; a row for each source: named, source_size, target, passes, cut), the first written.
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, int]:
+    """(a row for each row: id, source, place (its hash), size; a row for each source: named, source_size, target, passes, cut, deal; blocks of a pass).
 
-    A row is taken ``passes`` times, and once more if its place lies below ``cut``.
+    A row is taken ``passes`` times, and once more if its place lies below ``cut``; deal holds the shard of each of the source's blocks.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
@@ -104,7 +104,23 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     target = targets(size, weights, most)
     passes = {s: int(target[s] // size[s]) if size[s] else 0 for s in size}
     cut = _cuts(sized, {s: rest for s in size if (rest := target[s] - passes[s] * size[s]) > 0})
-    return sized, spark.createDataFrame([(s, size[s], float(target[s]), passes[s], cut.get(s, 0)) for s in size], "named string, source_size long, target double, passes int, cut long")
+    order = list(target)
+    blocks = max(1, min(BLOCKS, MOST_DEALT // (4 * max(1, len(order)))))
+    quotas = np.array([blocks * (passes[s] + (cut.get(s, 0) > 0)) for s in order], np.int64)
+    tree = splitting_tree(quotas, shards, seed)
+    table = []
+    for k, s in enumerate(order):
+        deal = np.zeros(quotas[k], np.int64)
+        deal[np.random.default_rng([seed, k]).permutation(quotas[k])] = np.repeat(np.arange(shards), tree[:, k])
+        table.append((s, size[s], float(target[s]), passes[s], cut.get(s, 0), deal.tolist()))
+    return sized, spark.createDataFrame(table, "named string, source_size long, target double, passes int, cut long, deal array<int>"), blocks
+
+
+def _shards(filled: str, blocks: int):
+    """The shards that a row's draws go to, one for each time that it is taken. filled: SQL, whether the row has a word."""
+    copies = f"(CASE WHEN {filled} THEN passes + CAST(place < cut AS INT) ELSE 0 END)"
+    block = f"CAST(p * {blocks} + least({blocks - 1}, floor(place * double({blocks}) / CASE WHEN p < passes THEN {SPACE}L ELSE cut END)) AS INT)"
+    return F.expr(f"CASE WHEN {copies} > 0 THEN transform(sequence(0, {copies} - 1), p -> deal[{block}]) ELSE CAST(array() AS array<int>) END")
 
 
 def _place(docs: DataFrame, seed: int):
@@ -141,35 +157,17 @@ def _cuts(sized: DataFrame, rest: dict[str | None, float]) -> dict[str | None, i
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     """docs with its columns, each row as often as it is taken, dealt to ``shards`` partitions and shuffled in each."""
-    spark = docs.sparkSession
-    sources = plan(docs, id_col, text_col, source_col, weights, most, seed)[1].collect()
-    parts = max(1, min(BLOCKS, MOST_DEALT // (4 * max(1, len(sources)))))
-    quotas = [parts * (r.passes + (r.cut > 0)) if r.target > 0 else 0 for r in sources]
-    tree = splitting_tree(np.array(quotas, np.int64), shards, seed) if quotas else np.zeros((shards, 0), np.int64)
-    heads, dealt = [], []
-    for k, (r, quota) in enumerate(zip(sources, quotas, strict=True)):
-        heads.append((r.named, k, r.passes, r.cut))
-        shard = np.repeat(np.arange(shards), tree[:, k])
-        block = np.random.default_rng([seed, k]).permutation(quota)
-        dealt += [(k, int(b), int(s)) for b, s in zip(block, shard, strict=True)]
+    _, sources, blocks = plan(docs, id_col, text_col, source_col, weights, most, seed, shards)
     names = [f"c{i}" for i in range(len(docs.columns))]
+    filled = f"{names[docs.columns.index(text_col)]} RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col(source_col).cast("string").alias("source"), _place(docs, seed).alias("place"))
-    head = F.broadcast(spark.createDataFrame(heads, "named string, number int, passes int, cut long"))
-    deal = F.broadcast(spark.createDataFrame(dealt, "number int, block int, shard int"))
-    copies = F.expr(f"CASE WHEN {_words_in(names[docs.columns.index(text_col)])} THEN passes + CAST(place < cut AS INT) ELSE 0 END")
-    drawn = rows.join(head, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    block = F.expr(f"CAST(pass * {parts} + floor(place * double({parts}) / CASE WHEN pass < passes THEN {SPACE}L ELSE cut END) AS INT)")
-    sharded = drawn.withColumn("block", block).join(deal, ["number", "block"]).withColumn("order", F.xxhash64(F.lit(seed), "place", "pass"))
-    return sharded.repartition(shards, "shard").sortWithinPartitions("shard", "order").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
-
-
-def _words_in(column: str) -> str:
-    return f"{column} RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'"
+    drawn = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("named"))).select(*names, "place", F.posexplode(_shards(filled, blocks)).alias("pass", "shard"))
+    order = F.xxhash64(F.lit(seed), "place", "pass")
+    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", order).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """id_col, size, source_size, target, taken for each row: the words that mix() takes of it, repeats counted."""
-    sized, sources = plan(docs, id_col, text_col, source_col, **options)
-    copies = F.expr("CASE WHEN size > 0 THEN passes + CAST(place < cut AS INT) ELSE 0 END")
-    joined = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("named")))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    """id_col, size, source_size, target, taken and shards for each row: the words that the mix takes of it, repeats counted, and where they go."""
+    sized, sources, blocks = plan(docs, id_col, text_col, source_col, **options)
+    joined = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("named"))).withColumn("shards", _shards("size > 0", blocks))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), "shards")
