@@ -75,16 +75,16 @@ WITH lines AS (
 )
 SELECT d.doc_id, d.source,
   CASE WHEN gone IS NULL THEN text ELSE
-    array_to_string(list_filter(string_split(text, chr(10)), x -> NOT list_contains(gone, trim(x, chr(32) || chr(9) || chr(13)))), chr(10)) END AS text
+    array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x, chr(32) || chr(9) || chr(13)))), chr(10)) END AS text
 FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id
 """
 
 _OP10 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
