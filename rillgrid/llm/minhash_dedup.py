@@ -14,7 +14,8 @@ never with each other, so a bucket of near copies never emits its pairs. Jaccard
 distance is a metric: distances to the leader rule out pairs, and so do low bits of
 the coordinates (a pair at 0.75 falls below the limit once in 10^7). Members of an
 unsettled bucket of more than ``LARGE`` are dealt anew by 96 bands of 7 coordinates,
-which texts that merely share a passage seldom survive. A link is confirmed on full sets.
+which texts that merely share a passage seldom survive; there the join itself compares
+the shingles, so that near misses of a large group become no rows. A link is confirmed on full sets.
 
 Null ids are not linked, null and empty texts have no set; repeated rows of one
 id count once per row with the same result; an empty table gives an empty one.
@@ -124,7 +125,7 @@ def _unlike(longs: int, bits: int, coordinates: int, share: float) -> str:
 
 
 def _fine(width: int):
-    """For texts of unsettled large buckets: band keys and low bits of many more coordinates."""
+    """For texts of unsettled large buckets: band keys and low bits of many more coordinates, and half of each shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,8 @@ def _fine(width: int):
                 if some.any():
                     signature = signatures(sets, np.r_[at[:-1][some], len(sets)], FINE, 1 << 20)
                     keys, low = band_keys(signature[:, : FINE_BANDS * FINE_ROWS], FINE_BANDS, FINE_ROWS), packed(signature, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_of(some, keys), lists_of(some, low)], names=["id", "bands", "low"])
+                half = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((sets >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_of(some, keys), lists_of(some, low), half], names=["id", "bands", "low", "half"])
 
     return run
 
@@ -207,10 +209,10 @@ def _unsettled(placed: DataFrame, name: str) -> DataFrame:
     return written(held.groupBy("band").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("major")).where("parts > 1").drop("parts"), name)
 
 
-def _across(members: DataFrame, near: str) -> DataFrame:
+def _across(members: DataFrame, near: str, extra: str = "far") -> DataFrame:
     """Distinct (a, b), a < b, of one bucket and different components, where near holds. One of each pair is outside its bucket's largest component."""
-    left = members.where("c != major").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("far").alias("fa"), F.col("low").alias("la"))
-    right = members.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("major").alias("m"), F.col("far").alias("fb"), F.col("low").alias("lb"))
+    left = members.where("c != major").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("far").alias("fa"), F.col("low").alias("la"), F.col(extra).alias("ha"))
+    right = members.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("major").alias("m"), F.col("far").alias("fb"), F.col("low").alias("lb"), F.col(extra).alias("hb"))
     found = left.join(right, "band").where(f"cx != cy AND (cy = m OR x < y) AND {near}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -252,10 +254,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = _across(few, near)
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
     chosen = source.join(F.broadcast(many.select("id")) if many.count() <= BROADCAST_IDS else many.select("id"), "id", "left_semi")
-    fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>").dropDuplicates(["id"]), "fine")
+    fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>, half array<int>").dropDuplicates(["id"]), "fine")
     dealt = written(many.join(fine.select("id", F.explode("bands").alias("band")), "id"), "dealt")
-    again = dealt.join(_unsettled(dealt, "fine-mixed"), "band").join(fine.select("id", "low"), "id")
-    far_rest = _across(written(again.withColumn("far", F.lit(0.0)), "again"), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)}")
+    again = written(dealt.join(_unsettled(dealt, "fine-mixed"), "band"), "again").join(fine.select("id", "low", "half"), "id")
+    alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
+    far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
     late = _distances(rest.unionByName(far_rest).distinct(), source, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
