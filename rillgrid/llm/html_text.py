@@ -5,9 +5,9 @@ line; a line's ratio is its characters over the tags in it. Lines inside element
 boilerplate by their kind (nav, footer, aside, form, ... or a class, id or role that names
 a menu, an advert, comments, ...) have ratio 0. Ratios are smoothed by a Gaussian over
 neighbouring lines, and lines split into two clusters at a threshold, ``cut`` standard
-deviations of the ratios. Content regions (an article or main element, else the section
-that holds the line) are those with a line above it; a region gives all its lines but the
-boilerplate ones, so that short paragraphs of an article stay.
+deviations of the ratios. Content regions are article or main elements with a line above
+it, or, on pages without these, sections with half of their characters on such lines; a
+region gives all its lines but the boilerplate ones, so that short paragraphs stay.
 
 Character references are decoded, white space in a line becomes one space, lines are
 trimmed, empty ones go, the rest is joined by ``\\n`` in page order. Null, empty and
@@ -140,7 +140,12 @@ def main_text(html: str | None, sigma: float = SIGMA, cut: float = CUT) -> str:
     articles = any(a and not b for _, _, b, _, a in lines)
     level = np.where(ratios > 0, smoothed(ratios, sigma), 0.0)
     threshold = cut * ratios.std()
-    content = {line[3] for line, x in zip(lines, level, strict=True) if x > 0 and x >= threshold and (line[4] or not articles)}
+    held: dict[int, list[int]] = {}
+    for (text, _, boiler, region, article), x in zip(lines, level, strict=True):
+        if not boiler and (article or not articles):
+            n = held.setdefault(region, [0, 0])
+            n[x > 0 and x >= threshold] += len(text)
+    content = {region for region, (low, high) in held.items() if high and (articles or high >= low)}
     if not content:
         best = int(np.argmax([x if line[4] or not articles else -1 for line, x in zip(lines, level, strict=True)]))
         content = {lines[best][3]}

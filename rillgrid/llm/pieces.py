@@ -54,7 +54,7 @@ class Vocabulary:
         raw = [p.replace(MARK, " ").encode() if not s else b"" for p, s in zip(pieces, special, strict=True)]
         for value, i in enumerate(self.byte_ids or ()):
             raw[i] = bytes([value])
-        self.at = np.r_[0, np.cumsum([len(x) for x in raw])]
+        self.at = np.r_[0, np.cumsum(np.array([len(x) for x in raw], np.int64))]
         self.bytes = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
 
     @classmethod
@@ -176,7 +176,7 @@ class Encoder:
             self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(s) for s in solved])]
         codes = np.fromiter((number[w] for ws in split for w in ws), np.int64)
         flat, length = gathered(self.flat, self.at, codes)
-        per_text = np.r_[0, np.cumsum([len(ws) for ws in split])]
+        per_text = np.r_[0, np.cumsum(np.array([len(ws) for ws in split], np.int64))]
         return flat, np.r_[0, np.cumsum(length)][per_text]
 
 
