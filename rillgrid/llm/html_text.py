@@ -144,7 +144,7 @@ def main_text(html: str | None, sigma: float = SIGMA, cut: float = CUT) -> str:
     for (text, _, boiler, region, article), x in zip(lines, level, strict=True):
         if not boiler and (article or not articles):
             n = held.setdefault(region, [0, 0])
-            n[x > 0 and x >= threshold] += len(text)
+            n[int(x > 0 and x >= threshold)] += len(text)
     content = {region for region, (low, high) in held.items() if high and (articles or high >= low)}
     if not content:
         best = int(np.argmax([x if line[4] or not articles else -1 for line, x in zip(lines, level, strict=True)]))
