@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from rillgrid.plans.session import session
 
-    s = session("tests", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
+    s = session("tests", "local[4]", spark__sql__shuffle__partitions=2, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
