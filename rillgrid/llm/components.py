@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rillgrid.llm.scratch import written
+from rillgrid.llm.scratch import small, written
 
 
 def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,12 +19,12 @@ def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, the small side of each join is a plain scan, so that a hot node's rows can be split.
+        # Written, the small side of each join is a plain scan: broadcast while it is short, else a hot node's rows can be split.
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = both.where("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "stars")
+        flat = large.join(small(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        edges = written(flat.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "stars")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rillgrid.llm import components, tokens as tk
-from rillgrid.llm.scratch import written
+from rillgrid.llm.scratch import small, written
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 LARGE = 64  # members of an unsettled bucket that is dealt anew
 FINE_BANDS, FINE_ROWS, FINE = 96, 7, 1024
-BROADCAST_IDS = 500_000  # more ids than these go through a shuffle
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,7 +195,7 @@ def _distances(pairs: DataFrame, docs: DataFrame, width: int, name: str) -> Data
     """Written (a, b, both, union) of the pairs (a, b): sets are made only for texts that stand in a pair."""
     pairs = written(pairs, f"{name}-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    named = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    named = docs.join(small(ids), "id", "left_semi")
     sets = written(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, members binary").dropDuplicates(["id"]), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     kind = dict(docs.dtypes)["id"]
@@ -235,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = reps.select("id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(shared, "shared")
-    buckets = written(spread.join(shared, "band"), "buckets")
+    buckets = written(spread.join(small(shared), "band"), "buckets")
     led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, width, "led")
     link = F.col("both") * den >= F.col("union") * num
     first = components.smallest_reachable(led.where(link).select("a", "b"))
@@ -243,20 +242,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = (1 - F.col("both") / F.col("union")).alias("far")
     in_one = first.select("id", F.col("component").alias("c"))
     placed = written(
-        buckets.join(led.select(F.col("a").alias("leader"), F.col("b").alias("id"), far), ["leader", "id"], "left").where("id != leader")
-        .join(in_one, "id", "left").select("band", "id", F.coalesce("c", "id").alias("c"), "far"),
+        buckets.join(small(led).select(F.col("a").alias("leader"), F.col("b").alias("id"), far), ["leader", "id"], "left").where("id != leader")
+        .join(small(in_one), "id", "left").select("band", "id", F.coalesce("c", "id").alias("c"), "far"),
         "placed",
     )
-    open_ = written(placed.join(_unsettled(placed, "mixed"), "band"), "open")
-    lows = sketches.join(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids"), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
+    open_ = written(placed.join(small(_unsettled(placed, "mixed")), "band"), "open")
+    lows = sketches.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
     few = written(open_.where(f"members <= {LARGE}").join(lows, "id"), "few")
     near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
     rest = _across(few, near)
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
-    chosen = source.join(F.broadcast(many.select("id")) if many.count() <= BROADCAST_IDS else many.select("id"), "id", "left_semi")
+    chosen = source.join(small(many.select("id")), "id", "left_semi")
     fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>, half array<int>").dropDuplicates(["id"]), "fine")
-    dealt = written(many.join(fine.select("id", F.explode("bands").alias("band")), "id"), "dealt")
-    again = written(dealt.join(_unsettled(dealt, "fine-mixed"), "band"), "again").join(fine.select("id", "low", "half"), "id")
+    dealt = written(small(many).join(fine.select("id", F.explode("bands").alias("band")), "id"), "dealt")
+    again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
     alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
     far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
     late = _distances(rest.unionByName(far_rest).distinct(), source, width, "late")

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _TABLES: list[tuple[SparkSession, str]] = []
 
@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, a written table, marked for a broadcast if it has at most so many (short) rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 @contextlib.contextmanager
 def scope() -> Iterator[list]:
     """Collects the tables written inside, for release() once results that read them are themselves written."""
