@@ -42,7 +42,11 @@ class Vocabulary:
         self.ids = {p: i for i, (p, s) in enumerate(zip(pieces, special, strict=True)) if not s}
         self.scores = [float(x) for x in scores]
         self.merges, self.apart = merges, {}
-        self.longest = max(map(len, self.ids), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}  # of pieces, by their last two characters
         self.byte_ids, self.unknown = list(byte_ids) if byte_ids else None, unknown
         self.penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK)]
@@ -126,8 +130,9 @@ class Vocabulary:
         """The best last piece of the prefix up to end; no piece for an unknown character."""
         ids, scores = self.ids, self.scores
         top, start_at, last = FORBIDDEN, end - 1, ""
-        for start in range(max(0, end - self.longest), end):
-            piece = form[start:end]
+        for size in (*self.lengths.get(form[max(0, end - 2) : end], ()), 1):
+            start = end - size
+            piece = form[start:end] if start >= 0 else None
             i = ids.get(piece)
             if i is not None and states[start][0] + scores[i] > top:
                 top, start_at, last = states[start][0] + scores[i], start, piece
@@ -138,14 +143,18 @@ class Vocabulary:
     def _last_piece(self, form: str, end: int, states: list) -> tuple:
         """The last piece of the prefix up to end by merging; no piece for an unknown character."""
         ids, apart = self.ids, self.apart
-        for start in range(max(0, end - self.longest), end):
-            piece = form[start:end]
-            if piece in ids:
-                before = states[start][2]
-                follows = apart.get((before, piece))
-                if follows or follows is None and self.may_follow(piece, before):
-                    return 0.0, start, piece
-        if form[end - 1] in ids:
+        if end > 1:
+            for size in self.lengths.get(form[end - 2 : end], ()):
+                start = end - size
+                if start >= 0 and (piece := form[start:end]) in ids:
+                    before = states[start][2]
+                    follows = apart.get((before, piece))
+                    if follows or follows is None and self.may_follow(piece, before):
+                        return 0.0, start, piece
+        piece = form[end - 1]
+        if piece in ids:
+            if self.may_follow(piece, states[end - 1][2]):
+                return 0.0, end - 1, piece
             raise ValueError(f"no piece can end {form[:end]!r}; the file is not closed under merging")
         return 0.0, end - 1, ""
 
