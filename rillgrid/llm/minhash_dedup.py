@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
     chosen = source.join(small(many.select("id")), "id", "left_semi")
     fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>, half array<int>").dropDuplicates(["id"]), "fine")
-    dealt = written(small(many).join(fine.select("id", F.explode("bands").alias("band")), "id"), "dealt")
+    dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
     again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
     alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
     far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
