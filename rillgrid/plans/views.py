@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, row, col, ts, v of the days that have values: a user's median, scaled to [0, 1]."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("ts"), "value")
-    v = events.groupBy("user_id", "ts").agg(F.least(F.percentile("value", 0.5) / 40, F.lit(1.0)).alias("v"))
+    v = events.groupBy("user_id", "ts").agg(F.least(F.percentile("value", 0.5) / 37, F.lit(1.0)).alias("v"))
     return v.select(F.col("user_id").alias("series"), F.expr(f"user_id div {WIDTH}").alias("row"), (F.col("user_id") % WIDTH).alias("col"), "ts", "v")
 
 
@@ -56,7 +56,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "daily": f"""daily AS (
-  SELECT user_id AS series, user_id // {WIDTH} AS row, user_id % {WIDTH} AS col, CAST(ts AS DATE) AS ts, least(median(value) / 40, 1.0) AS v
+  SELECT user_id AS series, user_id // {WIDTH} AS row, user_id % {WIDTH} AS col, CAST(ts AS DATE) AS ts, least(median(value) / 37, 1.0) AS v
   FROM events GROUP BY user_id, CAST(ts AS DATE))""",
     "obs": """obs AS (
   SELECT s.series, s.row, s.col, d.ts, x.v
