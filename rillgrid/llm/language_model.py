@@ -9,9 +9,10 @@ Bayesian: P(w|v) = (c(v w) + k P(w)) / (c(v) + k), P(w) = (c(w) + 0.5) / (N + 0.
 Exact word counts, for the base score, travel with the filter.
 
 A broadcast never exceeds ``broadcast_mb``: the pair filter and word counts are
-dealt to as many passes over the texts as that takes, and the filter of single
-words, which every pass needs, is folded in halves (more false members, no more
-memory) when it would grow beyond a quarter of that.
+dealt to as many passes over the texts as that takes. The filter of single words,
+which every pass needs, travels with each while it stays within a quarter of that;
+beyond, it is dealt to passes of its own, which write a level for each token beside
+the text. Both ways read the same counts.
 
 Words are runs ``[^\\x20\\x09-\\x0D]+`` lower-cased A-Z, and each text ends with an
 end token. Null and empty texts hold that token alone. A null id is training
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillgrid.llm import tokens as tk
-from rillgrid.llm.scratch import written
+from rillgrid.llm.scratch import release, scope, written
 
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xB361B361B361B361)
 HASHES, BITS = 6, 12
@@ -141,22 +142,22 @@ _MODEL_DDL = "block int, n_words long, total long, n_pairs long, word_bits long,
 class Filter:
     """Bit arrays of consecutive hash blocks. Reads the quantised count of a key; keys of other blocks count 0."""
 
-    def __init__(self, blocks: int, levels: np.ndarray, room: int, folds: int = 0):
-        """room: bytes of all blocks together. folds: how often each is folded in half as it is added."""
-        self.blocks, self.levels, self.folds = blocks, levels, folds
+    def __init__(self, blocks: int, levels: np.ndarray, room: int):
+        """room: bytes of all blocks together."""
+        self.blocks, self.levels = blocks, levels
         self.size, self.base, self.used = np.zeros(blocks, np.uint64), np.zeros(blocks, np.int64), 0
-        self.bits, self.value = np.zeros(max(1, (room >> folds) + 8 * blocks), np.uint8), _middle(levels)
+        self.bits, self.value = np.zeros(max(1, room + 8 * blocks), np.uint8), _middle(levels)
 
     def add(self, block: int, size: int, data: bytes) -> None:
         part = np.frombuffer(data, np.uint8)
-        for _ in range(self.folds):
-            if size % 128 == 0 and size > 128:
-                size, part = size // 2, part[: size // 16] | part[size // 16 :]
         self.size[block], self.base[block] = size, self.used * 8
         self.bits[self.used : self.used + len(part)] = part
         self.used += len(part)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.value[self.levels_of(keys)]
+
+    def levels_of(self, keys: np.ndarray) -> np.ndarray:
         block = tk.blocks_of(keys, self.blocks)
         level = np.zeros(len(keys), np.int64)
         alive = np.flatnonzero(self.size[block])
@@ -171,7 +172,27 @@ class Filter:
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 alive, x, step, size, base = alive[hit], x[hit], step[hit], size[hit], base[hit]
             level[alive] = j
-        return self.value[level]
+        return level
+
+
+def _leveller(shared):
+    """Writes beside each text a byte for each token: its word's level, as far as the words' blocks are in the filter or were in an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = shared.value
+        for batch in batches:
+            known, ends = tk.column(batch, "levels")
+            for lo, hi, d, o in tk.chunks(*tk.column(batch, "text"), 2 * tk.CHUNK):
+                token, _, count = sequence(d, o)
+                word, code = np.unique(token, return_inverse=True)
+                level = one.levels_of(word).astype(np.uint8)[code]
+                if len(known):
+                    level = np.maximum(level, known[ends[lo] : ends[hi]])
+                bounds = np.r_[0, np.cumsum(count)].astype(np.int32)
+                levels = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(bounds), pa.py_buffer(level)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(4)), levels], names=["id", "held_out", "key", "text", "levels"])
+
+    return run
 
 
 def _scorer(model, smoothing: float, id_type):
@@ -181,8 +202,9 @@ def _scorer(model, smoothing: float, id_type):
         m = model.value
         one, two = m["one"], m["two"]
         low, high, blocks = m["low"], m["high"], m["blocks"]
-        scale = m["total"] + 0.5 * (m["n_words"] + 1)
+        scale, middle = m["total"] + 0.5 * (m["n_words"] + 1), _middle(WORD_LEVELS)
         for batch in batches:
+            levels, ends = (None, None) if one else tk.column(batch, "levels")
             for lo, hi, d, o in tk.chunks(*tk.column(batch, "text"), 2 * tk.CHUNK):
                 token, before, count = sequence(d, o)
                 text = np.repeat(np.arange(hi - lo), count)
@@ -193,12 +215,12 @@ def _scorer(model, smoothing: float, id_type):
                 here = ((block >= low) & (block < high))[code]
                 base = np.bincount(text, weights=np.where(here, np.log10((exact + 0.5) / scale)[code], 0), minlength=hi - lo)
                 known = np.bincount(text, weights=here & (exact > 0)[code], minlength=hi - lo).astype(np.int64)
-                rough = one.counts(word)
-                context = np.r_[m["texts"], rough][np.where(before == BEGIN, 0, np.r_[0, code[:-1]] + 1)]
+                rough = one.counts(word)[code] if one else middle[levels[ends[lo] : ends[hi]]]
+                context = np.where(before == BEGIN, m["texts"], np.r_[0.0, rough[:-1]])
                 pair, of = np.unique(pairs(before, token), return_inverse=True)
                 mine = (lambda b: (b >= low) & (b < high))(tk.blocks_of(pair, blocks))
-                together = np.minimum(two.counts(pair)[of], np.minimum(context, rough[code]))
-                p = (together + smoothing * ((rough + 0.5) / scale)[code]) / (context + smoothing)
+                together = np.minimum(two.counts(pair)[of], np.minimum(context, rough))
+                p = (together + smoothing * ((rough + 0.5) / scale)) / (context + smoothing)
                 score = np.bincount(text, weights=np.where(mine[of], np.log10(p), 0), minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(count.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "key", "n_tokens", "n_known", "base_score", "score"])
 
@@ -214,7 +236,29 @@ def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return written(summed.repartition(blocks, "block").mapInArrow(_merged, _MODEL_DDL), f"model{blocks}")
 
 
-def _part(model: DataFrame, one: Filter, low: int, high: int, blocks: int) -> dict:
+def _word_filter(model: DataFrame, low: int, high: int, blocks: int) -> Filter:
+    """The single words of the blocks from low to high; a block at a time on the driver."""
+    part = model.where(f"block >= {low} AND block < {high}")
+    one = Filter(blocks, WORD_LEVELS, (part.agg(F.sum("word_bits")).first()[0] or 0) // 8)
+    for r in part.select("block", "word_bits", "word_filter").toLocalIterator():
+        one.add(r.block, r.word_bits, r.word_filter)
+    return one
+
+
+def _levelled(rows: DataFrame, model: DataFrame, blocks: int, passes: int) -> DataFrame:
+    """rows with the levels of their tokens, from as many parts of the word filter; a pass's table goes when the next is written."""
+    out, held = rows.withColumn("levels", F.lit(b"")), []
+    for i in range(passes):
+        shared = rows.sparkSession.sparkContext.broadcast(_word_filter(model, i * blocks // passes, (i + 1) * blocks // passes, blocks))
+        with scope() as made:
+            out = written(out.mapInArrow(_leveller(shared), out.schema), "levels")
+        shared.destroy()
+        release(held)
+        held = made
+    return out
+
+
+def _part(model: DataFrame, one: Filter | None, low: int, high: int, blocks: int) -> dict:
     """The blocks from low to high for a broadcast, filled in place so that the driver holds them once."""
     part = model.where(f"block >= {low} AND block < {high}")
     room = part.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pair_bits", "n_words"))).first()
@@ -240,12 +284,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     total, n_words = sums.total, sums.n_words
     texts = training.count()
     limit = broadcast_mb << 20
-    folds = max(0, (sums.word_bits // 8 // max(1, limit // 4)).bit_length())
-    one = Filter(blocks, WORD_LEVELS, sums.word_bits // 8, folds)
-    for r in model.select("block", "word_bits", "word_filter").toLocalIterator():  # a block at a time on the driver
-        one.add(r.block, r.word_bits, r.word_filter)
-    heavy = sums.pair_bits // 8 + 16 * n_words
-    passes = min(blocks, -(-heavy // (limit - limit // 4)) or 1)
+    heavy, room = sums.pair_bits // 8 + 16 * n_words, limit - limit // 4
+    if sums.word_bits // 8 <= limit // 4:
+        one = _word_filter(model, 0, blocks, blocks)
+    else:
+        one, rows = None, _levelled(rows, model, blocks, min(blocks, -(-(sums.word_bits // 8) // room)))
+    passes = min(blocks, -(-heavy // room) or 1)
     schema = f"id {kind}, held_out boolean, key long, n_tokens long, n_known long, base_score double, score double"
     found = []
     for i in range(passes):

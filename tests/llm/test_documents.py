@@ -220,6 +220,22 @@ def test_language_model(odd, none, broadcast_mb, monkeypatch):
     assert language_model.score(none, held).count() == 0
 
 
+def test_word_filter_beyond_its_share_scores_alike(spark, tmp_path):
+    """300,000 words need 0.45 MB: within the quarter of 128 MB, beyond that of 1 MB."""
+    rng = np.random.default_rng(4)
+    rare = rng.permutation(300_000).reshape(1500, 200)
+    rows = [(i, " ".join(f"w{x}" for x in np.r_[r, rng.integers(0, 50, 40)])) for i, r in enumerate(rare)] + [(5000, " ".join(f"new{x}" for x in range(500))), (5001, None), (None, "w1 w2"), (3, "w1 w2"), (3, "w1 w2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")  # a file's size is known, so the model has few blocks
+    held = F.col("doc_id") >= 5000
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    one, many = (sorted(language_model.score(df, held, broadcast_mb=mb).collect(), key=key) for mb in (128, 1))
+    assert len(one) == len(many) == len(rows)
+    for a, b in zip(one, many, strict=True):
+        assert key(a) == key(b) and (a.held_out, a.n_known) == (b.held_out, b.n_known)
+        assert (a.base_score, a.score) == (pytest.approx(b.base_score), pytest.approx(b.score))
+
+
 def test_filter_reads_counts_back():
     keys = tk.mix(np.arange(5000, dtype=np.uint64))
     counts = np.r_[np.ones(4000, np.int64), np.arange(1, 1001)]
