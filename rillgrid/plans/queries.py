@@ -542,14 +542,14 @@ def euclid_assign(spark, sf):
 @query()
 def dtw_assign(spark, sf):
     v = _vectors(spark, sf)
-    centres, _ = clustering.kmeans(v, inits=1, iterations=3)
+    centres, _ = clustering.kmeans(v)
     return r9(clustering.assign(v, centres))
 
 
 @query()
 def dtw_kmeans(spark, sf):
     v = _vectors(spark, sf)
-    centres, _ = clustering.kmeans(v, iterations=8, inits=2)
+    centres, _ = clustering.kmeans(v)
     stats = v.select(F.explode("v").alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     return clustering.denormalised(clustering.centroid_table(spark, centres), stats.m, stats.s)
 

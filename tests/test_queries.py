@@ -59,3 +59,24 @@ def test_plans_push_down_and_avoid_cartesian_products(spark):
         from rillgrid.plans.queries import QUERIES
 
         assert "CartesianProduct" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["dtw_kmeans", "dtw_assign"])
+def test_clusters_run_to_the_end(spark, monkeypatch, name):
+    """The reference's 50 iterations and 3 starts."""
+    import inspect
+
+    from rillgrid.operators import clustering
+    from rillgrid.plans.queries import QUERIES
+
+    fit, asked = clustering.kmeans, []
+
+    def seen(*args, **named):
+        bound = inspect.signature(fit).bind(*args, **named)
+        bound.apply_defaults()
+        asked.append((bound.arguments["k"], bound.arguments["iterations"], bound.arguments["inits"]))
+        return fit(args[0], iterations=1, inits=1)  # enough for a result
+
+    monkeypatch.setattr(clustering, "kmeans", seen)
+    assert QUERIES[name](spark, SF).count() > 0
+    assert asked == [(4, 50, 3)]
