@@ -404,7 +404,8 @@ def mask_apply(spark, sf):
 
 def _strata(spark, sf):
     occ = stack.occurrence(views.daily(spark, sf), views.days(spark, sf))
-    return sampling.strata(occ, 100, views.WIDTH)
+    rows = table(spark, sf, "events").agg(F.max(F.expr(f"user_id div {views.WIDTH}"))).first()[0]
+    return sampling.strata(occ, max(100, (rows or 0) + 1), views.WIDTH)  # 100 as in the SQL, more where the data have more
 
 
 _STRATA = """, o AS (SELECT row, col, sum(CASE WHEN v > 0.6 THEN 1.0 ELSE 0.0 END) / (SELECT count(DISTINCT ts) FROM daily) AS occ FROM daily GROUP BY row, col),
