@@ -11,8 +11,8 @@ compared as integers; bounds keep a margin, so that no tie is lost.
 
 The queries are searched in blocks of at most ``BLOCK``: a block is broadcast (at most
 BLOCK vectors), each task searches its trees, and a window over the few best rows of
-each task gives the result. Equal vectors are one entry of a tree; of their ids the k + 1
-smallest are kept, which is all that a top k can show.
+each task gives the result. Equal vectors are one entry of a tree; of their sorted ids at most
+k rows of each and 2k in all are kept: without a query's own, k others are left if there were.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id
 take no part. Rows with a query's id are its own row and no candidate. Vectors of another
@@ -133,7 +133,8 @@ def _builder(k: int):
         by = np.lexsort((ids, *whole.T[::-1])) if length else np.argsort(ids)
         whole, ids = whole[by], ids[by]
         first = np.flatnonzero(np.r_[True, (whole[1:] != whole[:-1]).any(1)])
-        groups = [g[: k + 1] for g in np.split(ids, first[1:])]
+        nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(np.r_[True, (ids[1:] != ids[:-1]) | (whole[1:] != whole[:-1]).any(1)], np.arange(len(ids)), 0))
+        groups = [g[n < k][: 2 * k] for g, n in zip(np.split(ids, first[1:]), np.split(nth, first[1:]), strict=True)]
         tree = build(whole[first], groups)
         yield pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), pa.array([pickle.dumps(tree, 5)], pa.binary())], names=["length", "tree"])
 

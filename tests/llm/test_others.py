@@ -169,6 +169,14 @@ def test_top_k(spark, monkeypatch, n, spread):
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[50, 50, 51, 52, 53, 54, 55], [50] * 9 + [51] * 3 + [52] * 9 + [60], [0] * 8 + [50, 51, 52]])
+def test_top_k_of_repeated_rows(spark, ids):
+    """Equal vectors: a query's own rows take no place, repeated rows of others take one each."""
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "vec_id long, embedding array<double>").repartition(1)
+    got = sorted((r["rank"], r.vec_id) for r in mtree.top_k(df, F.col("vec_id") == 50).collect())
+    assert got == list(enumerate([i for i in ids if i != 50][:5], 1))
+
+
 def test_tree_search_prunes(monkeypatch):
     monkeypatch.setattr(mtree, "PAGE", 16)
     rng = np.random.default_rng(0)
