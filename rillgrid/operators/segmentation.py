@@ -159,12 +159,12 @@ def _per_series(vectors: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], I
     return vectors.select(series, "v").mapInPandas(run, f"`{series}` {kind}, {fields}, error string")
 
 
-def pelt_models(vectors: DataFrame, most: int = 8, min_size: int = 5, jump: int = 5, series: str = "series") -> DataFrame:
-    """KRN-2, A2: (series, n, m, rss, cuts) for every m. cuts index the values that are there (T15); cuts_full all positions."""
+def pelt_models(vectors: DataFrame, most: int | None = None, min_size: int = 5, jump: int = 5, series: str = "series") -> DataFrame:
+    """KRN-2, A2: (series, n, m, rss, cuts) for every m, up to ``most`` if given. cuts index the values that are there (T15); cuts_full all positions."""
 
     def kernel(y: np.ndarray, index: np.ndarray) -> Iterator[dict]:
         z = y[index]
-        for m, (rss, cuts) in enumerate(optimal_partitions(len(z), l2_cost(z), most, min_size, jump)):
+        for m, (rss, cuts) in enumerate(optimal_partitions(len(z), l2_cost(z), len(z) // min_size - 1 if most is None else most, min_size, jump)):
             yield {"n": len(z), "m": m, "rss": rss, "cuts": cuts, "cuts_full": [int(index[c - 1]) + 1 for c in cuts]}
 
     return _per_series(vectors, kernel, "n int, m int, rss double, cuts array<int>, cuts_full array<int>", series)

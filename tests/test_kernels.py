@@ -182,3 +182,9 @@ def test_streams(spark, tmp_path):
     assert occ[0, day] == 0.0 and occ[1, day + timedelta(days=6)] == 1.0
     alerts = spark.table("alerts").collect()
     assert [(a.series, a.value) for a in alerts] == [(1, 0.9)]
+
+
+def test_pelt_finds_more_than_eight_breaks(spark):
+    y = [float(i // 5 % 2) for i in range(60)]
+    best = min(seg.pelt_models(spark.createDataFrame([(1, y)], "series int, v array<double>").coalesce(1)).collect(), key=lambda r: (r.rss, r.m))
+    assert best.rss == pytest.approx(0) and list(best.cuts) == list(range(5, 60, 5))
