@@ -108,6 +108,8 @@ def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3,
     tasks add up (cluster, place, sum, count), a small aggregate joins them; series never move.
     An empty cluster takes the farthest series. Give vectors that are written or cached.
     """
+    if metric not in ("dtw", "euclid"):
+        raise ValueError(f"k-means has no metric {metric}")
     first = vectors.select("v").first()
     if first is None:
         raise ValueError("no series to cluster")

@@ -188,3 +188,8 @@ def test_pelt_finds_more_than_eight_breaks(spark):
     y = [float(i // 5 % 2) for i in range(60)]
     best = min(seg.pelt_models(spark.createDataFrame([(1, y)], "series int, v array<double>").coalesce(1)).collect(), key=lambda r: (r.rss, r.m))
     assert best.rss == pytest.approx(0) and list(best.cuts) == list(range(5, 60, 5))
+
+
+def test_kmeans_refuses_other_metrics(spark):
+    with pytest.raises(ValueError, match="softdtw"):
+        clustering.kmeans(spark.createDataFrame([(1, [1.0, 2.0])], "series int, v array<double>"), 1, metric="softdtw")
