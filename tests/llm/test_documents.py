@@ -236,6 +236,15 @@ def test_word_filter_beyond_its_share_scores_alike(spark, tmp_path):
         assert (a.base_score, a.score) == (pytest.approx(b.base_score), pytest.approx(b.score))
 
 
+def test_levels_from_several_parts_equal_those_from_one(spark, tmp_path):
+    rows = [(i, False, i, " ".join(f"w{(i * j) % 97}" for j in range(i % 30))) for i in range(200)]
+    spark.createDataFrame(rows, "id long, held_out boolean, key long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    model = language_model.fit(df)
+    one, many = ({r.id: bytes(r.levels) for r in language_model._levelled(df, model, model.count(), n).collect()} for n in (1, 3))
+    assert one == many and all(len(one[i]) == i % 30 + 1 and min(one[i]) > 0 for i in one)
+
+
 def test_filter_reads_counts_back():
     keys = tk.mix(np.arange(5000, dtype=np.uint64))
     counts = np.r_[np.ones(4000, np.int64), np.arange(1, 1001)]
