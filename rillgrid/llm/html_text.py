@@ -1,26 +1,33 @@
-"""Main text of HTML pages (operator 7).
-
-The standard library's parser streams events. Text between block boundaries makes a
-line; a line's ratio is its characters over the tags in it. Lines inside elements that are
-boilerplate by their kind (nav, footer, aside, form, ... or a class, id or role that names
-a menu, an advert, comments, ...) have ratio 0. Ratios are smoothed by a Gaussian over
-neighbouring lines, and lines split into two clusters at a threshold, ``cut`` standard
-deviations of the ratios. Content regions are article or main elements with a line above
-it, or, on pages without these, sections with half of their characters on such lines; a
-region gives all its lines but the boilerplate ones, so that short paragraphs stay.
-
-Character references are decoded, white space in a line becomes one space, lines are
-trimmed, empty ones go, the rest is joined by ``\\n`` in page order. Null, empty and
-text-free pages give an empty string. Broken nesting is read as browsers do in the main: an end
-tag closes the nearest open element of its name, a block closes an open paragraph.
+"""Main text of HTML pages by text-to-tag ratios (operator 7).
+
+The standard library's parser streams events. Text between block boundaries makes a line; its
+ratio is the logarithm of 1 + its characters outside links per tag. Ratios are smoothed by a
+Gaussian over neighbouring lines. Hints then weaken a line's level, they never decide alone: by
+``KIND`` in elements that are boilerplate by their kind (nav, footer, aside, form, ... or a container
+whose class, id or role names a menu, an advert, comments, ...), by ``OUTSIDE`` (the
+nearer to it, the more text they hold) outside a page's article and main elements. Two means of the levels give a threshold, ``cut`` of
+the way from the low to the high one, that parts the lines into two clusters.
+
+A region is an element that can hold a whole text (article, main, section, div, td, body). Its worth
+is the characters of its lines in the high cluster less those of its lines in the low one; the region
+of the highest worth is the content, widened to the article or main element around it if that is worth
+anything. It gives all of its lines, short ones too, but those of the low cluster that a hint weakened
+or that stand in a list of at least ``LINKS`` lines of link text alone.
+
+Character references are decoded, white space in a line becomes one space, lines are trimmed, empty
+ones go, the rest is joined by ``\\n`` in page order. Null, empty and text-free pages, and pages
+of nothing but hinted boilerplate, give an empty string. Broken nesting is read as browsers do in the
+main: an end tag closes the nearest open element of its name, a block closes an open paragraph.
 Nothing is cut, however long. Repeated rows give equal results, an empty table an empty one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,41 +35,57 @@ from pyspark.sql import DataFrame, functions as F
 
 # Element names of the HTML standard by role, and words that name boilerplate in classes, ids and roles.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("script style noscript template iframe svg canvas object head title textarea select button datalist math audio video".split())
+SKIPPED = frozenset("script style noscript template iframe svg head title textarea select datalist".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PARAGRAPH_ENDS = BLOCKS - frozenset(["p", "html", "body", "head"])
-REGIONS = frozenset("article main section div td body blockquote".split())
-NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown footer header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+PARAGRAPH_ENDS = BLOCKS - frozenset(["html", "body", "head"])
+REGIONS = frozenset("article main section div td body".split())
+NAMED = frozenset("aside details div dl header ol section span table ul".split())  # elements whose names are hints
+NAMES = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+OUTER_NAMES = frozenset("banner copyright dropdown footer header login masthead topbar".split())  # hints outside articles only
+OWN_NAMES = frozenset("article entry post title".split())  # as in "entry-header": no outer hint
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-SIGMA, CUT = 1.0, 0.5
+SIGMA, CUT, KIND, OUTSIDE, LINKS = 1.0, 0.5, 0.2, 0.5, 3
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+class Line(NamedTuple):
+    text: str
+    ratio: float
+    linked: float  # the share of its characters that are link text
+    hinted: bool
+    region: int
+    article: int  # the region of the article or main element around it, 0 for none
+    group: int  # the innermost block element that is no paragraph, for lists of links
+
+
 class _Lines(HTMLParser):
-    """Collects lines as [text, tags, is boilerplate, region, is in an article]."""
+    """Collects the lines, and for each region the one around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int, bool]] = []  # name, skipped, boilerplate, region, in an article
+        self.lines: list[Line] = []
+        self.outer = [0]  # region 0 is the page
+        self.open: list[tuple[str, bool, bool, int, int, int]] = []  # name, skipped, hinted, region, article, group
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.tags = self.links = self.link_depth = self.groups = 0
 
-    def state(self) -> tuple[bool, bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, False, 0, False)
+    def state(self) -> tuple[bool, bool, int, int, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0, 0, 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, boiler, region, article = self.state()
-            self.lines.append([text, max(1, self.tags), boiler, region, article])
-        self.parts, self.tags = [], 0
+            _, hinted, region, article, group = self.state()
+            linked = min(1.0, self.links / len(text))
+            self.lines.append(Line(text, math.log1p(len(text) * (1 - linked) / max(1, self.tags)), linked, hinted, region, article, group))
+        self.parts, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.flush()
-            if tag in PARAGRAPH_ENDS or tag == "p":
+            self.link_depth = 0 if tag in REGIONS else self.link_depth
+            if tag in PARAGRAPH_ENDS:
                 self.leave("p", top_only=True)
             if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
                 self.leave(tag, top_only=True)
@@ -71,20 +94,25 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
+        self.link_depth += tag == "a"
         named = dict(attrs)
-        words = set(_WORD.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
-        skipped, boiler, region, article = self.state()
-        inside = article or tag in ("article", "main")
-        plain = tag not in BLOCKS and tag not in SKIPPED and not words and "role" not in named and "hidden" not in named
-        if plain:
+        hidden, role = "hidden" in named, (named.get("role") or "").lower()
+        words = set(_WORD.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower())) if tag in NAMED else set()
+        skipped, hinted, region, article, group = self.state()
+        if tag not in BLOCKS and tag not in SKIPPED and not words and not role and not hidden:
             return
-        boiler = boiler or tag in BOILERPLATE or (tag == "header" and not article) or (tag not in ("html", "body", "article", "main") and bool(words & NAMES)) or (named.get("role") or "").lower() in ROLES or "hidden" in named
-        if tag in REGIONS and not article:
-            self.regions += 1
-            region = self.regions
-        if tag not in BLOCKS and boiler and not self.state()[1]:
+        before = hinted
+        hinted = hinted or tag in BOILERPLATE or hidden or role in ROLES or bool(words & NAMES) or (not article and (tag == "header" or bool(words & OUTER_NAMES and not words & OWN_NAMES)))
+        if tag in REGIONS:
+            self.outer.append(region)
+            region = len(self.outer) - 1
+            article = article or (region if tag in ("article", "main") else 0)
+        if tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th"):
+            self.groups += 1
+            group = self.groups
+        if tag not in BLOCKS and hinted and not before:
             self.flush()
-        self.open.append((tag, skipped or tag in SKIPPED, boiler, region, inside))
+        self.open.append((tag, skipped or tag in SKIPPED, hinted, region, article, group))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -105,6 +133,8 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.link_depth = max(0, self.link_depth - 1)
         if tag in BLOCKS:
             self.flush()
         self.leave(tag)
@@ -112,6 +142,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.state()[0]:
             self.parts.append(data)
+            if self.link_depth:
+                self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -127,29 +159,57 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / weight
 
 
+def two_means(levels: np.ndarray) -> tuple[float, float]:
+    """The means of two clusters on a line, found from the extremes; equal if all levels are."""
+    low, high = float(levels.min()), float(levels.max())
+    while low < high:
+        upper = levels > (low + high) / 2
+        now = float(levels[~upper].mean()), float(levels[upper].mean())
+        if now == (low, high):
+            break
+        low, high = now
+    return low, high
+
+
 def main_text(html: str | None, sigma: float = SIGMA, cut: float = CUT) -> str:
-    """The lines of the content regions."""
+    """The lines of the content region."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
-    ratios = np.array([0.0 if boiler else len(text) / tags for text, tags, boiler, _, _ in lines])
-    if not ratios.any():
+    lines, outer = parser.lines, parser.outer
+    if all(x.hinted for x in lines):
         return ""
-    articles = any(a and not b for _, _, b, _, a in lines)
-    level = np.where(ratios > 0, smoothed(ratios, sigma), 0.0)
-    threshold = cut * ratios.std()
-    held: dict[int, list[int]] = {}
-    for (text, _, boiler, region, article), x in zip(lines, level, strict=True):
-        if not boiler and (article or not articles):
-            n = held.setdefault(region, [0, 0])
-            n[int(x > 0 and x >= threshold)] += len(text)
-    content = {region for region, (low, high) in held.items() if high and (articles or high >= low)}
-    if not content:
-        best = int(np.argmax([x if line[4] or not articles else -1 for line, x in zip(lines, level, strict=True)]))
-        content = {lines[best][3]}
-    return "\n".join(text for text, _, boiler, region, _ in lines if not boiler and region in content)
+    length = sum(len(x.text) for x in lines if not x.hinted)
+    share = sum(len(x.text) for x in lines if x.article and not x.hinted) / length
+    factor = np.array([(KIND if x.hinted else 1.0) * (1.0 if x.article else 1.0 - (1.0 - OUTSIDE) * share) for x in lines])
+    level = factor * smoothed(np.array([x.ratio for x in lines]), sigma)
+    low, high = two_means(level)
+    content = level >= low + cut * (high - low)
+    worth, top_article = [0] * len(outer), {x.region: x.article for x in lines}
+    for x, good in zip(lines, content, strict=True):
+        worth[x.region] += len(x.text) if good else -len(x.text)
+    for region in range(len(outer) - 1, 0, -1):  # inner regions have higher numbers
+        worth[outer[region]] += worth[region]
+    used = sorted({x.region for x in lines} | {0})
+    for region in list(used):
+        while region:
+            region = outer[region]
+            used.append(region)
+    best = max(sorted(set(used)), key=lambda r: worth[r])
+    wide = top_article.get(best) or next((x.article for x in lines if x.article and _inside(best, x.article, outer)), 0)
+    best = wide if wide and worth[wide] > 0 else best
+    listed: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        listed.setdefault(x.group, []).append(i)
+    menus = {g for g, of in listed.items() if len(of) >= LINKS and all(lines[i].linked > 0.8 and not content[i] for i in of)}
+    return "\n".join(x.text for x, good, f in zip(lines, content, factor, strict=True) if _inside(x.region, best, outer) and (good or (f == 1.0 and x.group not in menus)))
+
+
+def _inside(region: int, around: int, outer: list[int]) -> bool:
+    while region > around:
+        region = outer[region]
+    return region == around
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = SIGMA, cut: float = CUT) -> DataFrame:

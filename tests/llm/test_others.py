@@ -98,6 +98,42 @@ def test_main_text():
     assert len(html_text.main_text(f"<article><p>{'x' * 500_000}</p></article>")) == 500_000
 
 
+NEUTRAL = """<body><div class="a1"><ul>{links}</ul></div><div class="a2"><h1>A title of some words</h1><p>{p}</p><p>Short one.</p>
+<div class="entry-header"><p class="social">{p}</p></div><p>Energy <math><mi>E</mi></math> is <button>pressed</button></p><p>{p}</p></div>
+<div class="a3"><div>More</div><div>Terms</div><div>Imprint</div></div></body>"""
+
+
+def test_ratios_select_the_region():
+    """No article, no telling names: ratios, their smoothing and the clusters decide, and the threshold is felt."""
+    words = "Words of a real paragraph go here. " * 6
+    page = NEUTRAL.format(links="".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12)), p=words)
+    p = words.strip()
+    want = f"A title of some words\n{p}\nShort one.\n{p}\nEnergy E is pressed\n{p}"
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(page.replace("a2", "entry-header")) == want
+    assert "link 3" in html_text.main_text(page, cut=-1e9) and "Imprint" in html_text.main_text(page, cut=-1e9)
+    assert html_text.main_text(page, cut=3.0) != want
+    inside = f"<article><div class='entry-header'><h1>Title</h1></div><p class='social'>{words}</p><p>{words}</p><div class='ad'>Buy now</div></article>"
+    assert html_text.main_text(inside) == f"Title\n{p}\n{p}"
+    # a hint can be overruled: the article is a teaser, the text stands beside it
+    teaser = f"<body><div><p>{words}</p><p>{words}</p><p>{words}</p></div><article><p>Teaser</p></article></body>"
+    assert html_text.main_text(teaser).count(p) == 3
+
+
+def test_two_means_and_smoothing():
+    assert html_text.two_means(np.array([1.0, 1.0])) == (1.0, 1.0)
+    assert html_text.two_means(np.array([0.0, 1.0, 9.0, 10.0])) == (0.5, 9.5)
+    assert html_text.smoothed(np.array([0.0, 3.0, 0.0]), 1.0)[1] == pytest.approx(3 / (1 + 2 * np.exp(-0.5)))
+
+
+def test_extract_without_articles_and_names(spark):
+    """The pages of the tables, with article tags and class names taken away, give the same texts."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        want = html_text.main_text(r.html)
+        plain = re.sub(r'(</?)article>', r"\1div>", r.html)
+        assert html_text.main_text(plain) == html_text.main_text(re.sub(r' class="[^"]*"', "", r.html)) == want
+
+
 def test_extract_matches_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {}
