@@ -7,7 +7,9 @@ neighbouring suffixes. A suffix's larger neighbour prefix is the longest repeat
 that starts there: every LCP interval of at least ``min_repeat`` words is a
 maximal repeated substring, and its occurrences are the spans united. A text goes
 if the spans cover more than ``max_covered`` of its words or one repeat is longer
-than ``max_longest`` words, besides the base rules of length and 3-word windows.
+than ``max_longest`` words, besides the base rules of length and 3-word windows. The
+limit of the spans lies below that of the windows, so a text of which a third is
+a few long repeats goes by the method alone.
 
 Null and empty texts have no word and fail the length rule. Repeated rows and
 ties get equal results, an empty table gives an empty one. Columns that a caller
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from rillgrid.llm import tokens as tk
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
-DEFAULTS = {"min_words": 50, "max_window_share": 50, "min_repeat": 5, "max_covered": 0.5, "max_longest": 200}
+DEFAULTS = {"min_words": 50, "max_window_share": 50, "min_repeat": 5, "max_covered": 0.3, "max_longest": 100}
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _STARTS = np.ones(256, bool)  # bytes that begin a code point

@@ -6,14 +6,14 @@ without ``://`` have neither. Given rules (host, path) label urls: a rule fits i
 all subdomains where the path starts with the rule's, the longest rule wins.
 
 For urls that no rule fits, rules are learned: urls that one fits are baskets of tokens
-(host labels, host suffixes, path segments, query keys, one token for the scheme) plus
+(host labels, host suffixes of two labels or more, path segments, query keys, the scheme) plus
 their label, FP-growth mines the frequent combinations, and combinations that imply a
-label with ``min_confidence`` and ``min_support`` stay, unless a smaller part of them implies
-it as surely. An inverted index from a rule's rarest token finds the rules that a url can
-meet; the surest decides, then the better supported, then the longer, then block. A url
-that meets none is allowed. Frequent tokens number at most mean basket size / support, which
-bounds the rules that are broadcast; combinations of more than ``MOST_TOKENS`` tokens are
-not used.
+label with ``min_confidence`` and ``min_support``, and at least ``min_count`` urls, stay, however
+many tokens they have, unless a part of them implies it as surely. An inverted index from a
+rule's rarest token finds the rules that a url can meet; the surest decides, then the better
+supported, then the longer, then block. A url that meets none is allowed. Frequent tokens number
+at most mean basket size / support, whatever the number of urls; rules reach the driver one at a
+time, shorter ones first, and only those that stay are held and broadcast.
 
 Empty tables give empty results; repeated rows and ties are judged alike; other columns
 pass through ``allowed`` untouched.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from rillgrid.llm.scratch import written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.01, 0.9, 3
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.01, 0.9, 5
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LABELS = {"\x00allow": "allow", "\x00block": "block"}
 
@@ -70,11 +70,12 @@ class Given:
 def basket(url: str | None, host: str, path: str) -> list[str]:
     """The distinct tokens of a url. Digits count by their number, so that ids form no token of their own."""
     labels = host.split(".") if host else []
-    out = {f"h:{x}" for x in labels} | {"s:" + ".".join(labels[k:]) for k in range(len(labels))}
+    out = {f"h:{x}" for x in labels} | {"s:" + ".".join(labels[k:]) for k in range(len(labels) - 1)}
     out |= {"p:" + re.sub(r"\d+", lambda m: "9" * min(len(m[0]), 4), x) for x in path.split("/") if x}
     query = re.search(r"\?([^#]*)", url or "")
     out |= {"q:" + x.partition("=")[0] for x in query[1].split("&") if x} if query else set()
-    return sorted(out | {"scheme:" + (url or "").partition("://")[0][:16]})
+    scheme, found, _ = (url or "").partition("://")
+    return sorted(out | ({"scheme:" + scheme} if found else set()))
 
 
 def _parsed(rules: Sequence[tuple[str, str]], url_col: str, id_type: str):
@@ -94,20 +95,24 @@ def _parsed(rules: Sequence[tuple[str, str]], url_col: str, id_type: str):
     return run
 
 
-def learn(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) from rows (tokens, verdict)."""
+def learn(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> list[tuple[frozenset[str], str, float, float]]:
+    """(tokens, verdict, confidence, support) from rows (tokens, verdict), the surest first."""
     label = F.concat(F.lit("\x00"), "verdict")
     baskets = written(labelled.select(F.array_append("tokens", label).alias("items")), "baskets")
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < min_count:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].isin(*_LABELS) & (F.size("antecedent") <= MOST_TOKENS)).select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
-    found = {frozenset(r.antecedent): (_LABELS[r.label], r.confidence, r.support) for r in rules.toLocalIterator() if not any(x in _LABELS for x in r.antecedent)}
-    kept = []
-    for tokens, (verdict, confidence, support) in found.items():
-        weaker = any((y := found.get(tokens - {x})) and y[0] == verdict and y[1] >= confidence for x in tokens) if len(tokens) > 1 else False
-        if not weaker:
-            kept.append((tokens, verdict, confidence, support))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+    implied = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].isin(*_LABELS) & ~F.exists("antecedent", lambda t: t.isin(*_LABELS)))
+    ordered = implied.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("label"), "confidence", "support").orderBy(F.size("tokens"), "tokens", "label")
+    kept: list[tuple[frozenset[str], str, float, float]] = []
+    by_token: dict[str, list[int]] = {}
+    for r in ordered.toLocalIterator():
+        tokens, verdict = frozenset(r.tokens), _LABELS[r.label]
+        if any(kept[i][0] < tokens and kept[i][1] == verdict and kept[i][2] >= r.confidence for t in tokens for i in by_token.get(t, ())):
+            continue
+        by_token.setdefault(min(tokens), []).append(len(kept))  # a part of a larger set lies under one of its tokens
+        kept.append((tokens, verdict, r.confidence, r.support))
     return sorted(kept, key=lambda r: (-r[2], -r[3], -len(r[0]), r[1] != "block", sorted(r[0])))
 
 
@@ -128,11 +133,11 @@ def _judged(shared):
     return run
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """id_col, host, path, rule, verdict and learned_rule (the tokens that decided, if no given rule did) for each row."""
     kind = dict(pages.dtypes)[id_col]
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(_parsed(rules, url_col, kind), f"id {kind}, host string, path string, rule string, verdict string, tokens array<string>")
-    learned = learn(parsed.where("verdict IS NOT NULL").select("tokens", "verdict"), min_support, min_confidence)
+    learned = learn(parsed.where("verdict IS NOT NULL").select("tokens", "verdict"), min_support, min_confidence, min_count)
     often: dict[str, int] = {}
     for tokens, *_ in learned:
         for t in tokens:

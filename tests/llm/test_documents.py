@@ -151,6 +151,36 @@ def test_quality_rules_odd(odd, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.kept and r.doc_id is not None)
 
 
+def brute_covered(text, least=5):
+    """Words in runs of at least so many that the text holds twice or more, and the longest such run."""
+    w, marked, longest = words(text), set(), 0
+    for i in range(len(w)):
+        best = 0
+        for j in range(len(w)):
+            k = 0
+            while i != j and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                k += 1
+            best = max(best, k)
+        longest = max(longest, best)
+        if best >= least:
+            marked |= set(range(i, i + best))
+    return len(marked), longest
+
+
+def test_quality_rules_drop_by_the_method_alone(spark):
+    """Texts that the base rules keep: long repeats over more than 30 % of the words, or one of more than 100 words."""
+    rng = np.random.default_rng(6)
+    w = [f"w{i}" for i in range(3000)]
+    rows = [(0, " ".join(w[:60] + w[100:120] * 2)), (1, " ".join(w[:90] + w[100:110] * 2)), (2, " ".join(w[:2000] + w[2100:2220] + w[2300:2400] + w[2100:2220]))]
+    rows += [(10 + i, " ".join(w[x] for x in np.r_[rng.integers(0, 500, 60), np.tile(rng.integers(0, 500, n), 2)])) for i, n in enumerate(range(3, 33, 3))]
+    got = {r.doc_id: r for r in quality_rules.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        r = got[i]
+        assert (r.n_covered_words, r.longest_repeat) == brute_covered(t)
+        assert r.kept == (not r.base_failed and r.n_covered_words <= 0.3 * r.n_words and r.longest_repeat <= 100)
+    assert not got[0].base_failed and not got[0].kept and got[1].kept and not got[2].base_failed and not got[2].kept
+
+
 def test_quality_rules_reject_long_repeats(spark):
     unique = [f"w{i}" for i in range(400)]
     block = [f"b{i}" for i in range(260)]
