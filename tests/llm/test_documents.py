@@ -286,17 +286,38 @@ def test_filter_reads_counts_back():
     assert np.mean(f.counts(tk.mix(np.arange(10_000, 40_000, dtype=np.uint64))) > 0) < 0.02
 
 
-def test_targets_stop_at_three_times_the_size():
-    got = mixing.targets({"a": 10, "b": 1000, None: 500, "c": 0})
-    assert got["c"] == 0 and sum(got.values()) == pytest.approx(1510) and got["a"] == 30 and all(got[s] <= 3 * n for s, n in {"a": 10, "b": 1000, None: 500}.items())
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
+    order = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [None] * (None in sizes)
+    weight = {x: weights[i % len(weights)] for i, x in enumerate(order)}
+    out, left, open_ = dict.fromkeys(order, 0.0), float(sum(sizes.values())), [x for x in order if sizes[x]]
+    while open_:
+        share = left / sum(weight[x] for x in open_)
+        over = {x for x in open_ if share * weight[x] > most * sizes[x]}
+        for x in over or open_:
+            out[x] = most * sizes[x] if over else share * weight[x]
+            left -= out[x]
+        open_ = [x for x in open_ if x not in over] if over else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 500, "c": 0}, {"a": 0}, {}, {"é": 3, "z": 10**6, "Z": 5, "\U0001f600": 70, "\uffff": 9}, {f"s{i}": i * i * (i % 5 > 0) for i in range(300)}])
+def test_targets_match_brute_force(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r for r in mixing.with_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert {x: r.target for x, r in got.items()} == {x: pytest.approx(t, rel=1e-9) for x, t in want.items()}
+    assert [x for x, _ in sorted(((x, r["rank"]) for x, r in got.items()), key=lambda t: t[1])] == list(want)
 
 
 def test_splitting_tree_is_exact():
     quotas = np.array([5, 0, 64, 1000, 7])
-    tree = mixing.splitting_tree(quotas, 13, 1)
-    assert (tree.sum(0) == quotas).all() and np.ptp(tree.sum(1)) <= 1 and (tree >= 0).all()
-    assert (tree == mixing.splitting_tree(quotas, 13, 1)).all()
+    deal = mixing.splitting_tree(quotas, 13, 1)
+    per = np.array([np.bincount(x, minlength=13) for x in deal])
+    assert [len(x) for x in deal] == quotas.tolist() and np.ptp(per.sum(0)) <= 1
+    assert all((x == y).all() for x, y in zip(deal, mixing.splitting_tree(quotas, 13, 1), strict=True))
+    # the left half's quota of a source is hypergeometric: its mean over seeds is its share
+    left = [np.sum(mixing.splitting_tree(np.array([30, 70]), 2, seed)[0] == 0) for seed in range(400)]
+    assert abs(np.mean(left) - 15) < 0.5 and np.var(left) == pytest.approx(50 * 0.3 * 0.7 * 50 / 99, rel=0.25)
 
 
 def test_mixing(spark, odd, none):
@@ -309,13 +330,29 @@ def test_mixing(spark, odd, none):
         assert r.size == len(words(t)) and r.taken % max(1, r.size) == 0 and r.taken <= 3 * r.size and len(r.shards) * r.size == r.taken
         per[s] += r.taken
     for i, _, s in rows:
-        assert abs(per[s] - plan[i].target) <= 9
+        assert abs(per[s] - plan[i].target) <= 2
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     counts = Counter(r.doc_id for r in mixed.collect())
     assert counts == Counter({i: r.taken // r.size for i, r in plan.items() if r.taken})
     assert mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
     assert mixing.taken(odd).count() == odd.count()
+    many = spark.createDataFrame([(i, "w " * (1 + i % 3), f"site{i}") for i in range(5000)] + [(9000 + i, "w " * 500, "large") for i in range(10)], "doc_id long, text string, source string")
+    rows = mixing.taken(many, shards=8).collect()  # sources of less than a block share blocks
+    assert len(rows) == 5010 and {s for r in rows for s in r.shards} == set(range(8)) and all(r.taken == len(r.shards) * r.size for r in rows)
+    assert [(r.doc_id, r.taken) for r in sorted(rows)] == [(r.doc_id, r.taken) for r in sorted(mixing.taken(many.repartition(3), shards=8).collect())]
+    assert len({s for r in mixing.taken(many, shards=2, shard_words=1000).collect() for s in r.shards}) > 8
+
+
+def test_a_large_document_does_not_stop_the_fill(spark):
+    """The hash order meets a document that does not fit; smaller ones behind it fill what is left."""
+    rows = [(i, "w " * (700 if i % 10 == 0 else 3), "a") for i in range(200)] + [(1000 + i, "w " * 9, "b") for i in range(2000)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    per = Counter()
+    for r in got:
+        per[r.doc_id < 1000] += r.taken
+    target = {r.doc_id < 1000: r.target for r in got}
+    assert all(abs(per[x] - target[x]) <= 9 for x in target)
 
 
 def test_quality_classifier(spark, odd, none):

@@ -227,13 +227,13 @@ def brute_top(ids, vectors, is_query, k):
 @pytest.mark.parametrize(("n", "spread"), [(400, 2), (900, 40), (3, 5)])
 def test_top_k(spark, monkeypatch, n, spread):
     """Few distinct values give many ties and equal vectors; small trees and pages give deep searches."""
-    monkeypatch.setattr(mtree, "BLOCK", 4)
+    monkeypatch.setattr(mtree, "PAGE", 16)
     rng = np.random.default_rng(n)
     whole = rng.integers(-spread, spread, (n, 6))
     rows = [(i * 5, [float(x) / 256 for x in v], 0) for i, v in enumerate(whole)]
     bad = [(None, rows[0][1], 0), (7, None, 0), (11, [None] * 6, 0), (12, [float("nan")] * 6, 0), (13, [float("inf")] * 6, 0), (14, [], 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int").repartition(3)
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, query_mb=0.0005).collect())
     assert got == brute_top(np.arange(n) * 5, whole, np.arange(n) * 5 % 50 == 0, 5)
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
@@ -246,6 +246,28 @@ def test_top_k_of_repeated_rows(spark, ids):
     assert got == list(enumerate([i for i in ids if i != 50][:5], 1))
 
 
+@pytest.mark.parametrize(("power", "dimensions"), [(27, 1024), (30, 64), (52, 6), (200, 3), (600, 2)])
+def test_top_k_of_large_components(spark, power, dimensions):
+    """Products far beyond 2^53 and 2^63 rank as whole numbers do; close ones differ in their last bits."""
+    rng = np.random.default_rng(power)
+    n = 300 if dimensions < 1000 else 60
+    high = 2.0**power - np.floor(rng.random((n, dimensions)) * 4) * 2.0 ** max(0, power - 50)
+    vectors = high * rng.choice([-1.0, 1.0], (n, 1))
+    vectors[n // 2 : n // 2 + 10] = vectors[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, scale=1).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, n, 50):
+        exact = sorted(((-sum(int(x) * int(y) for x, y in zip(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q))[:5]
+        assert got[q] == {k: (i, min(2**63 - 1, -s)) for k, (s, i) in enumerate(exact, 1)}
+
+
+def test_repeated_query_ids_ask_with_the_smallest_vector(spark):
+    df = spark.createDataFrame([(50, [3.0, 0.0]), (50, [0.0, 1.0]), (51, [1.0, 0.0]), (52, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") == 50, scale=1).orderBy("rank").collect()] == [(52, 1), (51, 0)]
+
+
 def test_tree_search_prunes(monkeypatch):
     monkeypatch.setattr(mtree, "PAGE", 16)
     rng = np.random.default_rng(0)
