@@ -47,12 +47,12 @@ def area_ha(pixels: Column, pixel_m: float) -> Column:
 
 
 def grid_cell(row: Column, col: Column, height: int, width: int, ny: int = 3, nx: int = 5) -> Column:
-    """PRJ-26: the cell's name; edges are floor(i * size / n), not equal widths."""
+    """PRJ-26: the cell's name, counted from 1; edges are floor(i * size / n), not equal widths."""
 
     def index(x: Column, size: int, n: int) -> Column:
-        at = F.lit(None)
+        at = F.lit(None).cast("int")
         for i in range(n):
-            at = F.when((x >= i * size // n) & (x < (i + 1) * size // n), i).otherwise(at) if i else F.when((x >= 0) & (x < size // n), 0)
+            at = F.when((x >= i * size // n) & (x < (i + 1) * size // n), i + 1).otherwise(at)
         return at
 
     return F.format_string("y%dx%d", index(row, height, ny), index(col, width, nx))
@@ -62,5 +62,5 @@ def occurrence_bin(occ: Column, bins: Sequence[tuple[float, float]] = ((0.0, 0.2
     """PRJ-27, T32: (lo, hi] bins on doubles; NULL outside."""
     out = F.lit(None).cast("string")
     for lo, hi in reversed(bins):
-        out = F.when((occ > lo) & (occ <= hi), F.lit(f"({lo:g},{hi:g}]")).otherwise(out)
+        out = F.when((occ > lo) & (occ <= hi), F.lit(f"({lo:.1f},{hi:.1f}]")).otherwise(out)
     return out

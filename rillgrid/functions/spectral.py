@@ -68,58 +68,17 @@ def ternary(bare: Column, veg: Column) -> tuple[Column, Column]:
     return bare + veg / 2, F.sqrt(F.lit(3.0)) / 2 * veg
 
 
-def nnls_fractions(bands: Sequence[Column], endmembers: Sequence[Sequence[float]]) -> Column:
-    """KRN-1, T8: non-negative least squares on three endmember spectra, rescaled to sum 1.
-
-    The 7 non-empty active sets have closed solutions from the constant Gram matrix; the
-    feasible one of least squared error wins. All in expressions, so the solve stays in code
-    generation. Gives an array of three; zeros where no set is feasible; NULL if a band is.
-    """
-    n = len(endmembers)
+def active_sets(endmembers: Sequence[Sequence[float]]) -> list[dict[int, list[float]]]:
+    """For each non-empty set of endmembers that is not collinear: the rows of its inverse Gram matrix, which turn products with a spectrum into fractions."""
     g = [[sum(a * b for a, b in zip(p, q, strict=True)) for q in endmembers] for p in endmembers]
-    h = [F.lit(0.0) for _ in range(n)]
-    for k, e in enumerate(endmembers):
-        for b, v in zip(bands, e, strict=True):
-            h[k] = h[k] + b * F.lit(float(v))
-    tried = []
-    for size in range(1, n + 1):
-        for active in combinations(range(n), size):
-            solved = _solved(active, g, h)
-            if solved is None:
-                continue
-            c = [solved.get(k, F.lit(0.0)) for k in range(n)]
-            error = F.lit(0.0)
-            for p in active:
-                error = error - 2 * c[p] * h[p]
-                for q in active:
-                    error = error + c[p] * c[q] * F.lit(g[p][q])
-            feasible = F.lit(True)
-            for p in active:
-                feasible = feasible & (c[p] >= 0)
-            tried.append(F.when(feasible, F.struct(error.alias("error"), F.lit(len(tried)).alias("set"), F.array(*c).alias("c"))))
-    best = F.array_min(F.array_compact(F.array(*tried)))["c"]
-    total = best[0] + best[1] + best[2]
-    zero = F.array(*(F.lit(0.0) for _ in range(n)))
-    known = F.lit(True)
-    for b in bands:
-        known = known & b.isNotNull()
-    return F.when(known, F.when(best.isNull(), zero).otherwise(F.when(total > 0, F.transform(best, lambda x: x / total)).otherwise(best)))
-
-
-def _solved(active: tuple[int, ...], g: list[list[float]], h: list[Column]) -> dict[int, Column] | None:
-    """Cramer's rule for the normal equations of an active set; None if its spectra are collinear."""
-    m = [[g[p][q] for q in active] for p in active]
-    det = _det(m)
-    if abs(det) < 1e-15:
-        return None
-    out = {}
-    for k, p in enumerate(active):
-        # expansion along the replaced column keeps the right-hand side symbolic
-        total = F.lit(0.0)
-        for i, q in enumerate(active):
-            minor = [[m[r][c] for c in range(len(active)) if c != k] for r in range(len(active)) if r != i]
-            total = total + h[q] * F.lit((-1) ** (i + k) * _det(minor) / det)
-        out[p] = total
+    out = []
+    for size in range(1, len(g) + 1):
+        for active in combinations(range(len(g)), size):
+            m = [[g[p][q] for q in active] for p in active]
+            det = _det(m)
+            if abs(det) >= 1e-15:
+                minor = lambda i, k, m=m: [[x for c, x in enumerate(row) if c != k] for r, row in enumerate(m) if r != i]
+                out.append({p: [(-1) ** (i + k) * _det(minor(i, k)) / det for i in range(size)] for k, p in enumerate(active)})
     return out
 
 

@@ -52,10 +52,14 @@ def delta_qa(values: DataFrame, base: object, scene: str = "scene", key: Sequenc
 
 
 def paired_by_prefix(left: DataFrame, right: DataFrame, name: str, image: str, length: int = 25) -> DataFrame:
-    """JN-5, T35: each name with the image of the same name, else the first that shares its first 25 characters, else NULL."""
+    """JN-5, T35: each name with the image of the same name, else the first image that holds its first 25 characters anywhere, else NULL.
+
+    An image is keyed by each of its runs of that length, so that holding is an equi join; a shorter name is not looked for within others.
+    """
     key = F.substring(name, 1, length).alias("_p")
     one = left.select("*", key)
-    many = right.groupBy(F.substring(image, 1, length).alias("_p")).agg(F.min(image).alias("_first"))
+    runs = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(image) - length + 1)), lambda k: F.substring(F.col(image), k, F.lit(length))))).alias("_p")
+    many = right.select(image, runs).groupBy("_p").agg(F.min(image).alias("_first"))
     exact = right.select(F.col(image).alias("_exact")).distinct()
     return one.join(many, "_p", "left").join(exact, F.col(name) == F.col("_exact"), "left").withColumn(image, F.coalesce("_exact", "_first")).drop("_p", "_first", "_exact")
 
@@ -103,8 +107,8 @@ def wilson_shares(rows: DataFrame, cluster: str, label: str, values: Sequence, z
 
 
 def group_means(rows: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
-    """AGG-14: size and means of each cluster."""
-    return rows.groupBy(cluster).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
+    """AGG-14: size and means of each cluster, in the order of the first mean."""
+    return rows.groupBy(cluster).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns)).orderBy(f"mean_{columns[0]}", cluster)
 
 
 def box_statistics(rows: DataFrame, cluster: str, column: str) -> DataFrame:

@@ -86,7 +86,7 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
 def multi_otsu(df: DataFrame, column: str, bins: int = 256) -> DataFrame:
     """AGG-19, A8: one row (t1, t2): the centres of the bins that part three classes with the largest variance between them.
 
-    The histogram (at most ``bins`` rows) is all that leaves the executors' data; pairs of its bins are compared in one window and one equi-free explode.
+    The histogram (at most ``bins`` rows) is all that leaves the executors; its pairs of bins, some 32,000, are compared on the driver.
     """
     r = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
     if r.lo is None or r.hi == r.lo:
@@ -113,3 +113,33 @@ def stretched(df: DataFrame, columns: Sequence[str], low: float = 0.5, high: flo
 def rank_in_class(df: DataFrame, score: Column, label: str, order: Sequence[str]) -> DataFrame:
     """SRT-3: df with rank from 1 in each class, best score first."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(score.desc(), *order)))
+
+
+def unmixed(df: DataFrame, bands: Sequence[str], endmembers: Sequence[Sequence[float]], names: Sequence[str] = ("water", "veg", "bare")) -> DataFrame:
+    """KRN-1, T8: df with the non-negative least squares fractions of the endmember spectra, rescaled to sum 1.
+
+    The non-empty active sets have closed solutions from the constant Gram matrix; the feasible one of
+    least squared error wins, which is that of the largest product of fractions and right-hand side. The
+    products with the spectra, the sets' solutions and the choice are projected one after another, so that
+    each is computed once and all stays in code generation. Zeros where no set is feasible; NULL if a band is.
+    """
+    n = len(endmembers)
+    h, fractions = [f"_h{k}" for k in range(n)], {}
+    sets = spectral.active_sets(endmembers)
+    for k, active in enumerate(sets):
+        for p, row in active.items():
+            fractions[f"_c{k}_{p}"] = sum((F.col(h[q]) * F.lit(float(x)) for q, x in zip(active, row, strict=True)), F.lit(0.0))
+    tried = []
+    for k, active in enumerate(sets):
+        c = {p: F.col(f"_c{k}_{p}") for p in active}
+        feasible = F.lit(True)
+        for x in c.values():
+            feasible = feasible & (x >= 0)
+        error = -sum((x * F.col(h[p]) for p, x in c.items()), F.lit(0.0))
+        tried.append(F.when(feasible, F.struct(error.alias("error"), F.lit(k).alias("set"), *(c.get(p, F.lit(0.0)).alias(f"c{p}") for p in range(n)))))
+    products = {h[k]: sum((F.col(b) * F.lit(float(v)) for b, v in zip(bands, e, strict=True)), F.lit(0.0)) for k, e in enumerate(endmembers)}
+    best = F.least(*tried) if len(tried) > 1 else tried[0]
+    solved = df.withColumns(products).withColumns(fractions).withColumn("_best", best)
+    total = sum((F.col(f"_best.c{p}") for p in range(n)), F.lit(0.0))
+    share = lambda p: F.when(F.col(h[0]).isNotNull(), F.coalesce(F.when(total > 0, F.col(f"_best.c{p}") / total), F.lit(0.0)))
+    return solved.select(*(F.col(f"`{c}`") for c in df.columns), *(share(p).alias(name) for p, name in enumerate(names)))

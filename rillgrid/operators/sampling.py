@@ -10,8 +10,8 @@ from rillgrid.functions import keys
 
 
 def priority(seed: int, *columns: str) -> Column:
-    """A hash order in place of a random generator's: the same on every machine (an intended difference)."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """A hash order in place of a random generator's: the same on every machine and engine (an intended difference)."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
 def uniform(rows: DataFrame, most: int = 200, seed: int = 42, key: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -25,10 +25,15 @@ def strata(pixels: DataFrame, height: int, width: int, ny: int = 3, nx: int = 5,
     return out.where(F.col("occ_bin").isNotNull() & ~F.contains(F.col("cell_id"), F.lit("null")))
 
 
+def shuffled(candidates: DataFrame, seed: int = 42, stratum: Sequence[str] = ("occ_bin", "cell_id"), key: Sequence[str] = ("row", "col")) -> DataFrame:
+    """SMP-2: candidates with their place k, from 1, in the hash order of their stratum."""
+    return candidates.withColumn("k", F.row_number().over(Window.partitionBy(*stratum).orderBy(priority(seed, *key), *key)))
+
+
 def summary(candidates: DataFrame, sampled: DataFrame, bins: Sequence[str], ny: int = 3, nx: int = 5) -> DataFrame:
     """SMP-4, JN-9: candidates and sampled of every stratum, also the empty ones. The strata are a literal list."""
     spark = candidates.sparkSession
-    every = spark.createDataFrame([(b, f"y{y}x{x}") for b in bins for y in range(ny) for x in range(nx)], "occ_bin string, cell_id string")
+    every = spark.createDataFrame([(b, f"y{y}x{x}") for b in bins for y in range(1, ny + 1) for x in range(1, nx + 1)], "occ_bin string, cell_id string")
     on = ["occ_bin", "cell_id"]
     a, b = candidates.groupBy(*on).agg(F.count("*").alias("candidates")), sampled.groupBy(*on).agg(F.count("*").alias("sampled"))
     return every.join(a, on, "left").join(b, on, "left").select(*on, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("candidates", "sampled")))

@@ -70,144 +70,262 @@ def single_breaks(points: DataFrame, min_size: int = 5, series: str = "series",
 
 
 # --- kernels ------------------------------------------------------------------------------------
+#
+# Series of equal length are solved together: a table (series, from, to) of segment costs over the
+# admissible cuts comes from running sums, and each search is a few array operations over it.
 
+CELLS = 2_000_000  # of the table of costs held at once
+DIGITS = 10  # that tables of costs are rounded to, so that equal ones tie, and the first wins, whatever the order of sums
 
-def l2_cost(y: np.ndarray) -> Callable[[int, int], float]:
-    s, q = np.r_[0.0, np.cumsum(y)], np.r_[0.0, np.cumsum(y * y)]
-    return lambda i, j: max(0.0, q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i))
 
+def admissible(n: int, min_size: int, jump: int) -> np.ndarray:
+    """0, the multiples of jump at least min_size from either end, and n."""
+    return np.array([0, *(p for p in range(jump, n, jump) if min_size <= p <= n - min_size), n])
 
-def linear_cost(y: np.ndarray, t: np.ndarray | None = None, intercept: bool = True) -> Callable[[int, int], float]:
-    """Residual sum of squares of a line over t, without its intercept if asked (T19)."""
-    t = np.arange(len(y), dtype=float) if t is None else t
-    sums = [np.r_[0.0, np.cumsum(x)] for x in (y, t, t * t, y * t, y * y)]
 
-    def cost(i: int, j: int) -> float:
-        n = j - i
-        if n < 2:
-            return 0.0
-        sy, st, stt, syt, syy = (s[j] - s[i] for s in sums)
-        if intercept:
-            stt, syt, syy = stt - st * st / n, syt - st * sy / n, syy - sy * sy / n
-        return max(0.0, syy - (syt * syt / stt if stt > 1e-15 else 0.0))
+def _sums(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """(series, from, to) sums of x between any two points."""
+    s = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, 1)], 1)[:, points]
+    return s[:, None, :] - s[:, :, None]
 
-    return cost
 
+def l2_costs(z: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances from the segment's mean."""
+    n = np.maximum(1, points[None, :] - points[:, None])
+    return np.maximum(0.0, _sums(z * z, points) - _sums(z, points) ** 2 / n)
 
-def optimal_partitions(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 1) -> list[tuple[float, list[int]]]:
-    """A2: for m = 0, 1, … breaks the least cost and its cuts, cuts at multiples of jump; stops where no more fit."""
-    if n < max(1, min_size):
+
+def linear_costs(z: np.ndarray, t: np.ndarray, points: np.ndarray, intercept: bool = True) -> np.ndarray:
+    """Residual sums of squares of a line over t, without its intercept if asked (T19)."""
+    n = points[None, :] - points[:, None]
+    sy, st, stt, syt, syy = (_sums(x, points) for x in (z, t, t * t, z * t, z * z))
+    if intercept:
+        size = np.maximum(1, n)
+        stt, syt, syy = stt - st * st / size, syt - st * sy / size, syy - sy * sy / size
+    fit = np.divide(syt * syt, stt, out=np.zeros_like(syt), where=stt > 1e-15)
+    return np.where(n < 2, 0.0, np.maximum(0.0, syy - fit))
+
+
+def partitions(table: np.ndarray, points: np.ndarray, most: int, min_size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A2: for m = 0, 1, … breaks the least cost of each series and the places in points of its m cuts; stops where no more fit."""
+    if points[-1] < max(1, min_size):
         return []
-    ends = [p for p in range(min_size, n - min_size + 1) if p % jump == 0] + [n]
-    start = [0] + ends[:-1]
-    table = {(0, e): (cost(0, e), ()) for e in ends}
+    step = np.where(points[None, :] - points[:, None] >= min_size, table, np.inf)
+    held, row, back = step[:, 0, :], np.arange(len(table)), []
+    step = step.copy()
+    step[:, 0, :] = np.inf
+    out = [(held[:, -1], np.zeros((len(table), 0), np.int64))]
     for m in range(1, most + 1):
-        for e in ends:
-            best = min(((table[m - 1, s][0] + cost(s, e), table[m - 1, s][1] + (s,)) for s in start if s and e - s >= min_size and (m - 1, s) in table), default=None)
-            if best is not None:
-                table[m, e] = best
-        if (m, n) not in table:
+        tried = held[:, :, None] + step
+        at = tried.argmin(1)
+        held = np.take_along_axis(tried, at[:, None, :], 1)[:, 0]
+        back.append(at)
+        if not np.isfinite(held[:, -1]).any():
             break
-    return [(table[m, n][0], list(table[m, n][1])) for m in range(most + 1) if (m, n) in table]
+        place, cuts = np.full(len(table), len(points) - 1), np.zeros((len(table), m), np.int64)
+        for k in range(m - 1, -1, -1):
+            place = back[k][row, place]
+            cuts[:, k] = place
+        out.append((held[:, -1], cuts))
+    return out
 
 
-def greedy_splits(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 5) -> list[list[int]]:
-    """A3: cuts of 0, 1, … greedy binary splits; each takes the largest gain over all current segments."""
-    cuts: list[int] = []
-    out = [[]] if n >= min_size else []
-    while len(out) <= most and out:
-        edges = [0, *sorted(cuts), n]
-        best = max(((cost(a, b) - cost(a, c) - cost(c, b), -c) for a, b in zip(edges, edges[1:], strict=False) for c in range(a + min_size, b - min_size + 1) if c % jump == 0), default=None)
-        if best is None:
+def _edges(table: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point, the places of the nearest edges before and after it."""
+    place = np.arange(edge.shape[1])
+    before = np.maximum.accumulate(np.where(edge, place, 0), 1)
+    after = np.minimum.accumulate(np.where(edge, place, edge.shape[1] - 1)[:, ::-1], 1)[:, ::-1]
+    return np.c_[np.zeros(len(edge), np.int64), before[:, :-1]], np.c_[after[:, 1:], np.full(len(edge), edge.shape[1] - 1)]
+
+
+def greedy_cuts(table: np.ndarray, points: np.ndarray, most: int, min_size: int) -> list[np.ndarray]:
+    """A3: places of 0, 1, … greedy binary splits; each takes the largest gain over all current segments, the first on ties."""
+    n_series, row = len(table), np.arange(len(table))
+    edge = np.zeros((n_series, len(points)), bool)
+    edge[:, [0, -1]] = True
+    out = [np.zeros((n_series, 0), np.int64)]
+    place = np.arange(len(points))[None, :]
+    for m in range(1, most + 1):
+        a, b = _edges(table, edge)
+        fits = ~edge & (points[place] - points[a] >= min_size) & (points[b] - points[place] >= min_size)
+        if not fits.any(1).all():
             break
-        cuts.append(-best[1])
-        out.append(sorted(cuts))
+        r = row[:, None]
+        gain = np.where(fits, table[r, a, b] - table[r, a, place] - table[r, place, b], -np.inf)
+        edge[row, gain.argmax(1)] = True
+        out.append(np.nonzero(edge[:, 1:-1])[1].reshape(n_series, m) + 1)
     return out
 
 
-def merged_segments(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 5) -> list[list[int]]:
-    """KRN-4: from the finest grid, the pair of segments that costs least to join is joined; cuts of 0 to most."""
-    edges = [0, *[p for p in range(jump, n, jump) if p >= min_size and n - p >= min_size], n]
-    edges = [e for k, e in enumerate(edges) if k in (0, len(edges) - 1) or e - edges[k - 1] >= min(min_size, jump)]
-    out = {}
-    while True:
-        out[len(edges) - 2] = edges[1:-1]
-        if len(edges) <= 2:
-            break
-        k = min(range(1, len(edges) - 1), key=lambda k: (cost(edges[k - 1], edges[k + 1]) - cost(edges[k - 1], edges[k]) - cost(edges[k], edges[k + 1]), k))
-        edges = edges[:k] + edges[k + 1 :]
+def merged_cuts(table: np.ndarray, points: np.ndarray, most: int) -> list[np.ndarray]:
+    """KRN-4: from all points, the pair of segments that costs least to join is joined, the first on ties; places of 0 to most cuts."""
+    n_series, row = len(table), np.arange(len(table))
+    edge = np.ones((n_series, len(points)), bool)
+    place, out = np.arange(len(points))[None, :], {}
+    for m in range(len(points) - 2, -1, -1):
+        out[m] = np.nonzero(edge[:, 1:-1])[1].reshape(n_series, m) + 1
+        if m:
+            a, b = _edges(table, edge)
+            r = row[:, None]
+            loss = np.where(edge, table[r, a, b] - table[r, a, place] - table[r, place, b], np.inf)
+            loss[:, [0, -1]] = np.inf
+            edge[row, loss.argmin(1)] = False
     return [out[m] for m in range(most + 1) if m in out]
 
 
-def _per_series(vectors: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], Iterator[dict]], fields: str, series: str = "series") -> DataFrame:
-    """kernel(values, index of each) for each row's array without its missing values; a failing series gives one row with error (CTL-4)."""
+def _whole_cost(table: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    edges = np.c_[np.zeros(len(cuts), np.int64), cuts, np.full(len(cuts), table.shape[1] - 1)]
+    return table[np.arange(len(cuts))[:, None], edges[:, :-1], edges[:, 1:]].sum(1)
+
+
+def _of_one(n: int, cost: Callable[[int, int], float], points: np.ndarray) -> np.ndarray:
+    return np.array([[[cost(int(a), int(b)) if a < b else 0.0 for b in points] for a in points]])
+
+
+def optimal_partitions(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 1) -> list[tuple[float, list[int]]]:
+    """partitions() of one series, for any cost of its segments [i, j)."""
+    if n < max(1, min_size):
+        return []
+    points = admissible(n, min_size, jump)
+    return [(float(c[0]), points[cuts[0]].tolist()) for c, cuts in partitions(_of_one(n, cost, points), points, most, min_size)]
+
+
+def greedy_splits(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 5) -> list[list[int]]:
+    """greedy_cuts() of one series."""
+    if n < min_size:
+        return []
+    points = admissible(n, min_size, jump)
+    return [points[cuts[0]].tolist() for cuts in greedy_cuts(_of_one(n, cost, points), points, most, min_size)]
+
+
+def merged_segments(n: int, cost: Callable[[int, int], float], most: int, min_size: int, jump: int = 5) -> list[list[int]]:
+    """merged_cuts() of one series."""
+    points = admissible(n, min_size, jump)
+    return [points[cuts[0]].tolist() for cuts in merged_cuts(_of_one(n, cost, points), points, most)]
+
+
+def l2_cost(y: np.ndarray) -> Callable[[int, int], float]:
+    """The cost of a segment [i, j) of one series."""
+    return lambda i, j: float(l2_costs(y[None], np.array([i, j]))[0, 0, 1])
+
+
+def linear_cost(y: np.ndarray, t: np.ndarray | None = None, intercept: bool = True) -> Callable[[int, int], float]:
+    """The cost of a segment [i, j) of one series over t, by default its positions."""
+    t = np.arange(len(y), dtype=float) if t is None else t
+    return lambda i, j: float(linear_costs(y[None], t[None], np.array([i, j]), intercept)[0, 0, 1])
+
+
+def _doubles(values) -> np.ndarray:
+    if values is None:
+        return np.zeros(0)
+    try:
+        return np.asarray(values, float)
+    except TypeError:
+        return np.array([np.nan if x is None else x for x in values], float)
+
+
+def _per_length(vectors: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], Iterator[dict]], fields: str, points: Callable[[int], int], series: str = "series") -> DataFrame:
+    """kernel(values, their positions) for the arrays with as many values that are there, a row each; it yields columns for all of them.
+
+    points: how many admissible cuts a series of n values has, for the number solved at once. Series
+    that fail are tried alone and give one row with error then (CTL-4).
+    """
     kind = dict(vectors.dtypes)[series]
     names = [f.split()[0] for f in fields.split(", ")]
 
+    def solved(keys: list, z: np.ndarray, index: np.ndarray) -> list[pd.DataFrame]:
+        out = []
+        for columns in kernel(z, index):
+            out.append(pd.DataFrame({series: keys, "error": None} | {k: v.tolist() if isinstance(v, np.ndarray) and v.ndim > 1 else v for k, v in columns.items()}))
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            groups: dict[int, list] = {}
             for key, values in zip(frame[series], frame["v"], strict=True):
-                y = np.array([np.nan if x is None else x for x in values], float) if values is not None else np.zeros(0)
+                y = _doubles(values)
                 index = np.flatnonzero(np.isfinite(y))
-                try:
-                    rows += [{series: key, "error": None} | r for r in kernel(y, index)]
-                except (ValueError, np.linalg.LinAlgError) as e:
-                    rows.append({series: key, "error": str(e)[:200]})
-            yield pd.DataFrame(rows, columns=[series, *names, "error"])
+                groups.setdefault(len(index), []).append((key, y[index], index))
+            for n, rows in groups.items():
+                size = max(1, CELLS // (points(n) + 2) ** 2)
+                for lo in range(0, len(rows), size):
+                    keys, z, index = zip(*rows[lo : lo + size], strict=True)
+                    try:
+                        found = solved(list(keys), np.array(z), np.array(index))
+                    except (ValueError, np.linalg.LinAlgError):
+                        found = []
+                        for key, one, at in zip(keys, z, index, strict=True):
+                            try:
+                                found += solved([key], one[None], at[None])
+                            except (ValueError, np.linalg.LinAlgError) as e:
+                                found.append(pd.DataFrame({series: [key], "error": [str(e)[:200]]}))
+                    for part in found:
+                        yield part.reindex(columns=[series, *names, "error"])
 
     return vectors.select(series, "v").mapInPandas(run, f"`{series}` {kind}, {fields}, error string")
 
 
+def _model(n: int, rss: np.ndarray, cuts: np.ndarray, index: np.ndarray) -> dict:
+    """A model's columns; cuts index the values that are there (T15), cuts_full all positions."""
+    last = np.take_along_axis(index, np.maximum(cuts - 1, 0), 1) + 1 if cuts.shape[1] else cuts
+    return {"n": n, "m": cuts.shape[1], "rss": rss, "cuts": cuts.tolist(), "cuts_full": last.tolist()}
+
+
+_FIELDS = "n int, m int, rss double, cuts array<int>, cuts_full array<int>"
+
+
 def pelt_models(vectors: DataFrame, most: int | None = None, min_size: int = 5, jump: int = 5, series: str = "series") -> DataFrame:
-    """KRN-2, A2: (series, n, m, rss, cuts) for every m, up to ``most`` if given. cuts index the values that are there (T15); cuts_full all positions."""
+    """KRN-2, A2, FLT-19, 20: (series, n, m, rss, cuts, cuts_full) for every m, up to ``most`` if given."""
 
-    def kernel(y: np.ndarray, index: np.ndarray) -> Iterator[dict]:
-        z = y[index]
-        for m, (rss, cuts) in enumerate(optimal_partitions(len(z), l2_cost(z), len(z) // min_size - 1 if most is None else most, min_size, jump)):
-            yield {"n": len(z), "m": m, "rss": rss, "cuts": cuts, "cuts_full": [int(index[c - 1]) + 1 for c in cuts]}
+    def kernel(z: np.ndarray, index: np.ndarray) -> Iterator[dict]:
+        n = z.shape[1]
+        if n >= min_size:
+            points = admissible(n, min_size, jump)
+            for rss, cuts in partitions(l2_costs(z, points).round(DIGITS), points, n // min_size - 1 if most is None else most, min_size):
+                yield _model(n, rss, points[cuts], index)
 
-    return _per_series(vectors, kernel, "n int, m int, rss double, cuts array<int>, cuts_full array<int>", series)
+    return _per_length(vectors, kernel, _FIELDS, lambda n: n // jump, series)
 
 
 def ic_models(vectors: DataFrame, method: str = "binseg", most: int = 3, min_size: int = 5, jump: int = 5, cost: str = "linear", fit_intercept: bool = False, series: str = "series") -> DataFrame:
     """KRN-3…5: (series, n, m, rss, cuts, cuts_full) of 0 to most breaks; the score's rss has slope and intercept (T19)."""
-    find = {"binseg": greedy_splits, "bottomup": merged_segments}[method]
+    if method not in ("binseg", "bottomup"):
+        raise ValueError(f"unknown method {method!r}")
 
-    def kernel(y: np.ndarray, index: np.ndarray) -> Iterator[dict]:
-        z = y[index]
-        n = len(z)
+    def kernel(z: np.ndarray, index: np.ndarray) -> Iterator[dict]:
+        n = z.shape[1]
         if n < min_size:
             return
-        search, score = (l2_cost(z), l2_cost(z)) if cost == "l2" else (linear_cost(z, intercept=fit_intercept), linear_cost(z))
-        for cuts in find(n, search, min(most, n // min_size - 1), min_size, jump):
-            edges = [0, *cuts, n]
-            rss = sum(score(a, b) for a, b in zip(edges, edges[1:], strict=False))
-            yield {"n": n, "m": len(cuts), "rss": rss, "cuts": cuts, "cuts_full": [int(index[c - 1]) + 1 for c in cuts]}
+        points, t = admissible(n, min_size, jump), np.broadcast_to(np.arange(n, dtype=float), z.shape)
+        search, score = (l2_costs(z, points).round(DIGITS),) * 2 if cost == "l2" else (linear_costs(z, t, points, fit_intercept).round(DIGITS), linear_costs(z, t, points).round(DIGITS))
+        up_to = min(most, n // min_size - 1)
+        for cuts in greedy_cuts(search, points, up_to, min_size) if method == "binseg" else merged_cuts(search, points, up_to):
+            yield _model(n, _whole_cost(score, cuts), points[cuts], index)
 
-    return _per_series(vectors, kernel, "n int, m int, rss double, cuts array<int>, cuts_full array<int>", series)
+    return _per_length(vectors, kernel, _FIELDS, lambda n: n // jump, series)
 
 
 def bfast_models(vectors: DataFrame, h: Sequence[float] = (0.08, 0.10, 0.12), most: int = 2, criterion: str = "LWZ", series: str = "series") -> DataFrame:
-    """KRN-6, A5: for each h the piecewise line with at most ``most`` breaks that the criterion prefers; segments of floor(h n) or more.
+    """KRN-6, A5, FLT-22: for each h the piecewise line with at most ``most`` breaks that the criterion prefers; segments of floor(h n) or more.
 
     Parameters of a model with m breaks: (m + 1) * 2. The detection library's own count is not public here; it is a convention of this engine.
     """
 
-    def kernel(y: np.ndarray, index: np.ndarray) -> Iterator[dict]:
-        z, n = y[index], len(index)
+    def kernel(z: np.ndarray, index: np.ndarray) -> Iterator[dict]:
+        n = z.shape[1]
         for share in h:
             size = int(share * n)
             if size < 3:
                 continue
-            found = optimal_partitions(n, linear_cost(z, index.astype(float)), most, size)
+            points = admissible(n, size, 1)
+            found = partitions(linear_costs(z, index.astype(float), points).round(DIGITS), points, most, size)
             weight = 0.299 * np.log(n) ** 2.1 if criterion == "LWZ" else np.log(n)
-            score = [n * np.log(max(rss, 1e-12) / n) + weight * 2 * (m + 1) for m, (rss, _) in enumerate(found)]
-            if score:
-                m = int(np.argmin(score))
-                yield {"h": float(share), "n": n, "m": m, "cuts_full": [int(index[c]) for c in found[m][1]], "score": float(score[m])}
+            scores = np.stack([n * np.log(np.maximum(rss, 1e-12) / n) + weight * 2 * (m + 1) for m, (rss, _) in enumerate(found)], 1)
+            m = scores.argmin(1)
+            cuts = [index[i, points[found[k][1][i]]].tolist() if k else [] for i, k in enumerate(m)]
+            yield {"h": float(share), "n": n, "m": m, "cuts_full": cuts, "score": scores.min(1)}
 
-    return _per_series(vectors, kernel, "h double, n int, m int, cuts_full array<int>, score double", series)
+    return _per_length(vectors, kernel, "h double, n int, m int, cuts_full array<int>, score double", lambda n: n, series)
 
 
 # --- sweeps -------------------------------------------------------------------------------------
@@ -292,54 +410,90 @@ def ic_sweep(models: DataFrame, n_total: int, target: float = IC_TARGET, scales:
     return found.unionByName(rates([best["criterion"]], fine)) if fine else found
 
 
-def accepted_bfast(models: DataFrame, vectors: DataFrame, guard: int = 5, delta_min: float = 0.15, twsv_min: float = 0.20, slope_min: float = 0.01, series: str = "series") -> DataFrame:
-    """CTL-3, T12…14, A5: a row for each break of the first h that passes; series without one give a row no-break.
+def break_measures(models: DataFrame, vectors: DataFrame, guard: int = 5, series: str = "series") -> DataFrame:
+    """AGG-23…25, FLT-17: for each series, h and cut inside the guard: means and slopes on either side, the cut's variance gain, and that of all cuts.
 
-    Values are positions' means and slopes; the gate's variance gain is that of all cuts, a break's label uses the gain of its single cut.
+    Sides reach to the neighbouring cuts; those without a value are left out. A gain is 1 less the share of
+    the variance that stays within the parts, each weighted by its length (T11).
     """
     kind = dict(vectors.dtypes)[series]
-    fields = "h double, break_count int, break_k int, break_index int, mu_pre double, mu_post double, delta double, slope_pre double, slope_post double, twsv_improve double, label_raw string, label string"
-
-    def gain(y: np.ndarray, cuts: list[int]) -> float:
-        edges = [0, *cuts, len(y)]
-        total = (len(y) - 1) * np.nanvar(y, ddof=1) if np.isfinite(y).sum() > 1 else 0.0
-        inner = sum((b - a - 1) * np.nanvar(y[a:b], ddof=1) for a, b in zip(edges, edges[1:], strict=False) if np.isfinite(y[a:b]).sum() > 1)
-        return 1 - inner / total if total > 0 else float("nan")
-
-    def slope(y: np.ndarray) -> float:
-        x = np.flatnonzero(np.isfinite(y))
-        return float(np.polyfit(x, y[x], 1)[0]) if len(x) >= 2 else float("nan")
+    names = ["h", "break_index", "mu_pre", "mu_post", "slope_pre", "slope_post", "all_gain", "twsv_improve"]
+
+    def measures(y: np.ndarray, tried: list) -> Iterator[tuple]:
+        there, x = np.isfinite(y), np.arange(len(y), dtype=float)
+        z = np.where(there, y, 0.0)
+        sums = [np.r_[0.0, np.cumsum(c)] for c in (there, z, z * z, x * there, x * x * there, x * z)]
+
+        def part(a: int, b: int) -> tuple[float, float, float, float]:
+            """Number, mean, squared distances from the mean, slope."""
+            n, sy, syy, sx, sxx, sxy = (c[b] - c[a] for c in sums)
+            if not n:
+                return 0.0, np.nan, 0.0, np.nan
+            wide = sxx - sx * sx / n
+            return n, sy / n, max(0.0, syy - sy * sy / n), (sxy - sx * sy / n) / wide if n > 1 and wide > 0 else np.nan
+
+        def within(a: int, b: int) -> float:
+            n, _, square, _ = part(a, b)
+            return (b - a - 1) * square / (n - 1) if n > 1 else 0.0
+
+        total = within(0, len(y))
+        for model in tried:
+            cuts = [int(c) for c in model["cuts_full"] if guard <= c <= len(y) - 1 - guard]
+            edges = [0, *cuts, len(y)]
+            spread = sum(within(a, b) for a, b in zip(edges, edges[1:], strict=False))
+            for k, c in enumerate(cuts):
+                (n, mu, _, slope), (n2, mu2, _, slope2) = part(edges[k], c), part(c, edges[k + 2])
+                if n and n2:
+                    yield model["h"], c, mu, mu2, slope, slope2, 1 - spread / total if total > 0 else np.nan, 1 - (within(0, c) + within(c, len(y))) / total if total > 0 else np.nan
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for key, values, tried in zip(frame[series], frame["v"], frame["tried"], strict=True):
-                y = np.array([np.nan if x is None else x for x in values], float)
-                hit = None
-                for model in sorted((t for t in tried if t["cuts_full"] is not None), key=lambda t: t["h"]):
-                    cuts = [int(c) for c in model["cuts_full"] if guard <= c <= len(y) - 1 - guard]
-                    found, edges = [], [0, *cuts, len(y)]
-                    for k, c in enumerate(cuts):
-                        pre, post = y[edges[k] : c], y[c : edges[k + 2]]
-                        if not (np.isfinite(pre).any() and np.isfinite(post).any()):
-                            continue
-                        found.append((c, np.nanmean(pre), np.nanmean(post), slope(pre), slope(post)))
-                    all_gain = gain(y, cuts)
-                    if any(abs(b - a) >= delta_min and all_gain >= twsv_min and abs(q - p) >= slope_min for _, a, b, p, q in found):
-                        hit = model["h"], found
-                        break
-                if hit is None:
-                    rows.append({series: key, "break_count": 0, "label_raw": "no-break", "label": "no-break"})
-                    continue
-                for k, (c, a, b, p, q) in enumerate(hit[1], 1):
-                    d, one = b - a, gain(y, [c])
-                    raw = "L→W" if d >= delta_min else "W→L" if d <= -delta_min else "weak/unclear"
-                    ok = abs(d) >= delta_min and one >= twsv_min and abs(q - p) >= slope_min
-                    rows.append({series: key, "h": hit[0], "break_count": len(hit[1]), "break_k": k, "break_index": c, "mu_pre": a, "mu_post": b, "delta": d, "slope_pre": p, "slope_post": q, "twsv_improve": one, "label_raw": raw, "label": ("L→W" if d > 0 else "W→L") if ok else "weak/unclear"})
-            out = pd.DataFrame(rows, columns=[series, *(f.split()[0] for f in fields.split(", "))])
-            for c in ("break_count", "break_k", "break_index"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    tried = models.groupBy(series).agg(F.collect_list(F.struct("h", "cuts_full")).alias("tried"))
-    return vectors.select(series, "v").join(tried, series, "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<struct<h:double,cuts_full:array<int>>>"))).mapInPandas(run, f"`{series}` {kind}, {fields}")
+            rows = [(key, *m) for key, values, tried in zip(frame[series], frame["v"], frame["tried"], strict=True) for m in measures(_doubles(values), list(tried))]
+            yield pd.DataFrame(rows, columns=[series, *names])
+
+    tried = models.where(F.size("cuts_full") > 0).groupBy(series).agg(F.collect_list(F.struct("h", "cuts_full")).alias("tried"))
+    fields = ", ".join(f"{n} {'int' if n == 'break_index' else 'double'}" for n in names)
+    return vectors.select(series, "v").join(tried, series).mapInPandas(run, f"`{series}` {kind}, {fields}")
+
+
+def accepted_bfast(models: DataFrame, vectors: DataFrame, guard: int = 5, delta_min: float = 0.15, twsv_min: float = 0.20, slope_min: float = 0.01, series: str = "series", rule: str = "all") -> DataFrame:
+    """CTL-3, FLT-18, PRJ-22, 23, AGG-30, T12…14, A5: a row for each break of the first h that passes; series without one give a row no-break.
+
+    The gate's variance gain is that of all cuts, a break's label uses the gain of its single cut.
+    """
+    delta, change = F.col("mu_post") - F.col("mu_pre"), F.col("slope_post") - F.col("slope_pre")
+    ok = lambda gain: breaks.quality(delta, F.col(gain), change, delta_min, twsv_min, slope_min, rule)
+    of = Window.partitionBy(series)
+    hits = break_measures(models, vectors, guard, series).withColumn("delta", delta).withColumn("hit", F.min(F.when(ok("all_gain"), F.col("h"))).over(of)).where("h = hit")
+    hits = hits.withColumns({"break_count": F.count("*").over(of).cast("int"), "break_k": F.row_number().over(of.orderBy("break_index")), "label_raw": breaks.raw_label(F.col("delta"), delta_min), "label": breaks.final_label(ok("twsv_improve"), F.col("delta"))})
+    out = vectors.select(series).join(hits, series, "left").withColumns({"break_count": F.coalesce("break_count", F.lit(0)), "label_raw": F.coalesce("label_raw", F.lit("no-break")), "label": F.coalesce("label", F.lit("no-break"))})
+    return out.select(series, "h", "break_count", "break_k", "break_index", "mu_pre", "mu_post", "delta", "slope_pre", "slope_post", "twsv_improve", "label_raw", "label")
+
+
+# --- results -------------------------------------------------------------------------------------
+
+
+def clipped(index: Column, n: Column) -> Column:
+    """PRJ-32: an index within 0 … n - 1."""
+    return F.greatest(F.lit(0), F.least(index, n - 1))
+
+
+def with_break_counts(series_rows: DataFrame, found: DataFrame, series: str = "series", ts: str = "ts") -> DataFrame:
+    """AGG-30, PRJ-30: break_count, has_break and break_dates of each series, 0 and empty for those without a break."""
+    counts = found.groupBy(series).agg(F.count("*").alias("break_count"), breaks.joined_dates(F.array_sort(F.collect_list(ts))).alias("break_dates"))
+    out = series_rows.select(series).distinct().join(counts, series, "left")
+    return out.select(series, F.coalesce("break_count", F.lit(0)).alias("break_count"), (F.coalesce("break_count", F.lit(0)) > 0).alias("has_break"), F.coalesce("break_dates", F.lit("")).alias("break_dates"))
+
+
+def of_penalty(chosen: DataFrame, penalty: float) -> DataFrame:
+    """FLT-23: the series with a break under one penalty scale."""
+    return chosen.where((F.round("penalty_scale", 3) == round(penalty, 3)) & (F.col("m") > 0))
+
+
+def merged_summaries(parts: dict[str, DataFrame]) -> DataFrame:
+    """CTL-7, SET-1: the summaries of several methods under one another; what one lacks is NULL."""
+    out = None
+    for method, df in parts.items():
+        named = df.withColumn("method", F.lit(method))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out

@@ -88,6 +88,24 @@ def region_median(stack: DataFrame, ts: str = "ts", v: str = "v") -> DataFrame:
     return stack.groupBy(ts).agg(F.percentile(v, 0.5).alias("median"))
 
 
+def mask_if_exists(spark, path: str, like: dict, tolerance: float = 1e-6) -> DataFrame | None:
+    """SRC-14: the mask table at path (row, col of its pixels), or None if there is none.
+
+    like: height, width, crs and transform of the stack. The mask's own, a row of the table path + ".meta", must agree.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    own = spark.read.parquet(f"{path}.meta").first()
+    for name in ("height", "width", "crs"):
+        if own[name] != like[name]:
+            raise ValueError(f"the mask's {name} is {own[name]}, the stack's {like[name]}")
+    if any(abs(a - b) > tolerance for a, b in zip(own["transform"], like["transform"], strict=True)):
+        raise ValueError("the mask's transform is not the stack's")
+    return spark.read.parquet(path).where("m").select("row", "col")
+
+
 def temporal_median(stack: DataFrame, components: Sequence[str], key: Sequence[str] = PIXEL) -> DataFrame:
     """AGG-7: median over the dates of each pixel, for each component."""
     return stack.groupBy(*key).agg(*(F.percentile(c, 0.5).alias(c) for c in components))

@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from rillgrid.functions import breaks, keys, spectral
 from rillgrid.operators import agreement, clustering, endmembers, sampling, segmentation, series, stack
-from rillgrid.plans import views
+from rillgrid.plans import break_sql, views
+from rillgrid.plans.registry import ORACLE, QUERIES, query, r9
 from rillgrid.plans.session import checkpoint
 from rillgrid.plans.views import BANDS, table, with_views
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
 HARD_DROP, BLACKLIST, NOTED = ["20240105", "20240120"], ["2024-01-13"], ["2024-01-08", "2024-01-22"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r9(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles rounded to 9 digits (and never -0.0), as both engines add in orders of their own."""
-    names = columns or [c for c, k in df.dtypes if k == "double"]
-    return df.withColumns({c: F.round(c, 9) + 0.0 for c in names})
-
-
 # --- stacks -------------------------------------------------------------------------------------
 
 
@@ -148,7 +129,7 @@ def _nnls(spark, sf):
     x = views.spectra(spark, sf)
     # rounding makes the constants independent of the order of summation
     ends = [[round(v, 12) for v in row] for row in endmembers.matrix(endmembers.mean_spectra(x, BANDS), BANDS, [0, 1, 2])]
-    return x.withColumn("c", spectral.nnls_fractions([F.col(b) for b in BANDS], ends)).select("pixel", "label", *(F.col("c")[i].alias(n) for i, n in enumerate(("water", "veg", "bare"))))
+    return endmembers.unmixed(x, BANDS, ends).select("pixel", "label", "water", "veg", "bare")
 
 
 def _nnls_sql(tail: str) -> str:
@@ -268,15 +249,13 @@ def series_keys(spark, sf):
     return k.select("key", row.cast("long").alias("row"), col.cast("long").alias("col"), "n")
 
 
-@query(with_views("daily", "SELECT series, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(v), 9) AS total FROM daily WHERE series < 50 GROUP BY series"))
+@query(with_views("daily", "SELECT series, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(v), 9) AS total FROM daily GROUP BY series"))
 def wide_roundtrip(spark, sf):
-    """A bounded sample of series goes wide and back, as at the CSV edge."""
+    """All series go wide, in blocks, and back."""
     from rillgrid.sources import tables
 
-    names = [str(i) for i in range(50)]
-    long = views.daily(spark, sf).where("series < 50").select(F.col("series").cast("string").alias("series"), "ts", "v")
-    back = tables.to_wide(long, names).unpivot("ts", names, "series", "v").where("v IS NOT NULL")
-    return r9(back.groupBy(F.col("series").cast("long").alias("series")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("v").alias("total")))
+    back = tables.from_blocks(tables.wide_blocks(views.daily(spark, sf)))
+    return r9(back.groupBy("series").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("v").alias("total")))
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS ts, 'scene_' || o_orderkey || '_water.tif' AS out_name FROM orders")
@@ -318,7 +297,7 @@ def delta_qa(spark, sf):
     return r9(agreement.delta_qa(x, base, "ts", ["series"]))
 
 
-@query("SELECT c_custkey AS k, substr(c_name, 1, 16) AS p, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE (SELECT min(d.c_name) FROM customer d WHERE substr(d.c_name, 1, 16) = substr(c.c_name, 1, 16) AND d.c_custkey % 2 = 0) END AS image FROM customer c")
+@query("SELECT c_custkey AS k, substr(c_name, 1, 16) AS p, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE (SELECT min(d.c_name) FROM customer d WHERE contains(d.c_name, substr(c.c_name, 1, 16)) AND d.c_custkey % 2 = 0) END AS image FROM customer c")
 def scene_pairing(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     images = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("image"))
@@ -403,28 +382,40 @@ def mask_apply(spark, sf):
 
 
 def _strata(spark, sf):
-    occ = stack.occurrence(views.daily(spark, sf), views.days(spark, sf))
-    rows = table(spark, sf, "events").agg(F.max(F.expr(f"user_id div {views.WIDTH}"))).first()[0]
-    return sampling.strata(occ, max(100, (rows or 0) + 1), views.WIDTH)  # 100 as in the SQL, more where the data have more
+    occ = checkpoint(stack.occurrence(views.daily(spark, sf), views.days(spark, sf)))
+    rows = occ.agg(F.max("row")).first()[0]
+    return sampling.strata(occ, (-1 if rows is None else rows) + 1, views.WIDTH)
 
 
 _STRATA = """, o AS (SELECT row, col, sum(CASE WHEN v > 0.6 THEN 1.0 ELSE 0.0 END) / (SELECT count(DISTINCT ts) FROM daily) AS occ FROM daily GROUP BY row, col),
-s AS (SELECT *, CASE WHEN occ > 0 AND occ <= 0.2 THEN '(0,0.2]' WHEN occ > 0.2 AND occ <= 0.6 THEN '(0.2,0.6]' WHEN occ > 0.6 AND occ <= 1 THEN '(0.6,1]' END AS occ_bin,
- 'y' || CASE WHEN row < 33 THEN 0 WHEN row < 66 THEN 1 ELSE 2 END || 'x' || CAST(col // 3 AS INTEGER) AS cell_id FROM o WHERE row < 100)"""
+hw AS (SELECT max(row) + 1 AS h FROM daily),
+s AS (SELECT row, col, occ, CASE WHEN occ > 0 AND occ <= 0.2 THEN '(0.0,0.2]' WHEN occ > 0.2 AND occ <= 0.6 THEN '(0.2,0.6]' WHEN occ > 0.6 AND occ <= 1 THEN '(0.6,1.0]' END AS occ_bin,
+ 'y' || CASE WHEN row < h // 3 THEN 1 WHEN row < 2 * h // 3 THEN 2 ELSE 3 END || 'x' || CAST(col // 3 + 1 AS INTEGER) AS cell_id, md5('42|' || row || '|' || col) AS p FROM o, hw),
+cand AS (SELECT *, row_number() OVER (PARTITION BY occ_bin, cell_id ORDER BY p, row, col) AS k FROM s WHERE occ_bin IS NOT NULL)"""
+_SPACED = """, g AS (SELECT list_reduce(list([{'row': row, 'col': col, 'occ_bin': occ_bin, 'cell_id': cell_id, 'p': p}] ORDER BY p, row, col),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: (y.row - x[1].row) * (y.row - x[1].row) + (y.col - x[1].col) * (y.col - x[1].col) <= 9)) > 0 THEN acc ELSE acc || x END) AS taken FROM cand),
+sp AS (SELECT row, col, occ_bin, cell_id, row_number() OVER (PARTITION BY occ_bin, cell_id ORDER BY p, row, col) AS k FROM (SELECT unnest(taken, recursive := true) FROM (SELECT unnest(taken) AS taken FROM g)))"""
+_BINS = ["(0.0,0.2]", "(0.2,0.6]", "(0.6,1.0]"]
+
+
+@query(with_views("daily", _STRATA + _SPACED + """, every AS (SELECT b.b AS occ_bin, 'y' || y.range || 'x' || x.range AS cell_id FROM (VALUES ('(0.0,0.2]'), ('(0.2,0.6]'), ('(0.6,1.0]')) b(b), range(1, 4) y, range(1, 6) x)
+SELECT occ_bin, cell_id, (SELECT count(*) FROM cand WHERE cand.occ_bin = every.occ_bin AND cand.cell_id = every.cell_id) AS candidates, (SELECT count(*) FROM sp WHERE sp.occ_bin = every.occ_bin AND sp.cell_id = every.cell_id AND sp.k <= 120) AS sampled FROM every""").replace("\n, o AS", ", o AS"))
+def strata_candidates(spark, sf):
+    c = checkpoint(_strata(spark, sf))
+    return sampling.summary(c, sampling.spaced(c), _BINS)
 
 
-@query(with_views("daily", _STRATA + " SELECT b.b AS occ_bin, 'y' || y.range || 'x' || x.range AS cell_id, (SELECT count(*) FROM s WHERE s.occ_bin = b.b AND s.cell_id = 'y' || y.range || 'x' || x.range) AS candidates, CAST(0 AS BIGINT) AS sampled FROM (VALUES ('(0,0.2]'), ('(0.2,0.6]'), ('(0.6,1]')) b(b), range(3) y, range(5) x").replace("\n, o AS", ", o AS"))
-def strata_candidates(spark, sf):
-    c = _strata(spark, sf)
-    return sampling.summary(c, c.where("false"), ["(0,0.2]", "(0.2,0.6]", "(0.6,1]"])
+@query(with_views("daily", _STRATA + " SELECT row, col, occ_bin, cell_id, k FROM cand").replace("\n, o AS", ", o AS"))
+def strata_shuffled(spark, sf):
+    return sampling.shuffled(_strata(spark, sf)).select("row", "col", "occ_bin", "cell_id", F.col("k").cast("long").alias("k"))
 
 
-@query()
+@query(with_views("daily", "SELECT row, col FROM (SELECT DISTINCT row, col FROM daily) ORDER BY md5('42|' || row || '|' || col), row, col LIMIT 200"))
 def hash_sample(spark, sf):
     return sampling.uniform(views.daily(spark, sf).select("row", "col").distinct())
 
 
-@query()
+@query(with_views("daily", _STRATA + _SPACED + " SELECT row, col, occ_bin, cell_id FROM sp WHERE k <= 120").replace("\n, o AS", ", o AS"))
 def spaced_sample(spark, sf):
     return sampling.spaced(checkpoint(_strata(spark, sf)))
 
@@ -485,30 +476,46 @@ def _variances(smooth):
     return smooth.groupBy("series").agg(F.var_pop("raw").alias("ref_var"), F.var_pop("v").alias("smooth_var"))
 
 
-@query()
+def _sql(body: str) -> str:
+    return break_sql.recursive(with_views("daily obs", body).replace("\n, med AS", ", med AS"))
+
+
+@query(_sql(break_sql.PELT_SWEEP))
 def pelt_sweep(spark, sf):
     smooth, v = _prepared_vectors(spark, sf)
     models = checkpoint(segmentation.pelt_models(v))
     return segmentation.penalty_sweep(models, checkpoint(_variances(smooth)), v.count())
 
 
-@query()
+@query(_sql(break_sql.PELT_BREAKS))
 def pelt_breaks(spark, sf):
     smooth, v = _prepared_vectors(spark, sf)
     chosen = segmentation.pelt_breaks(segmentation.pelt_models(v), _variances(smooth), [2.0])
-    return r9(chosen.select("series", "penalty_scale", "m", "rss", F.explode_outer("cuts_full").alias("break_index")))
+    return r9(chosen.select("series", "penalty_scale", "m", "rss", F.explode_outer("cuts_full").alias("break_index")), "rss")
 
 
-@query()
+@query(_sql(break_sql.PELT_CHOSEN))
+def pelt_chosen(spark, sf):
+    """The breaks under the penalty of the whole sweep that comes nearest to the target rate."""
+    smooth, v = _prepared_vectors(spark, sf)
+    models, variances = checkpoint(segmentation.pelt_models(v)), checkpoint(_variances(smooth))
+    best = segmentation.closest(segmentation.penalty_sweep(models, variances, v.count()), segmentation.PELT_TARGET, ["penalty_scale"])
+    n = models.select("series", "n").distinct()
+    chosen = segmentation.of_penalty(segmentation.pelt_breaks(models, variances, [best["penalty_scale"]]), best["penalty_scale"]).join(n, "series")
+    return chosen.select("series", "penalty_scale", "m", "n", F.explode("cuts_full").alias("b")).select("series", "penalty_scale", "m", segmentation.clipped(F.col("b"), F.col("n")).alias("break_index"))
+
+
+@query(_sql(break_sql.BINSEG_SWEEP))
 def binseg_ic(spark, sf):
     _, v = _prepared_vectors(spark, sf)
     return segmentation.ic_sweep(checkpoint(segmentation.ic_models(v)), v.count())
 
 
-@query()
+@query(_sql(break_sql.BOTTOMUP))
 def bottomup_models(spark, sf):
     _, v = _prepared_vectors(spark, sf)
-    return r9(segmentation.ic_models(v, "bottomup", cost="l2"))
+    models = segmentation.ic_models(v, "bottomup", cost="l2")
+    return r9(models.select("series", "n", "m", "rss", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts")))
 
 
 def _bfast(spark, sf):
@@ -516,12 +523,12 @@ def _bfast(spark, sf):
     return segmentation.accepted_bfast(segmentation.bfast_models(v), v, delta_min=0.10, twsv_min=0.10, slope_min=0.001)
 
 
-@query()
+@query(_sql(break_sql.BFAST))
 def bfast_breaks(spark, sf):
-    return r9(_bfast(spark, sf))
+    return r9(_bfast(spark, sf), "mu_pre", "mu_post", "delta", "slope_pre", "slope_post", "twsv_improve")
 
 
-@query()
+@query(_sql(break_sql.LABELS))
 def label_summary(spark, sf):
     return agreement.value_shares(_bfast(spark, sf), "label")
 

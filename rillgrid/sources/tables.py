@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from rillgrid.functions import keys
@@ -63,6 +65,53 @@ def read_raster(spark: SparkSession, path: str, values: Sequence[str], nodata: f
     return df.withColumns({c: F.when((F.col(c) != (nodata if nodata is not None else float("nan"))) & ~F.isnan(c), F.col(c)) for c in values})
 
 
+def read_band(spark: SparkSession, path: str, band: int, nodata: float = -9999.0) -> DataFrame:
+    """SRC-2, 4: one band (from 1) of a table of row, col and bands; nodata, NaN and absent bands are NULL."""
+    v = F.try_element_at("bands", F.lit(band)).cast("double")
+    return spark.read.parquet(path).select("row", "col", F.when((v != nodata) & ~F.isnan(v), v).alias("v"))
+
+
+def write_matrix(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
+    """SNK-5: a matrix as rows (row, values), in the order of the given columns. For small results such as endmembers."""
+    rows = df.select(*order, F.array(*(F.col(c).cast("double") for c in columns)).alias("values")).orderBy(*order).collect()
+    df.sparkSession.createDataFrame([(i, r["values"]) for i, r in enumerate(rows)], "row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> list[list[float]]:
+    """SNK-5, SRC-9: the matrix of write_matrix."""
+    return [r["values"] for r in spark.read.parquet(path).orderBy("row").collect()]
+
+
+def wide_blocks(long: DataFrame, width: int = 500, series: str = "series", ts: str = "ts", v: str = "v") -> DataFrame:
+    """SNK-4 for any number of series, numbered from 0: a row for each time and block of ``width`` series, its values by place in the block."""
+    place = F.col(series) - F.col("block") * width
+    held = long.withColumn("block", F.floor(F.col(series) / width)).groupBy("block", ts).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), F.col(v)))).alias("held"))
+    return held.select("block", ts, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.try_element_at("held", k)).alias("values"))
+
+
+def from_blocks(blocks: DataFrame, width: int = 500, series: str = "series", ts: str = "ts", v: str = "v") -> DataFrame:
+    """SRC-7: wide_blocks as long rows again, without the empty places."""
+    long = blocks.select("block", ts, F.posexplode("values").alias("k", v))
+    return long.where(F.col(v).isNotNull()).select((F.col("block") * width + F.col("k")).cast("long").alias(series), ts, v)
+
+
+def pending(spark: SparkSession, work: DataFrame, path: str, key: str) -> DataFrame:
+    """CTL-5: the work whose key the table at path lacks: an interrupted run goes on from its last written part."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return work
+    return work.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+
+
+def write_part(df: DataFrame, path: str, key: str) -> dict:
+    """CTL-5, 6: df appended by key; how many rows, seconds and rows a second that took."""
+    seen, began = Observation(), time.perf_counter()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(key).parquet(path)
+    rows, seconds = seen.get.get("rows", 0), time.perf_counter() - began
+    return {"rows": rows, "seconds": seconds, "rate": rows / seconds}
+
+
 def abundance(bands: Column) -> Column:
     """SRC-16: the only band, or the third of several."""
     return F.when(F.size(bands) == 1, bands[0]).otherwise(F.try_element_at(bands, F.lit(3)))
@@ -93,8 +142,8 @@ def newest(listing: DataFrame) -> str | None:
 
 
 def run_folder(root: str, tag: str, now: datetime | None = None) -> str:
-    """SNK-9: a folder name for each run, so that no run overwrites another."""
-    return f"{root.rstrip('/')}/{tag}_{(now or datetime.now()):%Y%m%d_%H%M%S}"
+    """SNK-9: a folder name for each run, also for those of one second, so that no run overwrites another."""
+    return f"{root.rstrip('/')}/{tag}_{(now or datetime.now()):%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
 
 
 def load_or_fit(spark: SparkSession, path: str, fit) -> DataFrame:

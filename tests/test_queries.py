@@ -85,7 +85,7 @@ def test_clusters_run_to_the_end(spark, monkeypatch, name):
 def test_strata_reach_the_last_row(spark, tmp_path):
     from rillgrid.plans.queries import QUERIES
 
-    events = spark.range(0, 3000, 7).selectExpr("id AS user_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "37.0D AS value")
+    events = spark.range(0, 3000, 7).selectExpr("id AS user_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "40.0D AS value")
     events.write.parquet(f"{tmp_path}/events.parquet")
     found = QUERIES["strata_candidates"](spark, str(tmp_path)).collect()
     assert sum(r.candidates for r in found) == events.count()
