@@ -18,12 +18,21 @@ def session(app: str = "rillgrid", master: str | None = None, **conf) -> SparkSe
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="rillgrid-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rillgrid-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -39,7 +39,7 @@ def to_wide(long: DataFrame, names: Sequence[str], series: str = "series", ts: s
 
 def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd HH:mm:ss") -> None:
     """SNK-4, SNK-8: a header, empty cells for NULL; an older folder of that name is replaced."""
-    df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", timestampFormat=date_format, timestampNTZFormat=date_format)
+    df.write.mode("overwrite").option("timestampNTZFormat", date_format).csv(path, header=True, nullValue="", emptyValue="", timestampFormat=date_format)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -29,6 +29,7 @@ def rows_of(names, rows):
 
 
 def test_queries_match_sql(spark, db):
+    from rillgrid.plans import edge_queries  # noqa: F401
     from rillgrid.plans.queries import ORACLE, QUERIES
 
     wrong = []
