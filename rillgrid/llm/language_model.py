@@ -3,8 +3,9 @@
 Training counts words and word pairs of all training texts: tasks tally them as
 sorted 64-bit hashes, one shuffle adds the tallies of a hash block, and each
 block becomes a piece of the filter. A count is kept as its quantised logarithm
-q: the pairs (n-gram, 1) to (n-gram, q) are members. The filter is broadcast,
-and a count is read back by probing levels until one is missing. Smoothing is
+q: the pairs (n-gram, 1) to (n-gram, q) are members. A block
+is added up by a task of its own. The filter is broadcast, and a count is read back by probing
+levels until one is missing. Smoothing is
 Bayesian: P(w|v) = (c(v w) + k P(w)) / (c(v) + k), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 Exact word counts, for the base score, travel with the filter.
 
@@ -26,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillgrid.llm import tokens as tk
 from rillgrid.llm.scratch import release, scope, written
 
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xB361B361B361B361)
 HASHES, BITS = 6, 12
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20  # of text, about, whose n-grams one task of the reduce side adds up
 FLUSH = 1_500_000  # tokens that a task tallies before it sends them on
 
 
@@ -74,8 +75,8 @@ def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
         return tk.mix(before * np.uint64(0x9E3779B97F4A7C15) + token, 5)
 
 
-def _tallies(blocks: int):
-    """Map side: for each hash block, the tallies of words and of pairs."""
+def _tallies(blocks: int, keys: list[int]):
+    """Map side: for each hash block, the tallies of words and of pairs, under a key of the block's own partition."""
 
     def rows(kept: list) -> pa.RecordBatch:
         sides = []
@@ -84,7 +85,7 @@ def _tallies(blocks: int):
             cut = np.searchsorted(tk.blocks_of(key, blocks), np.arange(blocks + 1))
             count = np.minimum(count, 2**32 - 1).astype(np.uint32)
             sides += [[v[cut[b] : cut[b + 1]].tobytes() for b in range(blocks)] for v in (key, count)]
-        return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *(pa.array(x, pa.binary()) for x in sides)], names=["block", "k1", "c1", "k2", "c2"])
+        return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *(pa.array(x, pa.binary()) for x in sides), pa.array(keys, pa.int32())], names=["block", "k1", "c1", "k2", "c2", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -103,36 +104,42 @@ def _tallies(blocks: int):
 
 
 def members(keys: np.ndarray, counts: np.ndarray, levels: np.ndarray, bits: int) -> tuple[bytes, int]:
-    """The bit array that holds (key, 1) to (key, q(count)), and its number of bits."""
+    """The bit array that holds (key, 1) to (key, q(count)), and its number of bits, whole words of 64."""
     q = np.searchsorted(levels, counts, "right")
     size = max(64, int(q.sum()) * bits + 63 & ~63)
     flags = np.zeros(size, np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for at in _places(keys[q >= level], level, np.uint64(size)):
-            flags[at] = 1
+        for word, x in _places(keys[q >= level], level, np.uint64(size // 64)):
+            for i in range(HASHES // 2):
+                flags[(word * np.uint64(64) + ((x >> np.uint64(6 * i)) & np.uint64(63))).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes(), size
 
 
-def _places(keys: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
+def _places(keys: np.ndarray, level: int, words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Twice: one of so many words of 64 bits, and a number of which each 6 low bits name a bit in it. Half of the hashes meet in a word, so that a probe reads two words."""
     x = tk.mix(keys, level)
-    step = (x >> np.uint64(32)) | np.uint64(1)
+    yield ((x >> np.uint64(32)) * words) >> np.uint64(32), x
     with np.errstate(over="ignore"):
-        for i in range(HASHES):
-            yield ((x + np.uint64(i) * step) % size).astype(np.int64)
+        y = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    yield ((y >> np.uint64(32)) * words) >> np.uint64(32), y >> np.uint64(13)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(bits: int):
     """Reduce side: one row for each block, with its filters and exact word counts."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            held.setdefault(batch.column(0)[i].as_py(), []).append([np.frombuffer(batch.column(c)[i].as_py(), (np.uint64, np.uint32)[c % 2 == 0]) for c in range(1, 5)])
-    for block, parts in held.items():
-        k1, c1 = tk.tallied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        k2, c2 = tk.tallied(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
-        (f1, m1), (f2, m2) = members(k1, c1, WORD_LEVELS, BITS), members(k2, c2, PAIR_LEVELS, BITS)
-        values = [block, len(k1), int(c1.sum()), len(k2), m1, m2, f1, f2, k1.tobytes(), c1.tobytes()]
-        yield pa.RecordBatch.from_pylist([dict(zip(_MODEL.names, values, strict=True))], _MODEL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.setdefault(batch.column(0)[i].as_py(), []).append([np.frombuffer(batch.column(c)[i].as_py(), (np.uint64, np.uint32)[c % 2 == 0]) for c in range(1, 5)])
+        for block, parts in held.items():
+            k1, c1 = tk.tallied(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            k2, c2 = tk.tallied(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+            (f1, m1), (f2, m2) = members(k1, c1, WORD_LEVELS, bits), members(k2, c2, PAIR_LEVELS, bits)
+            values = [block, len(k1), int(c1.sum()), len(k2), m1, m2, f1, f2, k1.tobytes(), c1.tobytes()]
+            yield pa.RecordBatch.from_pylist([dict(zip(_MODEL.names, values, strict=True))], _MODEL)
+
+    return run
 
 
 _MODEL = pa.schema([("block", pa.int32()), ("n_words", pa.int64()), ("total", pa.int64()), ("n_pairs", pa.int64()), ("word_bits", pa.int64()), ("pair_bits", pa.int64()), ("word_filter", pa.binary()), ("pair_filter", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -145,12 +152,12 @@ class Filter:
     def __init__(self, blocks: int, levels: np.ndarray, room: int):
         """room: bytes of all blocks together."""
         self.blocks, self.levels = blocks, levels
-        self.size, self.base, self.used = np.zeros(blocks, np.uint64), np.zeros(blocks, np.int64), 0
-        self.bits, self.value = np.zeros(max(1, room + 8 * blocks), np.uint8), _middle(levels)
+        self.size, self.base, self.used = np.zeros(blocks, np.uint64), np.zeros(blocks, np.uint64), 0
+        self.bits, self.value = np.zeros(max(1, room // 8 + blocks), np.uint64), _middle(levels)
 
     def add(self, block: int, size: int, data: bytes) -> None:
-        part = np.frombuffer(data, np.uint8)
-        self.size[block], self.base[block] = size, self.used * 8
+        part = np.frombuffer(data, np.uint64)
+        self.size[block], self.base[block] = size // 64, self.used
         self.bits[self.used : self.used + len(part)] = part
         self.used += len(part)
 
@@ -160,18 +167,18 @@ class Filter:
     def levels_of(self, keys: np.ndarray) -> np.ndarray:
         block = tk.blocks_of(keys, self.blocks)
         level = np.zeros(len(keys), np.int64)
-        alive = np.flatnonzero(self.size[block])
+        at = np.flatnonzero(self.size[block])
+        keys, size, base = keys[at], self.size[block[at]], self.base[block[at]]
         j = 0
-        while len(alive) and j < len(self.levels):
+        while len(at) and j < len(self.levels):
             j += 1
-            x, size, base = tk.mix(keys[alive], j), self.size[block[alive]], self.base[block[alive]]
-            step = (x >> np.uint64(32)) | np.uint64(1)
-            for i in range(HASHES):
-                with np.errstate(over="ignore"):
-                    at = ((x + np.uint64(i) * step) % size).astype(np.int64) + base
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, x, step, size, base = alive[hit], x[hit], step[hit], size[hit], base[hit]
-            level[alive] = j
+            alive = np.ones(len(at), bool)
+            for word, x in _places(keys, j, size):
+                v = self.bits[(word + base).astype(np.int64)]
+                for i in range(HASHES // 2):
+                    alive &= ((v >> ((x >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+            at, keys, size, base = at[alive], keys[alive], size[alive], base[alive]
+            level[at] = j
         return level
 
 
@@ -217,23 +224,38 @@ def _scorer(model, smoothing: float, id_type):
                 known = np.bincount(text, weights=here & (exact > 0)[code], minlength=hi - lo).astype(np.int64)
                 rough = one.counts(word)[code] if one else middle[levels[ends[lo] : ends[hi]]]
                 context = np.where(before == BEGIN, m["texts"], np.r_[0.0, rough[:-1]])
-                pair, of = np.unique(pairs(before, token), return_inverse=True)
-                mine = (lambda b: (b >= low) & (b < high))(tk.blocks_of(pair, blocks))
+                pair = pairs(before, token)
+                place = tk.blocks_of(pair, blocks)
+                mine = np.flatnonzero((place >= low) & (place < high))
+                pair, of = np.unique(pair[mine], return_inverse=True)
+                rough, context = rough[mine], context[mine]
                 together = np.minimum(two.counts(pair)[of], np.minimum(context, rough))
                 p = (together + smoothing * ((rough + 0.5) / scale)) / (context + smoothing)
-                score = np.bincount(text, weights=np.where(mine[of], np.log10(p), 0), minlength=hi - lo)
+                score = np.bincount(text[mine], weights=np.log10(p), minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(count.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "key", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The model of all rows as a written table, a row for each hash block."""
+def fit(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """The model of all rows as a written table, a row for each hash block; bits: of the filter for each member."""
     texts = docs.select(F.col(text_col).alias("text"))
-    guess = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    blocks = 1 << min(12, max(6, (guess // BLOCK_BYTES).bit_length()))
-    summed = texts.mapInArrow(_tallies(blocks), "block int, k1 binary, c1 binary, k2 binary, c2 binary")
-    return written(summed.repartition(blocks, "block").mapInArrow(_merged, _MODEL_DDL), f"model{blocks}")
+    room = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 1 << max(6, (room // BLOCK_BYTES).bit_length())
+    summed = texts.mapInArrow(_tallies(blocks, partition_keys(docs.sparkSession, blocks)), "block int, k1 binary, c1 binary, k2 binary, c2 binary, key int")
+    return written(summed.repartition(blocks, "key").mapInArrow(_merged(bits), _MODEL_DDL), f"model{blocks}")
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """An integer for each of n partitions that hashing sends there, so that no task gets several blocks."""
+    found: dict[int, int] = {}
+    begin = 0
+    while len(found) < n:
+        k = F.col("id").cast("int")
+        rows = spark.range(begin, begin + 16 * n).groupBy(F.pmod(F.hash(k), F.lit(n)).alias("part")).agg(F.min(k).alias("key")).collect()
+        found = {r.part: r.key for r in rows} | found
+        begin += 16 * n
+    return [found[i] for i in range(n)]
 
 
 def _word_filter(model: DataFrame, low: int, high: int, blocks: int) -> Filter:
@@ -272,18 +294,18 @@ def _part(model: DataFrame, one: Filter | None, low: int, high: int, blocks: int
     return {"one": one, "two": two, "low": low, "high": high, "blocks": blocks, "words": words, "counts": counts}
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 50.0, broadcast_mb: int = 128) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 50.0, broadcast_mb: float = 128, bits: int = BITS) -> DataFrame:
     """Scores all rows with a model of those where held_out is not true: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = rows.where("NOT held_out")
-    model = fit(training)
+    model = fit(training, bits=bits)
     sums = model.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "total", "word_bits", "pair_bits")), F.count("*").alias("blocks")).first()
     blocks = max(1, sums.blocks)
     total, n_words = sums.total, sums.n_words
     texts = training.count()
-    limit = broadcast_mb << 20
+    limit = int(broadcast_mb * (1 << 20))
     heavy, room = sums.pair_bits // 8 + 16 * n_words, limit - limit // 4
     if sums.word_bits // 8 <= limit // 4:
         one = _word_filter(model, 0, blocks, blocks)

@@ -250,6 +250,36 @@ def test_language_model(odd, none, broadcast_mb, monkeypatch):
     assert language_model.score(none, held).count() == 0
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_scores_match_brute_force(spark, passes):
+    """With a filter so sparse that nothing is a false member, scores are those of the smoothed, quantised counts."""
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(f"w{min(x, 40)}" for x in rng.geometric(0.15, rng.integers(0, 60)))) for i in range(300)] + [(400, "W1 w2 new w1"), (401, ""), (402, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(df, F.col("doc_id") % 7 == 3, broadcast_mb=1024 if passes == 1 else 0.5, bits=4000).collect()}
+    one, two, begins = Counter(), Counter(), 0
+    sent = {i: [*lowered(t), "end"] for i, t in docs}
+    for i, w in sent.items():
+        if i % 7 != 3:
+            one.update(w)
+            two.update(zip(["begin", *w], w, strict=False))
+            begins += 1
+    N, V = sum(one.values()), len(one)
+
+    def quantised(count, levels):
+        q = int(np.searchsorted(levels, count, "right"))
+        return 0.0 if not q else levels[-1] if q == len(levels) else (levels[q - 1] + levels[q] - 1) / 2
+
+    for i, w in sent.items():
+        total = 0.0
+        for v, x in zip(["begin", *w], w, strict=False):
+            word = quantised(one[x], language_model.WORD_LEVELS)
+            context = begins if v == "begin" else quantised(one[v], language_model.WORD_LEVELS)
+            both = min(quantised(two[v, x], language_model.PAIR_LEVELS), context, word)
+            total += math.log10((both + 50 * (word + 0.5) / (N + 0.5 * (V + 1))) / (context + 50))
+        assert got[i].score == pytest.approx(total)
+
+
 def test_word_filter_beyond_its_share_scores_alike(spark, tmp_path):
     """300,000 words need 0.45 MB: within the quarter of 128 MB, beyond that of 1 MB."""
     rng = np.random.default_rng(4)
