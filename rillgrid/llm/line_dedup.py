@@ -31,7 +31,7 @@ def _trimmed(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    split = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0null")).alias("site"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), _trimmed))).alias("line"))
+    split = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), _trimmed))).alias("line"))
     return split.where("line != ''").select("id", "site", F.xxhash64("line").alias("line"))
 
 

@@ -17,8 +17,10 @@ unsettled bucket of more than ``LARGE`` are dealt anew by 96 bands of 7 coordina
 which texts that merely share a passage seldom survive; there the join itself compares
 the shingles, so that near misses of a large group become no rows. A link is confirmed on full sets.
 
-Null ids are not linked, null and empty texts have no set; repeated rows of one
-id count once per row with the same result; an empty table gives an empty one.
+Rows with a null id are linked with nothing: their class and component are null, and they are kept.
+Null and empty texts have no set. Repeated rows of one id get the same result. Where an id's rows
+differ in text, the one of the least (set size, set hash) stands for the id in links; the others have
+their own n_shingles, and the class of an equal set or else of the id. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from rillgrid.llm.scratch import small, written
 BANDS, ROWS, WIDTH = 32, 4, 5
 LARGE = 64  # members of an unsettled bucket that is dealt anew
 FINE_BANDS, FINE_ROWS, FINE = 96, 7, 1024
+EQUAL = ["n_shingles", "h1", "h2"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +72,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.r_[0, np.cumsum(sizes)]
 
 
+def _digest(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each set; equal sets alone agree in all three."""
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    h1, h2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    if len(some):
+        with np.errstate(over="ignore"):
+            h1[some] = np.add.reduceat(tk.mix(sets, 1), at[:-1][some])
+            h2[some] = np.bitwise_xor.reduceat(tk.mix(sets, 2), at[:-1][some])
+    return size, h1.view(np.int64), h2.view(np.int64)
+
+
 def _pi(x: np.ndarray) -> np.ndarray:
     """The second permutation, of Z_2^32."""
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
@@ -136,7 +151,7 @@ def _fine(width: int):
                     signature = signatures(sets, np.r_[at[:-1][some], len(sets)], FINE, 1 << 20)
                     keys, low = band_keys(signature[:, : FINE_BANDS * FINE_ROWS], FINE_BANDS, FINE_ROWS), packed(signature, 1)
                 half = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((sets >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists_of(some, keys), lists_of(some, low), half], names=["id", "bands", "low", "half"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), lists_of(some, keys), lists_of(some, low), half], names=["id", *EQUAL, "bands", "low", "half"])
 
     return run
 
@@ -146,19 +161,15 @@ def _sketch(width: int, bands: int, rows: int):
         for batch in batches:
             for lo, hi, d, o in tk.chunks(*tk.column(batch, "text")):
                 sets, at = shingles(d, o, width)
-                size = np.diff(at)
+                size, h1, h2 = _digest(sets, at)
                 some = np.flatnonzero(size)
-                h1, h2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 keys, low = np.zeros((0, bands), np.uint64), np.zeros((0, bands * rows // 16), np.uint64)
                 if len(some):
                     starts = at[:-1][some]
-                    with np.errstate(over="ignore"):
-                        h1[some] = np.add.reduceat(tk.mix(sets, 1), starts)
-                        h2[some] = np.bitwise_xor.reduceat(tk.mix(sets, 2), starts)
                     signature = signatures(sets, np.r_[starts, len(sets)], bands * rows)
                     keys, low = band_keys(signature, bands, rows), packed(signature, 4)
                 lists, lows = lists_of(size > 0, keys), lists_of(size > 0, low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, lows], names=["id", "n_shingles", "h1", "h2", "bands", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1), pa.array(h2), lists, lows], names=["id", "n_shingles", "h1", "h2", "bands", "low"])
 
     return run
 
@@ -169,7 +180,7 @@ def _sets(width: int):
             for lo, hi, d, o in tk.chunks(*tk.column(batch, "text")):
                 sets, at = shingles(d, o, width)
                 values = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(sets.view(np.uint8) if len(sets) else np.zeros(1, np.uint8))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values.cast(pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), values.cast(pa.binary())], names=["id", *EQUAL, "members"])
 
     return run
 
@@ -191,12 +202,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both), pa.array(union)], names=["a", "b", "both", "union"])
 
 
-def _distances(pairs: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+def _standing(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """One row of each id: for ids with several texts the one that stands for the id. several: (id, s), the digest of that text."""
+    same = " AND ".join(f"s.{c} = {c}" for c in EQUAL)
+    return rows.join(small(several), "id", "left").where(f"s IS NULL OR ({same})").drop("s").dropDuplicates(["id"])
+
+
+def _distances(pairs: DataFrame, docs: DataFrame, several: DataFrame, width: int, name: str) -> DataFrame:
     """Written (a, b, both, union) of the pairs (a, b): sets are made only for texts that stand in a pair."""
     pairs = written(pairs, f"{name}-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     named = docs.join(small(ids), "id", "left_semi")
-    sets = written(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, members binary").dropDuplicates(["id"]), f"{name}-sets")
+    sets = written(_standing(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, n_shingles long, h1 long, h2 long, members binary"), several).select("id", "members"), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     kind = dict(docs.dtypes)["id"]
     return written(joined.mapInArrow(_confirm, f"a {kind}, b {kind}, both long, `union` long"), f"{name}-found")
@@ -226,16 +243,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = written(source.mapInArrow(_sketch(width, bands, rows), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>"), "sketches")
-    equal = ["n_shingles", "h1", "h2"]
-    classes = sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    known = sketches.where("n_shingles > 0 AND id IS NOT NULL")
+    digest = F.struct(*EQUAL)
+    several = written(known.groupBy("id").agg(F.min(digest).alias("s"), F.max(digest).alias("t")).where("s != t").select("id", "s"), "several")
+    one = known.join(small(several), "id", "left").where("s IS NULL OR (s.n_shingles = n_shingles AND s.h1 = h1 AND s.h2 = h2)").drop("s")
+    classes = one.groupBy(*EQUAL).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     copied = written(classes.where("copies > 1").drop("copies"), "classes")
-    member = sketches.join(copied, equal, "left")
-    reps = member.where("n_shingles > 0 AND id IS NOT NULL AND (class_id IS NULL OR class_id = id)").dropDuplicates(["id"])
+    member = sketches.join(copied, EQUAL, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
+    reps = one.join(copied, EQUAL, "left").where("class_id IS NULL OR class_id = id").dropDuplicates(["id"])
     spread = reps.select("id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(shared, "shared")
     buckets = written(spread.join(small(shared), "band"), "buckets")
-    led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, width, "led")
+    led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, several, width, "led")
     link = F.col("both") * den >= F.col("union") * num
     first = components.smallest_reachable(led.where(link).select("a", "b"))
     # What a leader has not settled: members of a bucket that lie in different components.
@@ -247,18 +267,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "placed",
     )
     open_ = written(placed.join(small(_unsettled(placed, "mixed")), "band"), "open")
-    lows = sketches.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
+    lows = one.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
     few = written(open_.where(f"members <= {LARGE}").join(lows, "id"), "few")
     near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
     rest = _across(few, near)
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
     chosen = source.join(small(many.select("id")), "id", "left_semi")
-    fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, bands array<long>, low array<long>, half array<int>").dropDuplicates(["id"]), "fine")
+    fine = written(_standing(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), several).select("id", "bands", "low", "half"), "fine")
     dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
     again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
     alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
     far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
-    late = _distances(rest.unionByName(far_rest).distinct(), source, width, "late")
+    late = _distances(rest.unionByName(far_rest).distinct(), source, several, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
     return (

@@ -59,6 +59,7 @@ class Vocabulary:
         for value, i in enumerate(self.byte_ids or ()):
             raw[i] = bytes([value])
         self.at = np.r_[0, np.cumsum(np.array([len(x) for x in raw], np.int64))]
+        self.at_or_none = np.r_[self.at, self.at[-1]]  # one more id, of no characters
         self.bytes = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
 
     @classmethod
@@ -155,7 +156,8 @@ class Vocabulary:
         if piece in ids:
             if self.may_follow(piece, states[end - 1][2]):
                 return 0.0, end - 1, piece
-            raise ValueError(f"no piece can end {form[:end]!r}; the file is not closed under merging")
+            piece = self.merged(form[:end])[-1]  # a piece that no two others make stood in the way: by the definition
+            return 0.0, end - len(piece), piece
         return 0.0, end - 1, ""
 
 
@@ -198,7 +200,7 @@ def gathered(flat: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.nd
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets): the pieces' bytes, without the space that encoding put in front."""
-    data, length = gathered(vocabulary.bytes, vocabulary.at, ids.astype(np.int64))
+    data, length = gathered(vocabulary.bytes, vocabulary.at_or_none, ids.astype(np.int64))
     ends = np.r_[0, np.cumsum(length)][offsets]
     has = (ends[1:] > ends[:-1]) & (data[np.minimum(ends[:-1], max(0, len(data) - 1))] == 32 if len(data) else False)
     keep = np.ones(len(data), bool)
@@ -227,7 +229,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
 
 def decode_table(rows: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col and text for each row of ids."""
+    """id_col and text for each row of ids. Ids that are null or that no piece has give no characters; nor do control pieces."""
     kind = dict(rows.dtypes)[id_col]
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -235,7 +237,8 @@ def decode_table(rows: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         for batch in batches:
             lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
             at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-            data, ends = decode(shared.value, lists.flatten().to_numpy(), at)
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            data, ends = decode(shared.value, np.where((ids >= 0) & (ids < len(shared.value.at) - 1), ids, len(shared.value.at) - 1), at)
             texts = [data[ends[i] : ends[i + 1]].tobytes().decode("utf-8", "replace") for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 

@@ -168,9 +168,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple:
         return np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (700.0 if share == 1 else -700.0 if n.sum() else 0.0)
     rate = (count + 1) / (n[:, None] + 2)
     ratio = np.log(rate[1] / rate[0])
-    cuts = [rows.where(F.col("label") == k).select("order").orderBy("order").limit(sample // 2).agg(F.max("order")).first()[0] for k in (0, 1)]
-    drawn = rows.where(f"(label = 0 AND order <= {cuts[0]}) OR (label = 1 AND order <= {cuts[1]})").mapInArrow(_sampled, "label int, order long, found binary").collect()
-    drawn.sort(key=lambda r: (r.order, r.label, r.found))
+    # Ids up to a hash are drawn, with their text of the least hash: a repeated id teaches the margin once, so that its rows cannot pass the bound.
+    ids = rows.select("id", "label", "order").distinct()
+    cuts = [ids.where(F.col("label") == k).orderBy("order").limit(sample // 2).agg(F.max("order")).first()[0] for k in (0, 1)]
+    chosen = rows.where(f"(label = 0 AND order <= {cuts[0]}) OR (label = 1 AND order <= {cuts[1]})").groupBy("id", "label", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    drawn = chosen.mapInArrow(_sampled, "label int, order long, found binary").orderBy("order", "label", "found").limit(sample + 2).collect()
     found = [np.frombuffer(r.found, np.int32).astype(np.int64) for r in drawn]
     values = [(lambda v: v / (np.sqrt(v @ v) or 1.0))(ratio[f]) for f in found]
     y = np.array([r.label for r in drawn])

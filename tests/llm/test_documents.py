@@ -64,6 +64,15 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def brute_class(rows):
+    first = {}
+    for i, t in rows:
+        s = frozenset(brute_sets(t))
+        if i is not None and s:
+            first[s] = min(i, first.get(s, i))
+    return first
+
+
 def check_near(df):
     expected = brute_components(texts_of(df))
     got = minhash_dedup.near_duplicates(df).collect()
@@ -72,7 +81,38 @@ def check_near(df):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (*expected[r.doc_id], expected[r.doc_id][1] == r.doc_id)
         else:
-            assert r.kept
+            assert r.kept and r.class_id is None and r.component_id is None
+
+
+def test_rows_without_id_and_ids_of_several_texts(spark):
+    """A copy without an id gets no class; of an id's texts one stands for it, on every run."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (2, text), (None, text), (7, text), (7, other), (8, other), (9, "one"), (9, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((str(r.doc_id), r.n_shingles, str(r.class_id), str(r.component_id)) for r in minhash_dedup.near_duplicates(x).collect()) for x in (df, df.orderBy(F.desc("doc_id"), F.desc("text")).coalesce(1))]
+    assert got[0] == got[1]
+    by = {(i, n): (c, k) for i, n, c, k in got[0]}
+    assert by["None", 36] == ("None", "None") and by["2", 36] == ("1", "1") and by["7", 36] == ("1", "1") and by["8", 56] == ("8", "8")
+
+
+def test_recall_of_the_finer_bands(spark, monkeypatch):
+    """Planted links of similarity 0.75 to 0.8 among near misses, all dealt by the finer bands."""
+    monkeypatch.setattr(minhash_dedup, "LARGE", 2)
+    rng = np.random.default_rng(21)
+    common = [f"c{i}" for i in range(110)]
+    rows = []
+    for i in range(150):
+        w = common + [f"o{rng.integers(10**9)}" for _ in range(45)]
+        near = list(w)
+        near[-4] = f"n{rng.integers(10**9)}"
+        for at in (20, 45, 75):
+            near[at] = f"n{rng.integers(10**9)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+    expected = brute_components(rows)
+    assert sum(expected[2 * i + 1][1] != 2 * i + 1 for i in range(150)) == 150
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in expected.items()}
 
 
 def test_near_duplicates_odd(odd, none):
@@ -210,7 +250,7 @@ def test_line_dedup(spark, least):
     for i in range(200):
         text = ["Follow us\r" if i % 2 else "  Follow us", f"text {i}", "", "rare" if i < least - 1 else f"own {i}", "edge" if i < least else "x"]
         rows.append((i, "\n".join(text), f"s{i % 40}" if i % 50 else None))
-    rows += [(None, "Follow us\nkeep", "s1"), (300, None, "s2"), (301, "", "s3"), (302, "Follow us", "s0")]
+    rows += [(None, "Follow us\nkeep", "s1"), (310, "Follow us", "\0null"), (311, "Follow us", ""), (300, None, "s2"), (301, "", "s3"), (302, "Follow us", "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lines", F.lit(1)).withColumn("line", F.lit("x"))
     out = line_dedup.remove_boilerplate(df, min_sites=least)
     assert out.columns == df.columns
@@ -403,6 +443,51 @@ def test_quality_classifier(spark, odd, none):
     assert {round(r.score, 6) for r in quality_classifier.score(docs, labels.limit(0), held).collect()} == {0.5}
 
 
+def brute_model(train, cost=1.0, smooth=1.0):
+    """Log-count ratios from all rows, and the minimum of the hinge loss over them by projected gradient on the dual."""
+    n = {k: sum(y == k for _, y in train) for k in (0, 1)}
+    count = {k: Counter(f for x, y in train if y == k for f in x) for k in (0, 1)}
+    ratio = lambda f: math.log(((count[1][f] + smooth) / (n[1] + 2)) / ((count[0][f] + smooth) / (n[0] + 2)))
+    names = sorted({f for x, _ in train for f in x})
+    X = np.zeros((len(train), len(names) + 1))
+    for i, (x, _) in enumerate(train):
+        v = np.array([ratio(f) if f in x else 0.0 for f in names])
+        X[i] = np.r_[v / (np.linalg.norm(v) or 1.0), 1.0]
+    y = np.array([1.0 if k else -1.0 for _, k in train])
+    Q = (X * y[:, None]) @ (X * y[:, None]).T
+    a, step = np.zeros(len(train)), 1 / np.linalg.norm(Q, 2)
+    for _ in range(200_000):
+        a = np.clip(a + step * (1 - Q @ a), 0, cost)
+    w = X.T @ (a * y)
+    return {f: ratio(f) for f in names}, dict(zip(names, w, strict=False)), w[-1], X @ w
+
+
+def test_classifier_matches_brute_force(spark, monkeypatch):
+    """Counts, ratios, margins and calibration of the fitted model against a plain solver on the same features."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef!", "GH", "x1"], rng.integers(1, 5), p=[0.5, 0.2, 0.1, 0.1, 0.1] if i % 3 else [0.1, 0.2, 0.4, 0.2, 0.1])) for i in range(40)]
+    label = [int(i % 3 > 0) for i in range(40)]
+    rows = spark.createDataFrame([(i, k, t) for i, (t, k) in enumerate(zip(texts, label, strict=True))], "id long, label int, text string")
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    found = [set(f.tolist()) for f in quality_classifier.features(data, at)]
+    ratio, weight, bias, margin = brute_model(list(zip(found, label, strict=True)))
+    descend = quality_classifier.dual_descent
+    monkeypatch.setattr(quality_classifier, "dual_descent", lambda *x: descend(*x, epochs=20_000))
+    w, square, b, slope, shift = quality_classifier.fit(rows)
+    assert {f: square[f] for f in ratio} == {f: pytest.approx(r * r) for f, r in ratio.items()}
+    got = [sum(w[f] for f in x) / math.sqrt(sum(square[f] for f in x)) + b for x in found]
+    assert got == pytest.approx(margin.tolist(), abs=2e-3)
+    loss = lambda a, c: sum(math.log1p(math.exp(-(1 if k else -1) * (a * m + c))) for m, k in zip(margin, label, strict=True)) + 5e-4 * a * a
+    assert all(loss(slope, shift) <= loss(slope + da, shift + db) + 1e-3 for da in (-0.2, 0, 0.2) for db in (-0.2, 0, 0.2))
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i % 40 if i >= 400 else 3, f"text {i % 7} of {i % 2}") for i in range(800)], "doc_id long, text string")
+    assert quality_classifier.score(docs, labels, F.lit(False), sample=4).count() == 800
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -416,6 +501,8 @@ def test_pipeline(spark, tmp_path):
         docs.write.parquet(str(tmp_path / f"stage{k}"))
         docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
     got = Counter(r.doc_id for r in docs.collect())
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, tuple(r.ids)) for r in again.collect() if r.doc_id is not None) == sorted((r.doc_id, tuple(r.ids)) for r in docs.collect() if r.doc_id is not None)
     assert got and {1, 2, 3, 5, 6, 7, 8, 9}.isdisjoint(got) and docs.where("NOT round_trip").count() == 0
 
 

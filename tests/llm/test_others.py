@@ -78,6 +78,9 @@ def test_pieces_on_tables(spark, odd, none, vocabulary):
     assert pieces.encode(none, vocabulary).count() == 0 and pieces.decode_table(out.limit(0), vocabulary).count() == 0
     nulls = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert pieces.decode_table(nulls, vocabulary).first().text == ""
+    the = vocabulary.ids["▁the"]
+    odd_ids = spark.createDataFrame([(1, [None, the, 10**6, -5, the]), (2, [None]), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode_table(odd_ids, vocabulary).collect()} == {1: "the the", 2: "", 3: ""}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var x="</p>";</script></head><body>
