@@ -14,48 +14,63 @@ from rillgrid.llm import line_dedup, minhash_dedup, mixing, pieces, quality_rule
 
 ORACLE_SQL = None  # suffix arrays, signatures and pieces are beyond SQL; tests/llm compares with brute force
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-_used: list = []  # scratch tables of the stage before; its result has been written by the time the next begins
+_scratch: dict[tuple, list] = {}  # by session and folder: the tables of the last stage that was begun, until the one after it begins
 
 
-def _staged(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
-    scratch.release(_used)
+def _staged(number: int, stage: Callable[[DataFrame], DataFrame], docs: DataFrame, sf_dir: str) -> DataFrame:
+    """stage(docs). A stage's rows have been written by the time that the next one of its folder begins; its own tables go then."""
+    key = docs.sparkSession.sparkContext.applicationId, sf_dir, number
+    scratch.release(_scratch.pop((*key[:2], number - 1), []))
     with scratch.scope() as held:
         out = stage(docs)
-    _used[:] = held
+    _scratch[key] = held
     return out
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    return line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _encoded(docs: DataFrame) -> DataFrame:
+    return pieces.encode(docs, pieces.Vocabulary.load(PIECES))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _staged(quality_rules.keep_good, docs)
+    return _staged(0, quality_rules.keep_good, docs, sf_dir)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without cross-site boilerplate lines; n_chars follows the text."""
-    return _staged(lambda x: line_dedup.remove_boilerplate(x).withColumn("n_chars", F.char_length("text").cast("long")), docs)
+    return _staged(1, _lines, docs, sf_dir)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return _staged(minhash_dedup.keep_one, docs)
+    return _staged(2, minhash_dedup.keep_one, docs, sf_dir)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them, dealt to shards."""
-    return _staged(mixing.mix, docs)
+    return _staged(3, mixing.mix, docs, sf_dir)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and piece ids of each document of the mix."""
-    return _staged(lambda x: pieces.encode(x, pieces.Vocabulary.load(PIECES)), docs)
+    return _staged(4, _encoded, docs, sf_dir)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mixture), ("SentencePiece encoding and decoding", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents; each stage's rows are written to the shared folder and reread, and its own tables deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in (("quality", quality_rules.keep_good), ("lines", _lines), ("near", minhash_dedup.keep_one), ("mixture", mixing.mix)):
+        with scratch.scope() as held:
+            rows = stage(docs)
+        with scratch.scope() as kept:
+            docs = scratch.written(rows, name)
+        scratch.release([*held, *before])
+        before = kept
+    return _encoded(docs)
