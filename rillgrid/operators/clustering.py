@@ -44,6 +44,34 @@ def soft_dtw(x: np.ndarray, c: np.ndarray, gamma: float = 1.0) -> np.ndarray:
     return before[len(c)]
 
 
+def soft_sums(x: np.ndarray, c: np.ndarray, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """KRN-9: sums and weights of the values that soft alignments give each place of c, over all series at once.
+
+    The weights are the derivatives of soft-DTW by the cells' costs, found backwards; where each place is its
+    weighted mean, the sum of distances has no slope.
+    """
+    n, t = x.shape
+    m = len(c)
+    cost = np.zeros((t + 2, m + 2, n))
+    cost[1:-1, 1:-1] = (x.T[:, None, :] - c[None, :, None]) ** 2
+    r = np.full((t + 2, m + 2, n), np.inf)
+    r[0, 0] = 0.0
+    for i in range(1, t + 1):
+        for j in range(1, m + 1):
+            z = np.stack([r[i - 1, j], r[i, j - 1], r[i - 1, j - 1]]) / -gamma
+            top = z.max(0)
+            r[i, j] = cost[i, j] - gamma * (top + np.log(np.exp(z - top).sum(0)))
+    r[-1, :], r[:, -1], r[-1, -1] = -np.inf, -np.inf, r[t, m]
+    e = np.zeros((t + 2, m + 2, n))
+    e[-1, -1] = 1.0
+    for i in range(t, 0, -1):
+        for j in range(m, 0, -1):
+            for a, b in ((i + 1, j), (i, j + 1), (i + 1, j + 1)):
+                e[i, j] += e[a, b] * np.exp((r[a, b] - r[i, j] - cost[a, b]) / gamma)
+    weight = e[1:-1, 1:-1]
+    return np.einsum("ijn,ni->j", weight, x), weight.sum((0, 2))
+
+
 def _frame(frame: pd.DataFrame, length: int) -> tuple[pd.DataFrame, np.ndarray]:
     fit = frame[[v is not None and len(v) == length and not any(x is None or not np.isfinite(x) for x in v) for v in frame["v"]]]
     return fit, np.array(fit["v"].tolist(), float).reshape(len(fit), length)
@@ -101,14 +129,14 @@ def _barycentre_sums(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return total, count
 
 
-def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3, seed: int = 0, metric: str = "dtw", tolerance: float = 1e-6, series: str = "series") -> tuple[np.ndarray, float]:
-    """KRN-8: (centres in the order of their means, inertia) of the best of ``inits`` runs.
+def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3, seed: int = 0, metric: str = "dtw", tolerance: float = 1e-6, series: str = "series", gamma: float = 1.0) -> tuple[np.ndarray, float]:
+    """KRN-8, 9: (centres in the order of their means, inertia) of the best of ``inits`` runs.
 
     Seeds come from the ids' hashes, so they don't depend on partitions. Each round is one pass:
     tasks add up (cluster, place, sum, count), a small aggregate joins them; series never move.
     An empty cluster takes the farthest series. Give vectors that are written or cached.
     """
-    if metric not in ("dtw", "euclid"):
+    if metric not in ("dtw", "euclid", "softdtw"):
         raise ValueError(f"k-means has no metric {metric}")
     first = vectors.select("v").first()
     if first is None:
@@ -129,15 +157,15 @@ def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3,
                     _, x = _frame(frame, length)
                     if not len(x):
                         continue
-                    d = dtw(x, c) if metric == "dtw" else np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(-1))
+                    d = dtw(x, c) if metric == "dtw" else np.stack([soft_dtw(x, y, gamma) for y in c], 1) if metric == "softdtw" else np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(-1))
                     home, near = d.argmin(1), d.min(1)
                     for j in range(len(c)):
                         own = x[home == j]
                         if len(own):
-                            s, n = _barycentre_sums(own, c[j]) if metric == "dtw" else (own.sum(0), np.full(length, float(len(own))))
+                            s, n = _barycentre_sums(own, c[j]) if metric == "dtw" else soft_sums(own, c[j], gamma) if metric == "softdtw" else (own.sum(0), np.full(length, float(len(own))))
                             total[j] += s
                             count[j] += n
-                    inertia += np.bincount(home, near**2, len(c))
+                    inertia += np.bincount(home, near if metric == "softdtw" else near**2, len(c))
                     size += np.bincount(home, minlength=len(c))
                     if near.max() > far[0]:
                         far = (float(near.max()), x[near.argmax()].tolist())
@@ -150,12 +178,12 @@ def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3,
             for r in rows:
                 n = np.array([r[f"c{i}"] for i in range(length)])
                 if r["size"]:
-                    new[r.cluster] = np.where(n > 0, np.array([r[f"t{i}"] for i in range(length)]) / np.maximum(n, 1), centres[r.cluster])
+                    new[r.cluster] = np.where(n > 0, np.array([r[f"t{i}"] for i in range(length)]) / np.where(n > 0, n, 1), centres[r.cluster])
                 elif r.farthest:
                     new[r.cluster] = r.farthest
             inertia = float(sum(r.inertia for r in rows))
             centres = new
-            if abs(before - inertia) <= tolerance * max(1.0, inertia):
+            if abs(before - inertia) <= tolerance * max(1.0, abs(inertia)):
                 break
             before = inertia
         if best is None or inertia < best[1]:

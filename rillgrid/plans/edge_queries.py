@@ -317,3 +317,14 @@ def dtw_nearest(spark, sf):
     v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
     rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
     return r9(clustering.assign(v, np.array([r.v for r in rows], float)))
+
+
+_SOFT = _DTW.replace("c.c + least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE))", "c.c - 1.0 * (-least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE)) + ln(" + " + ".join(f"coalesce(exp(least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE)) - {x}), 0)" for x in ("l.d", "u.d", "l.up")) + "))").replace("sqrt(d)", "d")
+
+
+@query(break_sql.recursive(with_views("daily obs", _SOFT).replace("\n, med AS", ", med AS")))
+def softdtw_nearest(spark, sf):
+    """KRN-9: soft-DTW (gamma 1) to the first four series, as fixed centres."""
+    v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
+    rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
+    return r9(clustering.assign(v, np.array([r.v for r in rows], float), "softdtw"))

@@ -191,5 +191,29 @@ def test_pelt_finds_more_than_eight_breaks(spark):
 
 
 def test_kmeans_refuses_other_metrics(spark):
-    with pytest.raises(ValueError, match="softdtw"):
-        clustering.kmeans(spark.createDataFrame([(1, [1.0, 2.0])], "series int, v array<double>"), 1, metric="softdtw")
+    with pytest.raises(ValueError, match="cosine"):
+        clustering.kmeans(spark.createDataFrame([(1, [1.0, 2.0])], "series int, v array<double>"), 1, metric="cosine")
+
+
+def test_soft_alignments_are_the_slope_of_soft_dtw():
+    rng = np.random.default_rng(14)
+    x, c, gamma = rng.random((5, 7)), rng.random(6), 0.5
+    total, weight = clustering.soft_sums(x, c, gamma)
+    for j in range(6):
+        up, down = c.copy(), c.copy()
+        up[j] += 1e-5
+        down[j] -= 1e-5
+        slope = (clustering.soft_dtw(x, up, gamma) - clustering.soft_dtw(x, down, gamma)).sum() / 2e-5
+        assert 2 * (weight[j] * c[j] - total[j]) == pytest.approx(slope, abs=1e-5)
+
+
+def test_soft_kmeans_lowers_the_sum_of_distances(spark):
+    rng = np.random.default_rng(6)
+    shapes = np.array([np.sin(np.linspace(0, 6, 10)), np.linspace(-1, 1, 10), np.full(10, 3.0)])
+    rows = [(i, [float(v) for v in shapes[i % 3] + 0.05 * rng.standard_normal(10)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "series int, v array<double>").repartition(2).cache()
+    first = clustering.kmeans(df, 3, iterations=1, inits=1, metric="softdtw", gamma=0.1)[1]
+    centres, inertia = clustering.kmeans(df, 3, iterations=8, inits=2, metric="softdtw", gamma=0.1)
+    assert inertia <= first
+    got = {r.series: r.label for r in clustering.assign(df, centres, "softdtw", gamma=0.1).collect()}
+    assert all(len({got[i] for i in range(k, 30, 3)}) == 1 for k in range(3)) and len(set(got.values())) == 3
