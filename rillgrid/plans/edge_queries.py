@@ -13,7 +13,7 @@ from rillgrid.plans import break_sql, queries, views
 from rillgrid.plans.registry import query, r9
 from rillgrid.plans.session import checkpoint, shared_folder
 from rillgrid.plans.views import BANDS, table, with_views
-from rillgrid.sources import tables
+from rillgrid.sources import geotiff, tables
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -129,6 +129,26 @@ def load_or_fit(spark, sf):
     return tables.load_or_fit(spark, path, never)
 
 
+@query(with_views("daily", "SELECT strftime(ts, '%Y%m%d_000000_x.tif') AS scene, row, col, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 9) AS v, v < 0.5 AS low FROM daily"))
+def geotiff_roundtrip(spark, sf):
+    """SNK-1, 2, SRC-1, 2, 13: a file of two bands for each day, read back without its nodata."""
+    rows, path = views.daily(spark, sf), _place(spark, "tiff")
+    height = 1 + (rows.agg(F.max("row")).first()[0] or 0)
+    scene = rows.select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_000000_x.tif")).alias("scene"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "v", (F.col("v") < 0.5).cast("double").alias("low"))
+    assert geotiff.save(geotiff.encoded(scene, height, views.WIDTH, ["v", "low"], transform=[3.0, 0.0, 5e5, 0.0, -3.0, 4e6], epsg=32648), path) > 0
+    back = geotiff.read(spark, path).where("bands[0] IS NOT NULL")
+    return r9(back.select("scene", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("bands")[0].alias("v"), (F.col("bands")[1] == 1).alias("low")), "v")
+
+
+@query(with_views("daily", "SELECT count(DISTINCT ts) AS files, true AS same FROM daily"))
+def geotiff_profiles(spark, sf):
+    """SRC-14: size, reference system and transform agree over all files."""
+    rows, path = views.daily(spark, sf), _place(spark, "profiles")
+    scene = rows.select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(".tif")).alias("scene"), F.lit(0).alias("row"), F.col("col").cast("int").alias("col"), "v").dropDuplicates(["scene", "col"])
+    geotiff.save(geotiff.encoded(scene, 1, views.WIDTH, ["v"], transform=[3.0, 0.0, 5e5, 0.0, -3.0, 4e6], epsg=32648), path)
+    return stack.same_profile(geotiff.read_profiles(spark, path))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_tax WHEN l_linenumber % 3 = 1 THEN l_discount END AS a FROM lineitem")
 def abundance_band(spark, sf):
     """SRC-16: the only band, the third of three, NULL of two."""

@@ -1,7 +1,7 @@
 """A Spark data source for plain raster files (SRC-1…4), one read task for each file and tile of rows.
 
-GeoTIFF decoders are not part of this engine's requirements; the source reads NumPy arrays
-(bands, rows, cols) or (rows, cols) saved as .npy, memory-mapped, so that a task holds one tile.
+It reads NumPy arrays (bands, rows, cols) or (rows, cols) saved as .npy, memory-mapped, so that a
+task holds one tile; the files must lie where driver and executors see them. GeoTIFF: ``geotiff``.
 """
 
 from __future__ import annotations

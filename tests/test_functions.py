@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillgrid.functions import breaks, keys, spectral
 from rillgrid.operators import agreement, endmembers, sampling, series, stack
-from rillgrid.sources import raster, tables
+from rillgrid.sources import geotiff, raster, tables
 
 
 def one(spark, **columns):
@@ -215,3 +215,91 @@ def test_raster_tables_and_files(spark, tmp_path):
     assert tables.load_or_fit(spark, str(tmp_path / "m"), lambda: 1 / 0).count() == model.count() == 3
     r = spark.range(1).select(tables.abundance(F.array(F.lit(1.0))).alias("a"), tables.abundance(F.array(*(F.lit(float(i)) for i in range(4)))).alias("b")).first()
     assert (r.a, r.b) == (1.0, 2.0)
+
+
+def packed_lzw(data):
+    """An encoder of its own for the test."""
+    codes, width, table, word, out = [(256, 9)], 9, {bytes([i]): i for i in range(256)}, b"", 0
+    size = 258
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        codes.append((table[word], width))
+        table[word + bytes([b])] = size
+        size += 1
+        if size == 4094:
+            codes.append((256, 12))
+            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+        else:
+            width = max(9, size.bit_length())
+        word = bytes([b])
+    codes += [(table[word], width)] if word else []
+    codes.append((257, max(width, size.bit_length() if size + 1 < 4095 and (size + 1).bit_length() > width else width)))
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def tiff(values, order="<", big=False, tile=None, packing=1, predictor=1, planar=1):
+    """A file in any of the layouts, written plainly."""
+    import struct
+    import zlib
+
+    height, width, bands = values.shape
+    values = values.astype(values.dtype.newbyteorder(order))
+    tall, wide = tile or (3, width)
+    chunks = []
+    for plane in range(bands) if planar == 2 else [slice(None)]:
+        for r in range(0, height, tall):
+            for c in range(0, width, wide):
+                part = values[r : r + tall, c : c + wide, plane].reshape(min(tall, height - r), min(wide, width - c), -1)
+                if tile:
+                    part = np.pad(part, ((0, tall - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
+                if predictor == 2:
+                    part = np.diff(part.astype(values.dtype.newbyteorder("=")), axis=1, prepend=0).astype(values.dtype)
+                raw = part.astype(values.dtype).tobytes()
+                if predictor == 3:
+                    b = np.frombuffer(part.astype(">f4").tobytes(), np.uint8).reshape(part.shape[0], -1, 4).transpose(0, 2, 1).reshape(part.shape[0], -1, part.shape[2])
+                    raw = np.diff(b, axis=1, prepend=np.zeros((b.shape[0], 1, b.shape[2]), np.uint8)).astype(np.uint8).tobytes()
+                chunks.append({1: bytes, 5: packed_lzw, 8: zlib.compress}[packing](raw))
+    head = 16 if big else 8
+    at = np.r_[head, head + np.cumsum([len(x) for x in chunks])].tolist()
+    word, pointer = ("Q", 16) if big else ("I", 4)
+    where = [(322, 3, [wide]), (323, 3, [tall]), (324, pointer, at[:-1]), (325, pointer, [len(x) for x in chunks])] if tile else [(273, pointer, at[:-1]), (278, 3, [tall]), (279, pointer, [len(x) for x in chunks])]
+    fields = sorted([(256, 3, [width]), (257, 3, [height]), (258, 3, [values.dtype.itemsize * 8] * bands), (259, 3, [packing]), (277, 3, [bands]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[values.dtype.kind]] * bands), (33550, 12, [3.0, 2.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 500.0, 900.0, 0.0]), *where])
+    begin = at[-1] + (8 if big else 2) + (20 if big else 12) * len(fields) + (8 if big else 4)
+    entries, far = b"", b""
+    for tag, type_, content in fields:
+        raw = struct.pack(f"{order}{len(content)}{geotiff.TYPES[type_]}", *content)
+        entries += struct.pack(order + "HH" + word, tag, type_, len(content))
+        room = 8 if big else 4
+        entries += raw.ljust(room, b"\0") if len(raw) <= room else struct.pack(order + word, begin + len(far))
+        far += raw if len(raw) > room else b""
+    magic = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, at[-1]) if big else struct.pack(order + "HI", 42, at[-1]))
+    return magic + b"".join(chunks) + struct.pack(order + ("Q" if big else "H"), len(fields)) + entries + bytes(8 if big else 4) + far
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("packing", "predictor", "kind"), [(1, 1, "u2"), (8, 2, "u2"), (5, 1, "i2"), (5, 2, "u1"), (8, 3, "f4"), (1, 1, "f8")])
+def test_tiff_layouts(order, packing, predictor, kind):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 200, (37, 41, 3)).astype(kind) if kind != "f4" else rng.random((37, 41, 3)).astype(kind)
+    for big in (False, True):
+        for tile in (None, (16, 32)):
+            for planar in (1, 2):
+                data = tiff(values, order, big, tile, packing, predictor, planar)
+                assert np.array_equal(np.concatenate([v for _, v in geotiff.blocks(data)]), values)
+                assert geotiff.profile(geotiff.tags(data)[1]) == (37, 41, 3, None, None, [3.0, 0.0, 500.0, 0.0, -2.0, 900.0])
+
+
+def test_lzw_tables_fill_and_clear():
+    data = np.random.default_rng(1).integers(0, 256, 30_000).astype(np.uint8).tobytes() + b"abc" * 5000
+    assert geotiff.unpacked(packed_lzw(data)) == data and geotiff.unpacked(packed_lzw(b"")) == b""
+
+
+def test_tiff_refuses_what_it_does_not_know():
+    with pytest.raises(ValueError, match="not a TIFF"):
+        geotiff.tags(b"PK\x03\x04")
+    bad = tiff(np.zeros((3, 3, 1), "u2")).replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01", b"\x03\x01\x03\x00\x01\x00\x00\x00\x07")
+    with pytest.raises(ValueError, match="compression 7"):
+        list(geotiff.blocks(bad))
