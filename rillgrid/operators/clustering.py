@@ -11,21 +11,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 MOST_CENTROIDS = 4096
 
 
+CELLS = 8_000_000  # of distance tables held at once
+
+
+def _table(x: np.ndarray, c: np.ndarray, radius: int | None = None) -> np.ndarray:
+    """A7: (times + 1, places + 1, series) of squared distances along the best path, a diagonal of all series at a time."""
+    n, t = x.shape
+    m = len(c)
+    cost = (x.T[:, None, :] - c[None, :, None]) ** 2
+    if radius is not None:
+        cost[np.abs(np.arange(t)[:, None] - np.arange(m)[None, :]) > radius] = np.inf
+    d = np.full((t + 1, m + 1, n), np.inf)
+    d[0, 0] = 0.0
+    for s in range(2, t + m + 1):
+        i = np.arange(max(1, s - m), min(t, s - 1) + 1)
+        j = s - i
+        d[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]), d[i - 1, j - 1])
+    return d
+
+
 def dtw(x: np.ndarray, centres: np.ndarray, radius: int | None = None) -> np.ndarray:
-    """KRN-7, A7: (series, centres) distances, all series at once: two rows of the table, loops over times alone."""
+    """KRN-7, A7: (series, centres) distances."""
     n, t = x.shape
     out = np.empty((n, len(centres)))
     for k, c in enumerate(centres):
-        m = len(c)
-        before = np.full((m + 1, n), np.inf)
-        before[0] = 0.0
-        for i in range(t):
-            now = np.full((m + 1, n), np.inf)
-            lo, hi = (0, m) if radius is None else (max(0, i - radius), min(m, i + radius + 1))
-            for j in range(lo, hi):
-                now[j + 1] = (x[:, i] - c[j]) ** 2 + np.minimum(np.minimum(before[j + 1], now[j]), before[j])
-            before = now
-        out[:, k] = np.sqrt(before[m])
+        size = max(1, CELLS // ((t + 1) * (len(c) + 1)))
+        for lo in range(0, n, size):
+            out[lo : lo + size, k] = np.sqrt(_table(x[lo : lo + size], c, radius)[t, len(c)])
     return out
 
 
@@ -110,31 +122,29 @@ def euclid_assign(vectors: DataFrame, centres: Sequence[Sequence[float]], series
 
 def _barycentre_sums(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the values that a DTW path aligns with each place of c, over all series at once."""
-    n, t = x.shape
-    m = len(c)
-    d = np.full((t + 1, m + 1, n), np.inf)
-    d[0, 0] = 0.0
-    for i in range(t):
-        for j in range(m):
-            d[i + 1, j + 1] = (x[:, i] - c[j]) ** 2 + np.minimum(np.minimum(d[i, j + 1], d[i + 1, j]), d[i, j])
-    total, count, row = np.zeros(m), np.zeros(m), np.arange(n)
-    i, j = np.full(n, t), np.full(n, m)
-    while len(row):
-        np.add.at(total, j - 1, x[row, i - 1])
-        np.add.at(count, j - 1, 1)
-        step = np.stack([d[i - 1, j - 1, row], d[i - 1, j, row], d[i, j - 1, row]]).argmin(0)
-        i, j = i - (step != 2), j - (step != 1)
-        on = (i > 0) & (j > 0)
-        row, i, j = row[on], i[on], j[on]
+    t, m = x.shape[1], len(c)
+    total, count = np.zeros(m), np.zeros(m)
+    size = max(1, CELLS // ((t + 1) * (m + 1)))
+    for lo in range(0, len(x), size):
+        part = x[lo : lo + size]
+        n, d = len(part), _table(part, c)
+        row, i, j = np.arange(n), np.full(n, t), np.full(n, m)
+        while len(row):
+            np.add.at(total, j - 1, part[row, i - 1])
+            np.add.at(count, j - 1, 1)
+            step = np.stack([d[i - 1, j - 1, row], d[i - 1, j, row], d[i, j - 1, row]]).argmin(0)
+            i, j = i - (step != 2), j - (step != 1)
+            on = (i > 0) & (j > 0)
+            row, i, j = row[on], i[on], j[on]
     return total, count
 
 
 def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3, seed: int = 0, metric: str = "dtw", tolerance: float = 1e-6, series: str = "series", gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """KRN-8, 9: (centres in the order of their means, inertia) of the best of ``inits`` runs.
 
-    Seeds come from the ids' hashes, so they don't depend on partitions. Each round is one pass:
-    tasks add up (cluster, place, sum, count), a small aggregate joins them; series never move.
-    An empty cluster takes the farthest series. Give vectors that are written or cached.
+    Seeds come from the ids' hashes, so they don't depend on partitions. Each round is one pass for all runs
+    that have not settled: tasks add up (run, cluster, place, sum, count), a small aggregate joins them; series
+    never move. An empty cluster takes the farthest series. Give vectors that are written or cached.
     """
     if metric not in ("dtw", "euclid", "softdtw"):
         raise ValueError(f"k-means has no metric {metric}")
@@ -142,53 +152,53 @@ def kmeans(vectors: DataFrame, k: int = 4, iterations: int = 50, inits: int = 3,
     if first is None:
         raise ValueError("no series to cluster")
     length = len(first[0])
-    best: tuple[np.ndarray, float] | None = None
+    centres = {}
     for run_ in range(inits):
         rows = vectors.orderBy(F.xxhash64(F.lit(seed + run_), series), series).select("v").limit(k).collect()
-        centres, before = np.array([r[0] for r in rows], float), np.inf
-        for _ in range(iterations):
-            shared = vectors.sparkSession.sparkContext.broadcast(centres)
-
-            def step(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                c = shared.value
-                total, count, inertia, size = np.zeros(c.shape), np.zeros(c.shape), np.zeros(len(c)), np.zeros(len(c))
-                far: tuple[float, list | None] = (-1.0, None)
-                for frame in frames:
-                    _, x = _frame(frame, length)
-                    if not len(x):
-                        continue
+        centres[run_] = np.array([r[0] for r in rows], float)
+    inertia, open_ = dict.fromkeys(centres, np.inf), list(centres)
+    for _ in range(iterations):
+        shared = vectors.sparkSession.sparkContext.broadcast({r: centres[r] for r in open_})
+
+        def step(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            held = {r: {"total": np.zeros(c.shape), "count": np.zeros(c.shape), "inertia": np.zeros(len(c)), "size": np.zeros(len(c)), "far": (-np.inf, None)} for r, c in shared.value.items()}
+            for frame in frames:
+                _, x = _frame(frame, length)
+                for r, c in shared.value.items() if len(x) else ():
+                    h = held[r]
                     d = dtw(x, c) if metric == "dtw" else np.stack([soft_dtw(x, y, gamma) for y in c], 1) if metric == "softdtw" else np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(-1))
                     home, near = d.argmin(1), d.min(1)
                     for j in range(len(c)):
                         own = x[home == j]
                         if len(own):
                             s, n = _barycentre_sums(own, c[j]) if metric == "dtw" else soft_sums(own, c[j], gamma) if metric == "softdtw" else (own.sum(0), np.full(length, float(len(own))))
-                            total[j] += s
-                            count[j] += n
-                    inertia += np.bincount(home, near if metric == "softdtw" else near**2, len(c))
-                    size += np.bincount(home, minlength=len(c))
-                    if near.max() > far[0]:
-                        far = (float(near.max()), x[near.argmax()].tolist())
-                yield pd.DataFrame({"cluster": range(len(c)), "total": total.tolist(), "count": count.tolist(), "inertia": inertia, "size": size, "far": far[0], "farthest": [far[1]] * len(c)})
-
-            parts = vectors.select("v").mapInPandas(step, "cluster int, total array<double>, count array<double>, inertia double, size double, far double, farthest array<double>")
-            sums = [F.sum(F.col(c)[i]).alias(f"{c[0]}{i}") for c in ("total", "count") for i in range(length)]
-            rows = parts.groupBy("cluster").agg(F.sum("inertia").alias("inertia"), F.sum("size").alias("size"), F.max_by("farthest", F.struct("far", "farthest")).alias("farthest"), *sums).orderBy("cluster").collect()
-            new = centres.copy()
-            for r in rows:
-                n = np.array([r[f"c{i}"] for i in range(length)])
-                if r["size"]:
-                    new[r.cluster] = np.where(n > 0, np.array([r[f"t{i}"] for i in range(length)]) / np.where(n > 0, n, 1), centres[r.cluster])
-                elif r.farthest:
-                    new[r.cluster] = r.farthest
-            inertia = float(sum(r.inertia for r in rows))
-            centres = new
-            if abs(before - inertia) <= tolerance * max(1.0, abs(inertia)):
-                break
-            before = inertia
-        if best is None or inertia < best[1]:
-            best = centres, inertia
-    return best[0][np.lexsort((best[0][:, 0], best[0].mean(1)))], best[1]
+                            h["total"][j] += s
+                            h["count"][j] += n
+                    h["inertia"] += np.bincount(home, near if metric == "softdtw" else near**2, len(c))
+                    h["size"] += np.bincount(home, minlength=len(c))
+                    if near.max() > h["far"][0]:
+                        h["far"] = (float(near.max()), x[near.argmax()].tolist())
+            for r, h in held.items():
+                yield pd.DataFrame({"run": r, "cluster": range(len(h["size"])), "total": h["total"].tolist(), "count": h["count"].tolist(), "inertia": h["inertia"], "size": h["size"], "far": h["far"][0], "farthest": [h["far"][1]] * len(h["size"])})
+
+        parts = vectors.select("v").mapInPandas(step, "run int, cluster int, total array<double>, count array<double>, inertia double, size double, far double, farthest array<double>")
+        sums = [F.sum(F.col(c)[i]).alias(f"{c[0]}{i}") for c in ("total", "count") for i in range(length)]
+        rows = parts.groupBy("run", "cluster").agg(F.sum("inertia").alias("inertia"), F.sum("size").alias("size"), F.max_by("farthest", F.struct("far", "farthest")).alias("farthest"), *sums).collect()
+        now = dict.fromkeys(open_, 0.0)
+        for r in sorted(rows, key=lambda r: (r.run, r.cluster)):
+            n = np.array([r[f"c{i}"] for i in range(length)])
+            if r["size"]:
+                centres[r.run][r.cluster] = np.where(n > 0, np.array([r[f"t{i}"] for i in range(length)]) / np.where(n > 0, n, 1), centres[r.run][r.cluster])
+            elif r.farthest:
+                centres[r.run][r.cluster] = r.farthest
+            now[r.run] += float(r.inertia)
+        open_ = [r for r in open_ if not abs(inertia[r] - now[r]) <= tolerance * max(1.0, abs(now[r]))]
+        inertia |= now
+        if not open_:
+            break
+    best = min(centres, key=lambda r: (inertia[r], r))
+    c = centres[best]
+    return c[np.lexsort((c[:, 0], c.mean(1)))], inertia[best]
 
 
 def centroid_table(spark, centres: np.ndarray) -> DataFrame:

@@ -30,6 +30,12 @@ def segments(points: DataFrame, cuts: Sequence[int], series: str = "series", pos
     return points.withColumn("segment", sum((F.when(F.col(pos) >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
 
 
+def segments_by(points: DataFrame, cuts: DataFrame, series: str = "series", pos: str = "pos", column: str = "cuts_full") -> DataFrame:
+    """WIN-7: the segment of each point for the cuts of its own series, (series, array); series without cuts have one segment."""
+    own = points.join(cuts.select(series, F.col(column).alias("_cuts")), series, "left")
+    return own.withColumn("segment", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(pos))))).drop("_cuts")
+
+
 def segment_statistics(points: DataFrame, series: str = "series", pos: str = "pos", v: str = "v") -> DataFrame:
     """AGG-22…24: mean, slope, length, number of values, variance and both RSS of each (series, segment)."""
     y, x = F.col(v), F.when(F.col(v).isNotNull(), F.col(pos).cast("double"))

@@ -316,6 +316,32 @@ def merged_summaries(spark, sf):
     return segmentation.merged_summaries({"PELT-l2": pelt, "events": other}).select("method", "criterion", "crit_scale", "min_size", "n_with_breaks", "rate")
 
 
+@query(queries._sql(break_sql.FIVES + break_sql.PATHS + break_sql._picked("chosen", "(VALUES (1.0::DOUBLE)) p(ps)") + """, e AS (SELECT c.series, f.pos + 1 AS b FROM (SELECT series, unnest(cuts) AS i FROM chosen) c JOIN f ON f.series = c.series AND f.i = c.i - 1),
+s AS (SELECT x.series, x.pos, x.raw, (SELECT count(*) FROM e WHERE e.series = x.series AND e.b <= x.pos) AS segment FROM x)
+SELECT series, CAST(segment AS INTEGER) AS segment, count(*) AS length, count(raw) AS n, round(avg(raw), 9) AS mu, min(pos) AS start FROM s GROUP BY series, segment"""))
+def pelt_segments(spark, sf):
+    """WIN-7, AGG-22: statistics of the raw values in the segments that PELT gives each series."""
+    smooth, v = queries._prepared_vectors(spark, sf)
+    cuts = segmentation.pelt_breaks(segmentation.pelt_models(v), queries._variances(smooth), [1.0])
+    stats = segmentation.segment_statistics(segmentation.segments_by(queries._points(spark, sf), cuts))
+    return r9(stats.select("series", "segment", "length", "n", "mu", F.col("start").cast("long").alias("start")))
+
+
+@query(with_views("daily obs", "SELECT series, ts, round(coalesce(v, avg(v) OVER (PARTITION BY series)), 9) AS v FROM obs"))
+def mean_filled(spark, sf):
+    """WIN-4."""
+    return r9(views.obs(spark, sf).select("series", "ts", series.mean_filled().alias("v")))
+
+
+@query(with_views("spectra", "SELECT CAST(label AS INTEGER) AS cluster, CAST(b - 1 AS INTEGER) AS place, round([" + ", ".join(f"round(avg({b}), 12)" for b in BANDS).replace("round(avg", "round(avg") + "][b] * 3 + 2, 9) AS v FROM (SELECT * FROM spectra WHERE label < 4), range(1, 9) r(b) GROUP BY label, b"))
+def denormalised_centres(spark, sf):
+    """PRJ-20, SRC-15: centres as a table, with mean 2 and deviation 3."""
+    x = views.spectra(spark, sf)
+    rows = [[round(v, 12) for v in row] for row in endmembers.matrix(endmembers.mean_spectra(x, BANDS), BANDS, [0, 1, 2, 3])]
+    out = clustering.denormalised(clustering.centroid_table(spark, np.array(rows)), 2.0, 3.0)
+    return r9(out.select("cluster", F.posexplode("v").alias("place", "v")))
+
+
 # The distance table of each series and centre, one diagonal a step; a cell keeps the one above it (up), which is the
 # corner of the cell on its right.
 _DTW = f""", {queries._MED}, {queries._FILL},
