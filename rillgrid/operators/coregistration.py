@@ -1,4 +1,4 @@
-"""Local co-registration by phase correlation (KRN-10): tie points on a grid of windows."""
+"""Local co-registration by phase correlation (KRN-10): tie points on a grid of windows, and the scene moved by them."""
 
 from __future__ import annotations
 
@@ -39,3 +39,16 @@ def tie_points(target: DataFrame, reference: DataFrame, window: int = 64, v: str
     return keyed.groupBy("scene", "win_r", "win_c").applyInPandas(solve, f"scene {kind}, win_r int, win_c int, dx double, dy double, rel double")
 
 
+
+
+def warped(target: DataFrame, ties: DataFrame, window: int = 64, v: str = "v", pixel_m: float = 3.0, least_rel: float = 0.0) -> DataFrame:
+    """(scene, row, col, v) on the target's grid: each window takes the values that its tie point moves there, by whole pixels.
+
+    Windows without a tie point of at least least_rel stay where they are; pixels whose source lies outside the scene are NULL.
+    """
+    good = (F.col("dx") != -9999.0) & (F.col("rel") >= least_rel)
+    shift = ties.where(good).select("scene", "win_r", "win_c", *(F.round(F.col(c) / pixel_m).cast("int").alias(f"_{c}") for c in ("dy", "dx")))
+    at = target.select("scene", "row", "col", F.floor(F.col("row") / window).cast("int").alias("win_r"), F.floor(F.col("col") / window).cast("int").alias("win_c"))
+    moved = at.join(shift, ["scene", "win_r", "win_c"], "left").withColumns({"_r": F.col("row") - F.coalesce("_dy", F.lit(0)), "_c": F.col("col") - F.coalesce("_dx", F.lit(0))})
+    source = target.select("scene", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(v))
+    return moved.join(source, ["scene", "_r", "_c"], "left").select("scene", "row", "col", v)

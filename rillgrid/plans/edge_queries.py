@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession, Window, functions as F
 
 from rillgrid.functions import breaks, keys, spectral
-from rillgrid.operators import agreement, clustering, endmembers, scenes, segmentation, series, stack
+from rillgrid.operators import clustering, coregistration, endmembers, scenes, segmentation, series, stack
 from rillgrid.plans import break_sql, queries, views
 from rillgrid.plans.registry import query, r9
 from rillgrid.plans.session import checkpoint, shared_folder
@@ -234,6 +234,18 @@ def text_order(spark, sf):
     return spark.createDataFrame([(i, r.name, r.ts) for i, r in enumerate(rows, 1)], "place long, name string, ts date")
 
 
+@query(with_views("daily", """, p AS (SELECT ts, row, col, v, (row // 4) * 4 + col // 4 AS w FROM daily),
+t AS (SELECT p.*, CASE WHEN w % 3 = 0 THEN 0 ELSE w % 2 END AS sy, CASE WHEN w % 3 = 0 THEN 0 ELSE w % 3 - 2 END AS sx FROM p)
+SELECT strftime(t.ts, '%Y%m%d') AS scene, t.row, t.col, round(s.v, 9) AS v FROM t LEFT JOIN daily s ON s.ts = t.ts AND s.row = t.row - t.sy AND s.col = t.col - t.sx""").replace("\n, p AS", ", p AS"))
+def warped_scenes(spark, sf):
+    """KRN-10: scenes moved by the tie points of their windows; a third of the windows has none."""
+    d = checkpoint(views.daily(spark, sf).select(F.date_format("ts", "yyyyMMdd").alias("scene"), "row", "col", "v"))
+    w = F.expr("win_r * 4 + win_c")
+    ties = d.select("scene", F.floor(F.col("row") / 4).cast("int").alias("win_r"), F.floor(F.col("col") / 4).cast("int").alias("win_c")).distinct()
+    ties = ties.withColumns({"dy": F.when(w % 3 == 0, -9999.0).otherwise(3.0 * (w % 2)), "dx": F.when(w % 3 == 0, -9999.0).otherwise(3.0 * (w % 3 - 2)), "rel": F.lit(50.0)})
+    return r9(coregistration.warped(d, ties, 4))
+
+
 # --- columns and aggregates -----------------------------------------------------------------------
 
 

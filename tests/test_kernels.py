@@ -164,6 +164,8 @@ def test_phase_correlation(spark):
     target = spark.createDataFrame([("s", *x) for x in rows(moved)], "scene string, row int, col int, v double")
     t = coregistration.tie_points(target, ref, 16).first()
     assert (t.dx, t.dy) == (9.0, -6.0) and t.rel > 50
+    back = {(r.row, r.col): r.v for r in coregistration.warped(target, coregistration.tie_points(target, ref, 16), 16).collect()}
+    assert len(back) == 256 and all(back[r, c] == (None if r < 0 or not (0 <= r + 2 < 16 and 0 <= c - 3 < 16) else image[r, c]) for r, c in back)
     gap = coregistration.tie_points(target.where("row > 0"), ref, 16).first()
     assert (gap.dx, gap.rel) == (-9999.0, 0.0)
 
