@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillgrid.llm import tokens as tk
-from rillgrid.llm.scratch import small, written
+from rillgrid.llm.scratch import BROADCAST_BYTES, room, small, written
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 FAN, SPACE = 4096, 1 << 48  # a document's place is a hash of 48 bits; each level of the descent tells 12 more apart
@@ -183,16 +183,15 @@ def _descended(sized: DataFrame, state: DataFrame, last: bool) -> DataFrame:
     open_, done = state.withColumn("begin", begin), None
     while width > 1:
         width //= FAN
-        at = written(open_.withColumnRenamed("source", "named"), "open")
-        if not at.head(1):
+        at = open_.withColumnRenamed("source", "named")
+        if not (size := room(at)):
             break
-        inside = sized.join(small(at), F.col("source").eqNullSafe(F.col("named"))).where(f"place >= low AND size <= fits AND place >= begin AND place < begin + {width * FAN}")
+        inside = sized.join(F.broadcast(at) if size <= BROADCAST_BYTES else at, F.col("source").eqNullSafe(F.col("named"))).where(f"place >= low AND size <= fits AND place >= begin AND place < begin + {width * FAN}")
         bins = inside.groupBy("named", "begin", F.expr(f"(place - begin) div {width}").alias("bin")).agg(F.sum("size").alias("size"), F.count_distinct("place").alias("n"), F.any_value("need").alias("need"))
         # FAN rows of a source at most stand in this window, however large the source is
         passed = F.col("upto") > F.col("need")
         crossing = bins.withColumn("upto", F.sum("size").over(by_source)).groupBy("named").agg(F.sum("size").alias("all"), F.min_by(F.when(passed, F.struct("bin", "size", "upto", "n")), F.when(passed, F.col("bin"))).alias("x"))
-        found = small(written(crossing.withColumnRenamed("named", "source"), "crossing"))
-        next_ = at.join(found, F.col("named").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("named", "source")
+        next_ = at.join(crossing.withColumnRenamed("named", "source"), F.col("named").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("named", "source")
         left = F.col("need") - (F.col("x.upto") - F.col("x.size"))
         start = F.col("begin") + F.col("x.bin") * width
         deeper = (F.col("x.n") > 1) & F.lit(width > 1)

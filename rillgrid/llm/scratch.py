@@ -44,10 +44,14 @@ BROADCAST_BYTES = 6 << 20
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df, a written table, marked for a broadcast if its rows take at most so many bytes; beyond that joins shuffle it."""
+    return F.broadcast(df) if room(df) <= most else df
+
+
+def room(df: DataFrame) -> int:
+    """The bytes that the rows of df take in memory, about; 0 without rows."""
     fixed = 16 + 8 * len(df.columns)
     long = [F.coalesce(F.octet_length(F.col(c).cast("string") if k != "binary" else F.col(c)), F.lit(0)) for c, k in df.dtypes if k in ("string", "binary")] + [F.coalesce(8 * F.size(c), F.lit(0)) for c, k in df.dtypes if k.startswith("array")]
-    size = df.agg((F.count("*") * fixed + (F.coalesce(sum((F.sum(x) for x in long[1:]), F.sum(long[0])), F.lit(0)) if long else F.lit(0))).alias("b")).first().b
-    return F.broadcast(df) if size <= most else df
+    return df.agg((F.count("*") * fixed + (F.coalesce(sum((F.sum(x) for x in long[1:]), F.sum(long[0])), F.lit(0)) if long else F.lit(0))).alias("b")).first().b
 
 
 @contextlib.contextmanager
