@@ -201,7 +201,7 @@ def _descended(sized: DataFrame, state: DataFrame, last: bool) -> DataFrame:
         ended = next_.where("NOT deeper").select(
             "source",
             F.when(F.col("x").isNull(), F.col("need") - F.coalesce("all", F.lit(0))).when(nearer, left - F.col("x.size")).otherwise(left).alias("need"),
-            F.when(F.col("x").isNull(), F.lit(SPACE)).when(nearer, start + width).otherwise(start).alias("low"), "fits",
+            F.when(F.col("x").isNull(), F.lit(SPACE)).when(nearer, start + width).otherwise(F.greatest("low", start)).alias("low"), "fits",
         )
         done = ended if done is None else done.unionByName(ended)
     return done if done is not None else state
