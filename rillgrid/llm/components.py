@@ -16,6 +16,8 @@ def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbour alone. Nulls and loops are no links; no links give an empty table.
     """
     edges = written(links.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rillgrid.llm import components, tokens as tk
-from rillgrid.llm.scratch import small, written
+from rillgrid.llm.scratch import KEYS_BYTES, small, written
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 LARGE = 64  # members of an unsettled bucket that is dealt anew
@@ -152,6 +152,7 @@ def _fine(width: int):
                     keys, low = band_keys(signature[:, : FINE_BANDS * FINE_ROWS], FINE_BANDS, FINE_ROWS), packed(signature, 1)
                 half = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((sets >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), lists_of(some, keys), lists_of(some, low), half], names=["id", *EQUAL, "bands", "low", "half"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -170,6 +171,7 @@ def _sketch(width: int, bands: int, rows: int):
                     keys, low = band_keys(signature, bands, rows), packed(signature, 4)
                 lists, lows = lists_of(size > 0, keys), lists_of(size > 0, low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1), pa.array(h2), lists, lows], names=["id", "n_shingles", "h1", "h2", "bands", "low"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -181,6 +183,7 @@ def _sets(width: int):
                 sets, at = shingles(d, o, width)
                 values = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(sets.view(np.uint8) if len(sets) else np.zeros(1, np.uint8))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), values.cast(pa.binary())], names=["id", *EQUAL, "members"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -200,6 +203,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both[i] = np.count_nonzero(left[np.minimum(place, len(left) - 1)] == right)
             union[i] = len(left) + len(right) - both[i]
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both), pa.array(union)], names=["a", "b", "both", "union"])
+    pa.default_memory_pool().release_unused()  # the worker lives on and does other tasks
 
 
 def _standing(rows: DataFrame, several: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def _distances(pairs: DataFrame, docs: DataFrame, several: DataFrame, width: int
     """Written (a, b, both, union) of the pairs (a, b): sets are made only for texts that stand in a pair."""
     pairs = written(pairs, f"{name}-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    named = docs.join(small(ids), "id", "left_semi")
+    named = docs.join(small(ids, KEYS_BYTES), "id", "left_semi")
     sets = written(_standing(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, n_shingles long, h1 long, h2 long, members binary"), several).select("id", "members"), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     kind = dict(docs.dtypes)["id"]
@@ -272,13 +276,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
     rest = _across(few, near)
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
-    chosen = source.join(small(many.select("id")), "id", "left_semi")
-    fine = written(_standing(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), several).select("id", "bands", "low", "half"), "fine")
-    dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
-    again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
-    alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
-    far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
-    late = _distances(rest.unionByName(far_rest).distinct(), source, several, width, "late")
+    if not many.isEmpty():
+        chosen = source.join(small(many.select("id"), KEYS_BYTES), "id", "left_semi")
+        fine = written(_standing(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), several).select("id", "bands", "low", "half"), "fine")
+        dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
+        again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
+        alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
+        far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
+        rest = rest.unionByName(far_rest).distinct()
+    late = _distances(rest, source, several, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
     return (

@@ -40,6 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_BYTES = 6 << 20
+KEYS_BYTES = 24 << 20  # for keys that pick whole texts: a shuffle would move the texts
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -49,7 +50,7 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 def room(df: DataFrame) -> int:
     """The bytes that the rows of df take in memory, about; 0 without rows."""
-    fixed = 16 + 8 * len(df.columns)
+    fixed = 64 + 8 * len(df.columns)  # the row, and its place in a hash table that is at most half full
     long = [F.coalesce(F.octet_length(F.col(c).cast("string") if k != "binary" else F.col(c)), F.lit(0)) for c, k in df.dtypes if k in ("string", "binary")] + [F.coalesce(8 * F.size(c), F.lit(0)) for c, k in df.dtypes if k.startswith("array")]
     return df.agg((F.count("*") * fixed + (F.coalesce(sum((F.sum(x) for x in long[1:]), F.sum(long[0])), F.lit(0)) if long else F.lit(0))).alias("b")).first().b
 
