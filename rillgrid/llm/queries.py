@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rillgrid.llm import html_text, language_model, line_dedup, minhash_dedup, mixing, mtree, pieces, quality_classifier, quality_rules, url_filter
+from rillgrid.llm import conversations, fill_middle, html_text, language_model, line_dedup, minhash_dedup, mixing, mtree, pieces, quality_classifier, quality_rules, toxicity, url_filter
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -15,9 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(n: int) -> Column:
-    """Whether a document is held out: crc32 of its id as text leaves 1 on division by n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n == 1
+def _fold(n: int, rest: int = 1) -> Column:
+    """Whether a document is held out: crc32 of its id as text leaves rest on division by n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n == rest
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -151,7 +163,64 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+# crc: the CRC-32 of an ASCII text, eight shifts after each character. path: for each state the cheapest, then least, edits of the first i rows.
+_OP12 = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), g AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(key, ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda v, x: CASE WHEN x >= 0 THEN xor(v, x) WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) % 20 AS kind FROM c
+), e AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE kind <> 0
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, NOT regexp_matches(text, '{_WORD}') AS blank, substr(role, 1, 1) AS ini FROM e
+), d AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM f
+), r AS (
+  SELECT *, NOT blank AND NOT duplicate AND regexp_extract(text, '({_WORD})[\\x20\\x09-\\x0D]*\\z', 1) NOT IN ('.', '!', '?') AS truncated FROM d
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id
+), edit(q, t, a, ini) AS (
+  VALUES (0, 0, 'D', ''), (1, 1, 'D', ''), (2, 2, 'D', ''), (3, 3, 'D', ''), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a'), (0, 2, 'R', ''), (1, 2, 'R', ''), (3, 2, 'R', ''), (2, 3, 'R', '')
+), ins(q, t, c, a, o) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+    (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])
+), path AS (
+  SELECT conv_id, 0 AS i, 0 AS q, 0 AS c, '' AS a, []::VARCHAR[] AS o FROM ids
+  UNION ALL SELECT conv_id, i, q, c, a, o FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY c, a) AS k FROM (
+      SELECT p.conv_id, p.i + 1 AS i, edit.t AS q, p.c + ins.c + CASE edit.a WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN truncated AND edit.a <> 'D' THEN 5 ELSE 0 END AS c, p.a || ins.a || edit.a AS a,
+        list_concat(list_concat(p.o, ins.o), CASE edit.a WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE edit.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END) AS o
+      FROM path p JOIN ins ON ins.q = p.q JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+        JOIN edit ON edit.q = ins.t AND (edit.a = 'D' OR NOT (blank OR duplicate) AND (edit.a = 'R' OR edit.ini = r.ini)))) WHERE k = 1
+), last AS (
+  SELECT p.conv_id, p.c + ins.c AS cost, p.a || ins.a AS audit, list_concat(p.o, ins.o) AS o FROM path p LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM p.conv_id JOIN ins ON ins.q = p.q
+  WHERE p.i = coalesce(told.n, 0) AND ins.t IN (0, 3) QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost, audit) = 1
+)
+SELECT last.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(o, chr(10))) AS repaired_sha256
+FROM last LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM last.conv_id
+"""
+
+_OP13 = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, text, length(text) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM t
+), p AS (
+  SELECT doc_id, text, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), o AS (
+  SELECT *, '<P>' || substr(text, 1, a) AS pre, '<S>' || substr(text, b + 1) AS suf, '<M>' || substr(text, a + 1, b - a) AS mid FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM o
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL gives the same rows; tests/llm compares the others with brute force."""
-    return {"op3_line_dedup": _OP3, "op4_minhash_dedup": _OP4, "op6_quality_rules": _OP6, "op10_exact_topk": _OP10}
+    return {"op3_line_dedup": _OP3, "op4_minhash_dedup": _OP4, "op6_quality_rules": _OP6, "op10_exact_topk": _OP10, "op12_conversation_repair": _OP12, "op13_fill_in_middle": _OP13}
