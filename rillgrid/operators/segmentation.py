@@ -81,7 +81,8 @@ def single_breaks(points: DataFrame, min_size: int = 5, series: str = "series",
 # admissible cuts comes from running sums, and each search is a few array operations over it.
 
 CELLS = 2_000_000  # of the table of costs held at once
-DIGITS = 10  # that tables of costs are rounded to, so that equal ones tie, and the first wins, whatever the order of sums
+DIGITS = 10  # that costs are rounded to as shares of their series' own spread, so that equal ones tie, and the first wins, whatever the order of sums
+CONSTANT = 1e-20  # spreads below this share of the sum of squares are those of a constant
 
 
 def admissible(n: int, min_size: int, jump: int) -> np.ndarray:
@@ -95,8 +96,21 @@ def _sums(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return s[:, None, :] - s[:, :, None]
 
 
+def spread(z: np.ndarray) -> np.ndarray:
+    """Each series' squared distances from its mean, the unit of its costs; 0 if it is constant."""
+    u = ((z - z.mean(1, keepdims=True)) ** 2).sum(1)
+    return np.where(u > CONSTANT * (z * z).sum(1), u, 0.0)
+
+
+def relative(table: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Costs as rounded shares of each series' unit, so that searches cut alike whatever the scale of the values."""
+    u = unit[:, None, None]
+    return np.divide(table, u, out=np.zeros_like(table), where=u > 0).round(DIGITS)
+
+
 def l2_costs(z: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Squared distances from the segment's mean."""
+    z = z - z.mean(1, keepdims=True)
     n = np.maximum(1, points[None, :] - points[:, None])
     return np.maximum(0.0, _sums(z * z, points) - _sums(z, points) ** 2 / n)
 
@@ -104,6 +118,7 @@ def l2_costs(z: np.ndarray, points: np.ndarray) -> np.ndarray:
 def linear_costs(z: np.ndarray, t: np.ndarray, points: np.ndarray, intercept: bool = True) -> np.ndarray:
     """Residual sums of squares of a line over t, without its intercept if asked (T19)."""
     n = points[None, :] - points[:, None]
+    z = z - z.mean(1, keepdims=True) if intercept else z
     sy, st, stt, syt, syy = (_sums(x, points) for x in (z, t, t * t, z * t, z * z))
     if intercept:
         size = np.maximum(1, n)
@@ -286,9 +301,9 @@ def pelt_models(vectors: DataFrame, most: int | None = None, min_size: int = 5,
     def kernel(z: np.ndarray, index: np.ndarray) -> Iterator[dict]:
         n = z.shape[1]
         if n >= min_size:
-            points = admissible(n, min_size, jump)
-            for rss, cuts in partitions(l2_costs(z, points).round(DIGITS), points, n // min_size - 1 if most is None else most, min_size):
-                yield _model(n, rss, points[cuts], index)
+            points, unit = admissible(n, min_size, jump), spread(z)
+            for share, cuts in partitions(relative(l2_costs(z, points), unit), points, n // min_size - 1 if most is None else most, min_size):
+                yield _model(n, share * unit, points[cuts], index)
 
     return _per_length(vectors, kernel, _FIELDS, lambda n: n // jump, series)
 
@@ -303,10 +318,13 @@ def ic_models(vectors: DataFrame, method: str = "binseg", most: int = 3, min_siz
         if n < min_size:
             return
         points, t = admissible(n, min_size, jump), np.broadcast_to(np.arange(n, dtype=float), z.shape)
-        search, score = (l2_costs(z, points).round(DIGITS),) * 2 if cost == "l2" else (linear_costs(z, t, points, fit_intercept).round(DIGITS), linear_costs(z, t, points).round(DIGITS))
+        unit = spread(z)
+        search = score = relative(l2_costs(z, points) if cost == "l2" else linear_costs(z, t, points), unit)
+        if cost != "l2" and not fit_intercept:
+            search = relative(linear_costs(z, t, points, False), (z * z).sum(1))
         up_to = min(most, n // min_size - 1)
         for cuts in greedy_cuts(search, points, up_to, min_size) if method == "binseg" else merged_cuts(search, points, up_to):
-            yield _model(n, _whole_cost(score, cuts), points[cuts], index)
+            yield _model(n, _whole_cost(score, cuts) * unit, points[cuts], index)
 
     return _per_length(vectors, kernel, _FIELDS, lambda n: n // jump, series)
 
@@ -324,9 +342,9 @@ def bfast_models(vectors: DataFrame, h: Sequence[float] = (0.08, 0.10, 0.12), mo
             if size < 3:
                 continue
             points = admissible(n, size, 1)
-            found = partitions(linear_costs(z, index.astype(float), points).round(DIGITS), points, most, size)
+            found = partitions(relative(linear_costs(z, index.astype(float), points), spread(z)), points, most, size)
             weight = 0.299 * np.log(n) ** 2.1 if criterion == "LWZ" else np.log(n)
-            scores = np.stack([n * np.log(np.maximum(rss, 1e-12) / n) + weight * 2 * (m + 1) for m, (rss, _) in enumerate(found)], 1)
+            scores = np.stack([n * np.log(np.maximum(share, 1e-12) / n) + weight * 2 * (m + 1) for m, (share, _) in enumerate(found)], 1)
             m = scores.argmin(1)
             cuts = [index[i, points[found[k][1][i]]].tolist() if k else [] for i, k in enumerate(m)]
             yield {"h": float(share), "n": n, "m": m, "cuts_full": cuts, "score": scores.min(1)}

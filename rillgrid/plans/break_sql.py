@@ -2,7 +2,7 @@
 
 The test view has 30 days, so cuts at multiples of 5 leave at most 32 partitions of a series, and two
 breaks anywhere some 300; SQL can list them all, independently of the dynamic programs that it checks.
-Costs are rounded to 10 digits on both sides, so that ties are ties.
+Costs are shares of their series' spread (or sum of squares) rounded to 10 digits on both sides, so that ties are ties.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ MEDIANS = "med AS (SELECT series, ts, median(v) OVER (PARTITION BY series ORDER
 # f: the values that are there, numbered by i; ps: running sums before each k, with t the numbers or, for BFAST, the days
 BASE = f""", {MEDIANS},
 x AS (SELECT series, ts, v, raw, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS pos FROM med),
-f AS (SELECT series, v, pos, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM x WHERE v IS NOT NULL),
-ps AS (SELECT series, n, 0 AS k, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q, 0.0::DOUBLE AS t, 0.0::DOUBLE AS tt, 0.0::DOUBLE AS st FROM f GROUP BY series, n
-  UNION ALL SELECT series, n, i + 1, sum(v) OVER w, sum(v * v) OVER w, sum(CAST($t AS DOUBLE)) OVER w, sum(CAST($t * $t AS DOUBLE)) OVER w, sum(v * $t) OVER w FROM f WINDOW w AS (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT series, v, v - avg(v) OVER (PARTITION BY series) AS vc, pos, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM x WHERE v IS NOT NULL),
+ps AS (SELECT series, n, 0 AS k, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q, 0.0::DOUBLE AS t, 0.0::DOUBLE AS tt, 0.0::DOUBLE AS st, 0.0::DOUBLE AS rq, 0.0::DOUBLE AS rst FROM f GROUP BY series, n
+  UNION ALL SELECT series, n, i + 1, sum(vc) OVER w, sum(vc * vc) OVER w, sum(CAST($t AS DOUBLE)) OVER w, sum(CAST($t * $t AS DOUBLE)) OVER w, sum(vc * $t) OVER w, sum(v * v) OVER w, sum(v * $t) OVER w FROM f WINDOW w AS (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING)),
 pt AS (SELECT * FROM ps WHERE k = 0 OR k = n OR ($points)),
-d AS (SELECT a.series, a.n, a.k AS i, b.k AS j, b.k - a.k AS c, b.s - a.s AS s, b.q - a.q AS q, b.t - a.t AS t, b.tt - a.tt AS tt, b.st - a.st AS st FROM pt a JOIN pt b ON a.series = b.series AND a.k < b.k),
-cost AS (SELECT series, n, i, j, round(greatest(0, q - s * s / c), 10) AS l2,
-  round(CASE WHEN c < 2 THEN 0 ELSE greatest(0, q - CASE WHEN tt > 1e-15 THEN st * st / tt ELSE 0 END) END, 10) AS plain,
-  round(CASE WHEN c < 2 THEN 0 ELSE greatest(0, q - s * s / c - CASE WHEN tt - t * t / c > 1e-15 THEN (st - t * s / c) * (st - t * s / c) / (tt - t * t / c) ELSE 0 END) END, 10) AS line FROM d)"""
+d AS (SELECT a.series, a.n, a.k AS i, b.k AS j, b.k - a.k AS c, b.s - a.s AS s, b.q - a.q AS q, b.t - a.t AS t, b.tt - a.tt AS tt, b.st - a.st AS st, b.rq - a.rq AS rq, b.rst - a.rst AS rst FROM pt a JOIN pt b ON a.series = b.series AND a.k < b.k),
+unit AS (SELECT series, CASE WHEN q > 1e-20 * rq THEN q END AS u, nullif(rq, 0) AS r FROM ps WHERE k = n),
+cost AS (SELECT d.series, n, i, j, coalesce(u, 0) AS u, coalesce(round(greatest(0, q - s * s / c) / u, 10), 0) AS l2,
+  coalesce(round(CASE WHEN c < 2 THEN 0 ELSE greatest(0, rq - CASE WHEN tt > 1e-15 THEN rst * rst / tt ELSE 0 END) END / r, 10), 0) AS plain,
+  coalesce(round(CASE WHEN c < 2 THEN 0 ELSE greatest(0, q - s * s / c - CASE WHEN tt - t * t / c > 1e-15 THEN (st - t * s / c) * (st - t * s / c) / (tt - t * t / c) ELSE 0 END) END / u, 10), 0) AS line FROM d JOIN unit ON unit.series = d.series)"""
 
 
 def base(t: str, points: str) -> str:
@@ -32,7 +33,7 @@ FIVES = base("i", "k % 5 = 0 AND k >= 5 AND k <= n - 5")
 
 PATHS = """, path AS (SELECT DISTINCT series, n, 0 AS p, -1 AS m, 0.0::DOUBLE AS rss, []::BIGINT[] AS cuts FROM f WHERE n >= 5
   UNION ALL SELECT path.series, path.n, c.j, path.m + 1, path.rss + c.l2, CASE WHEN c.j < path.n THEN list_append(path.cuts, c.j) ELSE path.cuts END FROM path JOIN cost c ON c.series = path.series AND c.i = path.p WHERE path.p < path.n),
-model AS (SELECT series, n, m, rss, cuts FROM path WHERE p = n QUALIFY row_number() OVER (PARTITION BY series, m ORDER BY rss, list_reverse(cuts)) = 1),
+model AS (SELECT path.series, n, m, rss * coalesce(u, 0) AS rss, cuts FROM path JOIN unit ON unit.series = path.series WHERE p = n QUALIFY row_number() OVER (PARTITION BY path.series, m ORDER BY path.rss, list_reverse(cuts)) = 1),
 var AS (SELECT series, var_pop(raw) AS r, var_pop(v) AS sm FROM x GROUP BY series)"""
 
 
@@ -68,7 +69,7 @@ SPLITS = """, gs AS (SELECT DISTINCT series, n, 0 AS m, [0, n] AS edges FROM f W
     JOIN cost w ON w.series = gs.series AND w.i = u.i AND w.j = v.j
     WHERE gs.m < least(3, gs.n // 5 - 1)) WHERE o = 1),
 pieces AS (SELECT series, n, m, edges, unnest(edges[:-2]) AS i, unnest(edges[2:]) AS j FROM gs),
-model AS (SELECT p.series, p.n, p.m, sum(c.line) AS rss FROM pieces p JOIN cost c ON c.series = p.series AND c.i = p.i AND c.j = p.j GROUP BY p.series, p.n, p.m)"""
+model AS (SELECT p.series, p.n, p.m, sum(c.line) * max(c.u) AS rss FROM pieces p JOIN cost c ON c.series = p.series AND c.i = p.i AND c.j = p.j GROUP BY p.series, p.n, p.m)"""
 
 
 def _choice(name: str, grid: str) -> str:
@@ -106,7 +107,7 @@ JOINS = """, gs AS (SELECT series, n, list(k ORDER BY k) AS edges FROM pt WHERE
     JOIN cost v ON v.series = gs.series AND v.i = pt.k AND v.j = list_min(list_filter(gs.edges, lambda e: e > pt.k))
     JOIN cost w ON w.series = gs.series AND w.i = u.i AND w.j = v.j) WHERE o = 1),
 pieces AS (SELECT series, n, edges, unnest(edges[:-2]) AS i, unnest(edges[2:]) AS j FROM gs),
-model AS (SELECT p.series, p.n, p.edges, sum(c.l2) AS rss FROM pieces p JOIN cost c ON c.series = p.series AND c.i = p.i AND c.j = p.j GROUP BY p.series, p.n, p.edges)"""
+model AS (SELECT p.series, p.n, p.edges, sum(c.l2) * max(c.u) AS rss FROM pieces p JOIN cost c ON c.series = p.series AND c.i = p.i AND c.j = p.j GROUP BY p.series, p.n, p.edges)"""
 BOTTOMUP = FIVES + JOINS + """ SELECT series, CAST(n AS INTEGER) AS n, CAST(len(edges) - 2 AS INTEGER) AS m, round(rss, 9) AS rss, array_to_string(edges[2:-2], ',') AS cuts FROM model WHERE len(edges) - 2 <= least(3, n // 5 - 1)"""
 
 # BFAST: every pair of cuts of each h, then the measures of the cuts inside the guard

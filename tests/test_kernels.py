@@ -219,3 +219,32 @@ def test_soft_kmeans_lowers_the_sum_of_distances(spark):
     assert inertia <= first
     got = {r.series: r.label for r in clustering.assign(df, centres, "softdtw", gamma=0.1).collect()}
     assert all(len({got[i] for i in range(k, 30, 3)}) == 1 for k in range(3)) and len(set(got.values())) == 3
+
+
+def scaled(spark, factor, rng_seed=4):
+    rng = np.random.default_rng(rng_seed)
+    rows = []
+    for i in range(12):
+        y = rng.normal(0, 0.2, 48) + np.repeat(rng.choice([0.0, 1.0, 3.0], 6), 8) + (5.0 if i % 3 == 0 else 0.0)
+        rows.append((i, [None if rng.random() < 0.05 else float(v) * factor for v in y]))
+    rows += [(100, [0.3 * factor] * 40), (101, [0.0] * 40), (102, [0.0] * 15 + [factor] * 15)]
+    return spark.createDataFrame(rows, "series long, v array<double>")
+
+
+def test_cuts_do_not_depend_on_the_scale(spark):
+    """The same cuts for values a hundred million times smaller or larger, and none in constant series."""
+    searches = {
+        "pelt": lambda v: seg.pelt_models(v),
+        "binseg": lambda v: seg.ic_models(v),
+        "binseg l2": lambda v: seg.ic_models(v, cost="l2"),
+        "bottomup": lambda v: seg.ic_models(v, "bottomup", cost="l2"),
+    }
+    for name, search in searches.items():
+        cuts = [{(r.series, r.m): (r.cuts_full, r.rss / f**2) for r in search(scaled(spark, f)).collect()} for f in (1.0, 1e-8, 1e8)]
+        for other in cuts[1:]:
+            assert {k: v[0] for k, v in cuts[0].items()} == {k: v[0] for k, v in other.items()}, name
+            assert all(v[1] == pytest.approx(other[k][1], rel=1e-6, abs=1e-7) for k, v in cuts[0].items()), name
+        if name == "pelt":
+            assert cuts[0][(102, 1)] == ([15], 0.0) and cuts[0][(100, 0)][1] == 0.0
+    picked = [{(r.series, r.h): (r.m, r.cuts_full) for r in seg.bfast_models(scaled(spark, f)).collect()} for f in (1.0, 1e-8, 1e8)]
+    assert picked[0] == picked[1] == picked[2] and any(m for m, _ in picked[0].values())
