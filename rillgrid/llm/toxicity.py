@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier of character n-grams, scaled by Naive Bayes log-count ratios (operator 11).
 
 A text's features are the distinct hashed n-grams of 3 to 6 of its characters (code points,
-A-Z as a-z, each white space as a space). All training rows count into the log-count ratios:
-tasks add up what they see and one small shuffle adds the tasks. Features scaled by the ratios
-train a linear model by dual coordinate descent on the driver, on at most ``sample`` training
-rows, half of each class, those of the smallest hashes of their ids. A ratio below ``least``
+A-Z as a-z, each white space as a space). The log-count ratios count at most ``counted`` training
+ids, half of each class, those of the smallest hashes: a list of bounded size is broadcast and no
+text is shuffled for it, however many labels there are. Tasks add up what they see and one small
+shuffle adds the tasks. Features scaled by the ratios train a linear model by dual coordinate
+descent on the driver, on the first ``sample`` of those ids. A ratio below ``least``
 counts as none: a long text has nearly every common n-gram, and what tells nothing would drown
 what does. A logistic curve through the margins, weighted to all rows' class shares, gives the score.
 
@@ -29,7 +30,7 @@ from rillgrid.llm.scratch import small, written
 BITS = 18
 WIDTH = 1 << BITS
 SIZES = (3, 4, 5, 6)
-SAMPLE = 4000
+COUNTED, SAMPLE = 60_000, 4000
 LEAST = 1.0
 BLOCKS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +70,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block of features that this task has seen: its numbers and their counts in both classes."""
     total, rows = np.zeros((2, WIDTH), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        label = batch.column(1).to_numpy()
+        label = batch.column("label").to_numpy()
         for lo, _, d, o in tk.chunks(*tk.column(batch, "text")):
             for i, f in enumerate(features(d, o)):
                 total[label[lo + i], f] += 1
@@ -113,24 +114,32 @@ def ratios(counts: np.ndarray, n: np.ndarray, least: float = LEAST) -> np.ndarra
     return np.where(np.abs(ratio) < least, 0.0, ratio)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Weights and squared ratios by feature, intercept, slope and shift of the curve, from rows (id, label 0 or 1, text)."""
-    rows = labelled.select("id", "label", F.xxhash64(F.lit(11), "id").alias("order"), "text")
-    parts = rows.mapInArrow(_counts, "block int, n binary, seen binary, counts binary").repartition(BLOCKS, "block").mapInArrow(_added, "block int, n binary, counts binary").collect()
-    count, n = np.zeros((2, WIDTH)), np.zeros(2)
+def drawn(labels: DataFrame, ids: DataFrame, counted: int = COUNTED, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
+    """(id, label, order, margin): the ids whose texts teach, at most counted; margin: those that train the margin. And how many ids each class has in all."""
+    known = written(labels.join(ids.select("id").where("id IS NOT NULL").distinct(), "id", "left_semi").withColumn("order", F.xxhash64(F.lit(11), "id")), "labels")
+    n = np.array(known.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first(), float)
+    first = lambda k, most: known.where(F.col("label") == k).orderBy("order", "id").limit(max(1, most // 2))
+    taught = first(0, counted).withColumn("margin", F.lit(False)).unionByName(first(1, counted).withColumn("margin", F.lit(False)))
+    margin = first(0, sample).unionByName(first(1, sample)).withColumn("margin", F.lit(True))
+    return written(taught.unionByName(margin).groupBy("id", "label", "order").agg(F.max("margin").alias("margin")), "drawn"), n
+
+
+def fit(texts: DataFrame, taught: DataFrame, n: np.ndarray, sample: int = SAMPLE, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Weights and squared ratios by feature, intercept, slope and shift of the curve, from texts (id, text) and what drawn() gives."""
+    rows = texts.join(small(taught), "id").select("id", "label", "order", "margin", "text")
+    parts = rows.select("text", "label").mapInArrow(_counts, "block int, n binary, seen binary, counts binary").repartition(BLOCKS, "block").mapInArrow(_added, "block int, n binary, counts binary").collect()
+    count, seen = np.zeros((2, WIDTH)), np.zeros(2)
     for r in parts:
         count[:, r.block * WIDTH // BLOCKS : (r.block + 1) * WIDTH // BLOCKS] = np.frombuffer(r.counts, np.int64).reshape(2, -1)
-        n += np.frombuffer(r.n, np.int64)
+        seen += np.frombuffer(r.n, np.int64)
     if not n.all():
         share = n[1] / n.sum() if n.sum() else 0.5
         return np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (700.0 if share else -700.0)
-    ratio = ratios(count, n, least)
-    shared = labelled.sparkSession.sparkContext.broadcast(ratio)
-    # The ids of the least hashes of each class; of a repeated id, one text teaches the margin, so that rows cannot pass the bound.
-    ids = rows.select("id", "label", "order").distinct()
-    cuts = [ids.where(F.col("label") == k).orderBy("order").limit(max(1, sample // 2)).agg(F.max("order")).first()[0] for k in (0, 1)]
-    chosen = rows.where(f"(label = 0 AND order <= {cuts[0]}) OR (label = 1 AND order <= {cuts[1]})").groupBy("id", "label", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    drawn = chosen.mapInArrow(_drawn(shared), "label int, order long, found binary").orderBy("order", "label", "found").limit(sample + 2).collect()
+    ratio = ratios(count, seen, least)
+    shared = texts.sparkSession.sparkContext.broadcast(ratio)
+    # Of a repeated id, one text teaches the margin, so that rows cannot pass the bound.
+    chosen = rows.where("margin").groupBy("id", "label", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    drawn = chosen.select("id", "label", "order", "text").mapInArrow(_drawn(shared), "label int, order long, found binary").orderBy("order", "label", "found").limit(sample + 2).collect()
     found = [np.frombuffer(r.found, np.int32) for r in drawn]
     values = [(lambda v: v / (np.sqrt(v @ v) or 1.0))(ratio[f]) for f in found]
     y = np.array([r.label for r in drawn])
@@ -158,12 +167,13 @@ def _scores(shared, id_name: str):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counted: int = COUNTED, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """id_col, held_out, score, predicted for every row of docs; labels of rows where held_out is true teach nothing."""
     kind = dict(docs.dtypes)[id_col]
     out = F.coalesce(held_out, F.lit(False))
     base = docs.select(F.col(id_col).alias(id_col), out.alias("held_out"), F.col(text_col).alias("text"))
-    taught = written(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~out).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")), "labels")
-    labelled = base.select(F.col(id_col).alias("id"), "text").join(small(taught), "id")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample, least))
+    given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~out).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    texts = base.select(F.col(id_col).alias("id"), "text")
+    taught, n = drawn(given, texts, counted, sample)
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, taught, n, sample, least))
     return base.mapInArrow(_scores(model, id_col), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")

@@ -234,7 +234,9 @@ def test_ratios_by_hand(spark):
     docs, labels = labelled(spark, 80)
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label")), "doc_id").select(F.col("doc_id").alias("id"), "label", "text")
     held = rows.collect()
-    weight, square, *_ = toxicity.fit(rows)
+    taught, total = toxicity.drawn(rows.select("id", "label").distinct(), rows)
+    assert total.tolist() == [sum(r.label == k for r in {(x.id, x.label): x for x in held}.values()) for k in (0, 1)]
+    weight, square, *_ = toxicity.fit(rows.select("id", "text"), taught, total)
     n = [sum(r.label == k for r in held) for k in (0, 1)]
     for gram in ("vil", "the", "ugl", "hou"):
         count = [sum(r.label == k and gram in grams(r.text) for r in held) for k in (0, 1)]
@@ -242,6 +244,16 @@ def test_ratios_by_hand(spark):
         assert square[number(gram)] == pytest.approx(ratio**2 if abs(ratio) >= toxicity.LEAST else 0.0)
 
 
+def test_what_teaches_is_bounded(spark):
+    docs, labels = labelled(spark, 200)
+    given = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
+    taught, n = toxicity.drawn(given, docs.select(F.col("doc_id").alias("id")), 40, 12)
+    assert n.sum() == given.join(docs, F.col("id") == F.col("doc_id"), "left_semi").count()
+    assert sorted(map(tuple, taught.groupBy("label", "margin").count().collect())) == [(0, False, 14), (0, True, 6), (1, False, 14), (1, True, 6)]
+    out = toxicity.score(docs, labels, F.lit(False), counted=40, sample=12).where("doc_id < 200").collect()
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in out) > 0.9 * len(out)
+
+
 def test_toxicity_without_both_classes(spark, none):
     docs, labels = labelled(spark, 30)
     held = F.lit(False)
