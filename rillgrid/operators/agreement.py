@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillgrid.functions import breaks, spectral
+from rillgrid.operators.quantiles import quantiles
+from rillgrid.plans.session import written
 
 SENTINEL = -9999.0
 
@@ -41,14 +43,16 @@ def delta_qa(values: DataFrame, base: object, scene: str = "scene", key: Sequenc
     pairs = values.where(F.col(scene) != F.lit(base)).join(first, list(key), "left")
     valid = F.col(abun).isNotNull() & F.col(ndwi).isNotNull() & F.col("abun0").isNotNull() & F.col("ndwi0").isNotNull()
     da, dn = F.when(valid, F.col(abun) - F.col("abun0")), F.when(valid, F.col(ndwi) - F.col("ndwi0"))
-    rows = pairs.select(scene, F.when(valid, F.col(abun)).alias("a"), F.when(valid, F.col(ndwi)).alias("n"), da.alias("da"), dn.alias("dn"))
+    rows = pairs.select(F.col(scene).alias("scene"), F.when(valid, F.col(abun)).alias("a"), F.when(valid, F.col(ndwi)).alias("n"), da.alias("da"), dn.alias("dn"))
+    rows = written(rows, "pairs")
     suspicious = F.coalesce((F.col("da") > d_abun) & (F.col("dn") > d_ndwi), F.lit(False))
-    out = rows.groupBy(scene).agg(
+    out = rows.groupBy("scene").agg(
         F.count("*").alias("pixels"), F.count("da").alias("valid"), correlation("a", "n").alias("corr_abun_ndwi"),
         F.avg(F.when(F.col("da").isNotNull(), suspicious.cast("double"))).alias("suspicious_frac"),
-        F.percentile("da", 0.5).alias("delta_abun_median"), F.percentile("da", 0.95).alias("delta_abun_p95"), F.percentile("dn", 0.5).alias("delta_ndwi_median"),
     )
-    return out.where(F.col("valid") >= min_valid * F.col("pixels"))
+    q = quantiles(rows.withColumnRenamed("scene", "s"), ["s"], ["da", "dn"], [0.5, 0.95])
+    both = out.where(F.col("valid") >= min_valid * F.col("pixels")).join(q, F.col("scene").eqNullSafe(F.col("s")), "left").withColumnRenamed("scene", scene)
+    return both.select(scene, *out.columns[1:], F.col("da")[0].alias("delta_abun_median"), F.col("da")[1].alias("delta_abun_p95"), F.col("dn")[0].alias("delta_ndwi_median"))
 
 
 def paired_by_prefix(left: DataFrame, right: DataFrame, name: str, image: str, length: int = 25) -> DataFrame:
@@ -113,8 +117,8 @@ def group_means(rows: DataFrame, cluster: str, columns: Sequence[str]) -> DataFr
 
 def box_statistics(rows: DataFrame, cluster: str, column: str) -> DataFrame:
     """AGG-15: the 5, 25, 50, 75 and 95 % points of each cluster."""
-    q = rows.groupBy(cluster).agg(F.percentile(column, F.array(*(F.lit(x / 100) for x in (5, 25, 50, 75, 95)))).alias("q"))
-    return q.select(cluster, *(F.col("q")[i].alias(f"p{x:02d}") for i, x in enumerate((5, 25, 50, 75, 95))))
+    q = quantiles(rows, [cluster], [column], [x / 100 for x in (5, 25, 50, 75, 95)])
+    return q.select(cluster, *(F.col(column)[i].alias(f"p{x:02d}") for i, x in enumerate((5, 25, 50, 75, 95))))
 
 
 def histogram2d(rows: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:

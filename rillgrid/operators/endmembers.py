@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillgrid.functions import spectral
+from rillgrid.operators.quantiles import quantiles
 
 
 def at_points(points: DataFrame, raster: DataFrame, key: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -106,8 +107,8 @@ def multi_otsu(df: DataFrame, column: str, bins: int = 256) -> DataFrame:
 
 def stretched(df: DataFrame, columns: Sequence[str], low: float = 0.5, high: float = 99.5, gamma: float = 1 / 1.8) -> DataFrame:
     """PRJ-6: each column stretched between its own percentiles."""
-    r = df.agg(*(F.percentile(c, F.array(F.lit(low / 100), F.lit(high / 100))).alias(c) for c in columns)).first()
-    return df.select("*", *(spectral.stretched(F.col(c), F.lit(r[c][0]), F.lit(r[c][1]), gamma).alias(f"{c}_rgb") for c in columns if r[c] is not None))
+    r = quantiles(df, [], columns, [low / 100, high / 100]).first() or {}
+    return df.select("*", *(spectral.stretched(F.col(c), F.lit(r[c][0]), F.lit(r[c][1]), gamma).alias(f"{c}_rgb") for c in columns if r and r[c] is not None))
 
 
 def rank_in_class(df: DataFrame, score: Column, label: str, order: Sequence[str]) -> DataFrame:

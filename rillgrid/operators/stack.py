@@ -10,6 +10,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillgrid.operators.quantiles import quantiles
+
 PIXEL = ("row", "col")
 MOST_DATES = 100_000  # a time axis longer than this is not brought to the driver
 
@@ -84,8 +86,8 @@ def masked(stack: DataFrame, mask: DataFrame, key: Sequence[str] = PIXEL, v: str
 
 
 def region_median(stack: DataFrame, ts: str = "ts", v: str = "v") -> DataFrame:
-    """AGG-5: median over the pixels of each date."""
-    return stack.groupBy(ts).agg(F.percentile(v, 0.5).alias("median"))
+    """AGG-5: median over the pixels of each date; NULL for a date without values."""
+    return quantiles(stack, [ts], [v], [0.5]).select(ts, F.col(v)[0].alias("median"))
 
 
 def mask_if_exists(spark, path: str, like: dict, tolerance: float = 1e-6) -> DataFrame | None:
