@@ -129,23 +129,44 @@ def load_or_fit(spark, sf):
     return tables.load_or_fit(spark, path, never)
 
 
+_PLACE = {"transform": (3.0, 0.0, 5e5, 0.0, -3.0, 4e6), "epsg": 32648}
+
+
+def _daily_scenes(spark, sf):
+    """scene, row, col, v, low of every day, and the grid's height."""
+    rows = views.daily(spark, sf)
+    scene = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_000000_x.tif")).alias("scene")
+    return rows.select(scene, "row", "col", "v", (F.col("v") < 0.5).cast("double").alias("low")), 1 + (rows.agg(F.max("row")).first()[0] or 0)
+
+
 @query(with_views("daily", "SELECT strftime(ts, '%Y%m%d_000000_x.tif') AS scene, row, col, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 9) AS v, v < 0.5 AS low FROM daily"))
 def geotiff_roundtrip(spark, sf):
-    """SNK-1, 2, SRC-1, 2, 13: a file of two bands for each day, read back without its nodata."""
-    rows, path = views.daily(spark, sf), _place(spark, "tiff")
-    height = 1 + (rows.agg(F.max("row")).first()[0] or 0)
-    scene = rows.select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_000000_x.tif")).alias("scene"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "v", (F.col("v") < 0.5).cast("double").alias("low"))
-    assert geotiff.save(geotiff.encoded(scene, height, views.WIDTH, ["v", "low"], transform=[3.0, 0.0, 5e5, 0.0, -3.0, 4e6], epsg=32648), path) > 0
+    """SNK-1, 2, SRC-1, 2, 13: a tiled LZW file of two bands for each day, written and read by tasks, without its nodata."""
+    pixels, height = _daily_scenes(spark, sf)
+    path = _place(spark, "tiff")
+    geotiff.write(pixels, path, geotiff.Shape(height, views.WIDTH, 2, **_PLACE), ["v", "low"])
     back = geotiff.read(spark, path).where("bands[0] IS NOT NULL")
     return r9(back.select("scene", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("bands")[0].alias("v"), (F.col("bands")[1] == 1).alias("low")), "v")
 
 
+@query(with_views("daily", "SELECT row, col, ts, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 9) AS v FROM daily"))
+def geotiff_stack(spark, sf):
+    """SNK-2, 3, SRC-2, 4, 10: one file with a plane for each date beside the dates' list; both make the stack again."""
+    rows, path = views.daily(spark, sf), _place(spark, "stack")
+    dates, height = stack.dates(rows), 1 + (rows.agg(F.max("row")).first()[0] or 0)
+    wide = rows.groupBy("row", "col").agg(*(F.max(F.when(F.col("ts") == F.lit(t), F.col("v"))).alias(f"b{k}") for k, t in enumerate(dates))).withColumn("scene", F.lit("stack.tif"))
+    geotiff.write(wide, path, geotiff.Shape(height, views.WIDTH, len(dates), 16, geotiff.DEFLATE, planar=True, **_PLACE), [f"b{k}" for k in range(len(dates))])
+    times = F.element_at(F.array(*(F.lit(t) for t in dates)), F.col("band"))
+    back = geotiff.read(spark, path, layout="bands").where("value IS NOT NULL")
+    return r9(back.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), times.alias("ts"), F.col("value").alias("v")))
+
+
 @query(with_views("daily", "SELECT count(DISTINCT ts) AS files, true AS same FROM daily"))
 def geotiff_profiles(spark, sf):
-    """SRC-14: size, reference system and transform agree over all files."""
-    rows, path = views.daily(spark, sf), _place(spark, "profiles")
-    scene = rows.select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit(".tif")).alias("scene"), F.lit(0).alias("row"), F.col("col").cast("int").alias("col"), "v").dropDuplicates(["scene", "col"])
-    geotiff.save(geotiff.encoded(scene, 1, views.WIDTH, ["v"], transform=[3.0, 0.0, 5e5, 0.0, -3.0, 4e6], epsg=32648), path)
+    """SRC-14: size, reference system and transform agree over all files; their headers alone are read."""
+    pixels, height = _daily_scenes(spark, sf)
+    path = _place(spark, "profiles")
+    geotiff.write(pixels, path, geotiff.Shape(height, views.WIDTH, 1, **_PLACE), ["v"])
     return stack.same_profile(geotiff.read_profiles(spark, path))
 
 

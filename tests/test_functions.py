@@ -279,6 +279,17 @@ def tiff(values, order="<", big=False, tile=None, packing=1, predictor=1, planar
     return magic + b"".join(chunks) + struct.pack(order + ("Q" if big else "H"), len(fields)) + entries + bytes(8 if big else 4) + far
 
 
+def assembled(data):
+    """All blocks of a file in place."""
+    form, places, sizes = geotiff.layout(*geotiff.tags(data))
+    out = np.empty((form.profile.height, form.profile.width, form.profile.bands), np.dtype(form.dtype).newbyteorder("="))
+    for k in range(form.planes * form.across * form.down):
+        plane, row, col = form.place(k)
+        part = geotiff.decoded(data[places[k] : places[k] + sizes[k]], k, form)
+        out[row : row + part.shape[0], col : col + part.shape[1], slice(plane, plane + 1) if form.planes > 1 else slice(None)] = part
+    return out
+
+
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize(("packing", "predictor", "kind"), [(1, 1, "u2"), (8, 2, "u2"), (5, 1, "i2"), (5, 2, "u1"), (8, 3, "f4"), (1, 1, "f8")])
 def test_tiff_layouts(order, packing, predictor, kind):
@@ -288,13 +299,16 @@ def test_tiff_layouts(order, packing, predictor, kind):
         for tile in (None, (16, 32)):
             for planar in (1, 2):
                 data = tiff(values, order, big, tile, packing, predictor, planar)
-                assert np.array_equal(np.concatenate([v for _, v in geotiff.blocks(data)]), values)
+                assert np.array_equal(assembled(data), values)
                 assert geotiff.profile(geotiff.tags(data)[1]) == (37, 41, 3, None, None, [3.0, 0.0, 500.0, 0.0, -2.0, 900.0])
 
 
 def test_lzw_tables_fill_and_clear():
     data = np.random.default_rng(1).integers(0, 256, 30_000).astype(np.uint8).tobytes() + b"abc" * 5000
-    assert geotiff.unpacked(packed_lzw(data)) == data and geotiff.unpacked(packed_lzw(b"")) == b""
+    for some in (data, b"", b"a", b"ab" * 3000, bytes(100_000), data[:4000] * 3):
+        assert geotiff.unpacked(packed_lzw(some)) == some == geotiff.unpacked(geotiff.packed(some)), len(some)
+    with pytest.raises(ValueError, match="damaged"):
+        geotiff.unpacked(b"\x80\x7f\xff\xff")
 
 
 def test_tiff_refuses_what_it_does_not_know():
@@ -302,4 +316,8 @@ def test_tiff_refuses_what_it_does_not_know():
         geotiff.tags(b"PK\x03\x04")
     bad = tiff(np.zeros((3, 3, 1), "u2")).replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01", b"\x03\x01\x03\x00\x01\x00\x00\x00\x07")
     with pytest.raises(ValueError, match="compression 7"):
-        list(geotiff.blocks(bad))
+        assembled(bad)
+    whole = tiff(np.ones((30, 30, 2), "f4"), big=True, tile=(16, 16), packing=8)
+    for cut in (3, 9, 15, len(whole) - 40):
+        with pytest.raises(ValueError):
+            geotiff.layout(*geotiff.tags(whole[:cut]))
