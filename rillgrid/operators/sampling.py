@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillgrid.functions import keys
 
+MOST_TAKEN = 2_000_000  # pixels of a spaced sample, strata times quota
+
 
 def priority(seed: int, *columns: str) -> Column:
     """A hash order in place of a random generator's: the same on every machine and engine (an intended difference)."""
@@ -39,39 +43,64 @@ def summary(candidates: DataFrame, sampled: DataFrame, bins: Sequence[str], ny:
     return every.join(a, on, "left").join(b, on, "left").select(*on, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("candidates", "sampled")))
 
 
-def spaced(candidates: DataFrame, distance: int = 3, quota: int = 120, seed: int = 42, stratum: Sequence[str] = ("occ_bin", "cell_id"), most_rounds: int = 100) -> DataFrame:
-    """SMP-3, JN-12, T38: at most quota pixels of each stratum, no two within distance (inclusive), over all strata.
+def spaced(candidates: DataFrame, distance: int = 3, quota: int = 120, seed: int = 42, stratum: Sequence[str] = ("occ_bin", "cell_id"), ahead: int = 4) -> DataFrame:
+    """SMP-3, JN-12, T38: at most quota pixels of each stratum, no two within distance (inclusive) over all strata, by round robin.
 
-    Round by round, a candidate that has the least hash of all still open within distance is taken
-    and its neighbours are closed: neighbours are found by an equi join on cells of that
-    width. The result is maximal before the quota; then the quota keeps the least hashes. Distributed,
-    unlike one task's round robin, so the sample differs while the invariants hold.
+    In each round each stratum, in order, that is below its quota takes the first pixel of its hash order that
+    no taken one blocks; rounds end when none takes any. A stratum at its quota takes no more, so it
+    blocks no others. Taken pixels number strata times quota at most, whatever the candidates, so their order is
+    decided on the driver; Spark finds what it decides on: the next ahead * quota pixels of
+    each stratum that has none left, after those seen and outside what is blocked by then. That is a
+    distributed top-k, which keeps as many rows for each stratum in a task.
     """
     key = ["row", "col"]
-    open_ = candidates.select(*key, *stratum, priority(seed, *key).alias("p")).dropDuplicates(key)
-    taken = None
-    side = distance + 1
-    cell = lambda c: F.floor(F.col(c) / side)
-    for _ in range(most_rounds):
-        open_ = _cut(open_)
-        if open_.isEmpty():
-            break
-        near = open_.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("p").alias("p2"), F.explode(F.sequence(cell("row") - 1, cell("row") + 1)).alias("gr"), cell("col").alias("gc0"))
-        near = near.select("r2", "c2", "p2", "gr", F.explode(F.sequence(F.col("gc0") - 1, F.col("gc0") + 1)).alias("gc"))
-        at = open_.withColumn("gr", cell("row")).withColumn("gc", cell("col"))
-        close = (F.col("row") - F.col("r2")) * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2")) <= distance * distance
-        pairs = at.join(near, ["gr", "gc"]).where(close)
-        least = pairs.groupBy(*key, *stratum, "p").agg(F.min(F.struct("p2", "r2", "c2")).alias("m"))
-        won = _cut(least.where((F.col("m.r2") == F.col("row")) & (F.col("m.c2") == F.col("col"))).select(*key, *stratum, "p"))
-        taken = won if taken is None else taken.unionByName(won)
-        gone = pairs.join(won.select(F.col("row").alias("r2"), F.col("col").alias("c2")), ["r2", "c2"], "left_semi").select(*key).distinct()
-        open_ = open_.join(gone, key, "left_anti")
-    else:
-        raise RuntimeError(f"the sample was not settled in {most_rounds} rounds")
-    if taken is None:
-        return open_
-    rank = F.row_number().over(Window.partitionBy(*stratum).orderBy("p", *key))
-    return taken.withColumn("k", rank).where(F.col("k") <= quota).drop("k", "p")
+    kinds = dict(candidates.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*key, *stratum))
+    ranked = _cut(candidates.where("row IS NOT NULL AND col IS NOT NULL").select(*key, *stratum, priority(seed, *key).alias("p")).dropDuplicates(key))
+    reach = range(-distance, distance + 1)
+    disk = [(a, b) for a in reach for b in reach if a * a + b * b <= distance * distance]
+    heads: dict[tuple, deque] = {}
+    last, more, blocked, taken = {}, {}, set(), []
+
+    def fetch(empty: list[tuple] | None) -> None:
+        rows = ranked
+        if empty is not None:
+            seen = rows.sparkSession.createDataFrame([(*s, *last[s]) for s in empty], ", ".join(f"`_{c}` {kinds[c]}" for c in stratum) + ", _p string, _row long, _col long")
+            same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in stratum))
+            rows = rows.join(F.broadcast(seen), same).where(F.struct("p", F.col("row").cast("long"), F.col("col").cast("long")) > F.struct("_p", "_row", "_col"))
+            gone = rows.sparkSession.createDataFrame(sorted(blocked), "row long, col long")  # pixels around taken ones
+            rows = rows.join(gone, key, "left_anti")
+        n = F.row_number().over(Window.partitionBy(*stratum).orderBy("p", *key))
+        found = rows.withColumn("n", n).where(F.col("n") <= ahead * quota).select(*stratum, "p", *key, "n").orderBy(*stratum, "n").collect()
+        for s in empty or ():
+            more[s] = False
+        for r in found:
+            s = tuple(r[: len(stratum)])
+            heads.setdefault(s, deque()).append((r.row, r.col))
+            last[s], more[s] = (r.p, r.row, r.col), r.n == ahead * quota
+
+    fetch(None)
+    order = sorted(heads, key=lambda s: tuple((x is not None, x) for x in s))
+    if len(order) * quota > MOST_TAKEN:
+        raise ValueError(f"{len(order)} strata of {quota} pixels are more than {MOST_TAKEN}")
+    counts, moved = dict.fromkeys(order, 0), True
+    while moved:
+        moved = False
+        for s in order:
+            while counts[s] < quota:
+                if not heads[s]:
+                    if not more[s]:
+                        break
+                    fetch([x for x in order if not heads[x] and more[x] and counts[x] < quota])
+                    continue
+                r, c = heads[s].popleft()  # blocked once is blocked for good
+                if (r, c) not in blocked:
+                    taken.append((r, c, *s))
+                    blocked.update((r + a, c + b) for a, b in disk)
+                    counts[s] += 1
+                    moved = True
+                    break
+    return candidates.sparkSession.createDataFrame(taken, schema)
 
 
 def _cut(df: DataFrame) -> DataFrame:

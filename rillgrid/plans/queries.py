@@ -392,14 +392,25 @@ hw AS (SELECT max(row) + 1 AS h FROM daily),
 s AS (SELECT row, col, occ, CASE WHEN occ > 0 AND occ <= 0.2 THEN '(0.0,0.2]' WHEN occ > 0.2 AND occ <= 0.6 THEN '(0.2,0.6]' WHEN occ > 0.6 AND occ <= 1 THEN '(0.6,1.0]' END AS occ_bin,
  'y' || CASE WHEN row < h // 3 THEN 1 WHEN row < 2 * h // 3 THEN 2 ELSE 3 END || 'x' || CAST(col // 3 + 1 AS INTEGER) AS cell_id, md5('42|' || row || '|' || col) AS p FROM o, hw),
 cand AS (SELECT *, row_number() OVER (PARTITION BY occ_bin, cell_id ORDER BY p, row, col) AS k FROM s WHERE occ_bin IS NOT NULL)"""
-_SPACED = """, g AS (SELECT list_reduce(list([{'row': row, 'col': col, 'occ_bin': occ_bin, 'cell_id': cell_id, 'p': p}] ORDER BY p, row, col),
-  lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: (y.row - x[1].row) * (y.row - x[1].row) + (y.col - x[1].col) * (y.col - x[1].col) <= 9)) > 0 THEN acc ELSE acc || x END) AS taken FROM cand),
-sp AS (SELECT row, col, occ_bin, cell_id, row_number() OVER (PARTITION BY occ_bin, cell_id ORDER BY p, row, col) AS k FROM (SELECT unnest(taken, recursive := true) FROM (SELECT unnest(taken) AS taken FROM g)))"""
+# Round robin, a turn of one stratum a step: the first of its candidates that no taken pixel blocks, unless it has its quota.
+_SPACED = """, lists AS (SELECT row_number() OVER (ORDER BY occ_bin, cell_id) - 1 AS i, occ_bin, cell_id, list({'row': row, 'col': col, 'occ_bin': occ_bin, 'cell_id': cell_id} ORDER BY k) AS c FROM cand GROUP BY occ_bin, cell_id),
+size AS (SELECT count(*) AS n, least($quota, max(len(c))) AS rounds FROM lists),
+turn AS (SELECT 0 AS step, [{'row': -99::BIGINT, 'col': -99::BIGINT, 'occ_bin': '', 'cell_id': ''}] AS taken
+  UNION ALL SELECT step + 1, CASE WHEN len(list_filter(taken, lambda z: z.occ_bin = lists.occ_bin AND z.cell_id = lists.cell_id)) >= $quota THEN taken
+    ELSE taken || list_filter(c, lambda y: len(list_filter(taken, lambda z: (y.row - z.row) * (y.row - z.row) + (y.col - z.col) * (y.col - z.col) <= 9)) = 0)[1:1] END
+  FROM turn JOIN size ON step < n * rounds JOIN lists ON i = step % n),
+sp AS (SELECT unnest(taken, recursive := true) FROM (SELECT unnest(taken[2:]) AS taken FROM (SELECT taken FROM turn ORDER BY step DESC LIMIT 1)))"""
+
+
+def _spaced_sql(body: str, quota: int = 120) -> str:
+    return with_views("daily", _STRATA + _SPACED.replace("$quota", str(quota)) + body).replace("\n, o AS", ", o AS").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _BINS = ["(0.0,0.2]", "(0.2,0.6]", "(0.6,1.0]"]
 
 
-@query(with_views("daily", _STRATA + _SPACED + """, every AS (SELECT b.b AS occ_bin, 'y' || y.range || 'x' || x.range AS cell_id FROM (VALUES ('(0.0,0.2]'), ('(0.2,0.6]'), ('(0.6,1.0]')) b(b), range(1, 4) y, range(1, 6) x)
-SELECT occ_bin, cell_id, (SELECT count(*) FROM cand WHERE cand.occ_bin = every.occ_bin AND cand.cell_id = every.cell_id) AS candidates, (SELECT count(*) FROM sp WHERE sp.occ_bin = every.occ_bin AND sp.cell_id = every.cell_id AND sp.k <= 120) AS sampled FROM every""").replace("\n, o AS", ", o AS"))
+@query(_spaced_sql(""", every AS (SELECT b.b AS occ_bin, 'y' || y.range || 'x' || x.range AS cell_id FROM (VALUES ('(0.0,0.2]'), ('(0.2,0.6]'), ('(0.6,1.0]')) b(b), range(1, 4) y, range(1, 6) x)
+SELECT occ_bin, cell_id, (SELECT count(*) FROM cand WHERE cand.occ_bin = every.occ_bin AND cand.cell_id = every.cell_id) AS candidates, (SELECT count(*) FROM sp WHERE sp.occ_bin = every.occ_bin AND sp.cell_id = every.cell_id) AS sampled FROM every"""))
 def strata_candidates(spark, sf):
     c = checkpoint(_strata(spark, sf))
     return sampling.summary(c, sampling.spaced(c), _BINS)
@@ -415,11 +426,17 @@ def hash_sample(spark, sf):
     return sampling.uniform(views.daily(spark, sf).select("row", "col").distinct())
 
 
-@query(with_views("daily", _STRATA + _SPACED + " SELECT row, col, occ_bin, cell_id FROM sp WHERE k <= 120").replace("\n, o AS", ", o AS"))
+@query(_spaced_sql(" SELECT row, col, occ_bin, cell_id FROM sp"))
 def spaced_sample(spark, sf):
     return sampling.spaced(checkpoint(_strata(spark, sf)))
 
 
+@query(_spaced_sql(" SELECT row, col, occ_bin, cell_id FROM sp", 1))
+def spaced_quota(spark, sf):
+    """SMP-3 with a quota that binds: strata at theirs leave room to the others."""
+    return sampling.spaced(checkpoint(_strata(spark, sf)), quota=1)
+
+
 # --- segmentation -------------------------------------------------------------------------------
 
 

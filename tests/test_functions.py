@@ -1,5 +1,6 @@
 """Column functions and relational operators against plain Python, with the traps of missing and odd values."""
 
+import hashlib
 import math
 from datetime import date, datetime
 
@@ -168,17 +169,36 @@ def test_agreement_edges(spark):
     assert meta.columns == ["k", "v", "v_meta"]
 
 
-def test_spaced_sample_keeps_its_promises(spark):
+def round_robin(rows, distance, quota):
+    """One list for each stratum, one pixel a turn, no shortcuts."""
+    lists, taken = {}, []
+    for r, c, b, cell in sorted(rows, key=lambda x: (hashlib.md5(f"42|{x[0]}|{x[1]}".encode()).hexdigest(), x[0], x[1])):
+        lists.setdefault((b, cell), []).append((r, c))
+    moved = True
+    while moved:
+        moved = False
+        for s in sorted(lists):
+            if sum(t[2:] == s for t in taken) < quota:
+                free = [p for p in lists[s] if all((p[0] - t[0]) ** 2 + (p[1] - t[1]) ** 2 > distance * distance for t in taken)]
+                if free:
+                    taken.append((*free[0], *s))
+                    moved = True
+    return taken
+
+
+@pytest.mark.parametrize(("quota", "ahead", "distance"), [(1000, 4, 3), (2, 4, 3), (5, 1, 3), (8, 1, 5), (3, 2, 0)])
+def test_spaced_sample_is_the_round_robin(spark, quota, ahead, distance):
     rng = np.random.default_rng(4)
-    pixels = sorted({(int(r), int(c)) for r, c in rng.integers(0, 25, (260, 2))})
-    df = spark.createDataFrame([(r, c, "b" if r % 2 else "a", "y0x0") for r, c in pixels], "row int, col int, occ_bin string, cell_id string")
-    got = [(r.row, r.col) for r in sampling.spaced(df, quota=1000).collect()]
-    near = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 9
+    pixels = sorted({(int(r), int(c)) for r, c in rng.integers(0, 40, (700, 2))})
+    rows = [(r, c, "b" if r % 2 else "a", f"y{r // 20}x{c // 30}") for r, c in pixels]
+    df = spark.createDataFrame([*rows, rows[0], (None, 3, "a", "y0x0")], "row int, col int, occ_bin string, cell_id string")
+    got = [tuple(r) for r in sampling.spaced(df, distance, quota, ahead=ahead).collect()]
+    assert sorted(got) == sorted(round_robin(rows, distance, quota))
+    near = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= distance * distance
+    full = {s for s in {t[2:] for t in got} if sum(t[2:] == s for t in got) >= quota}
     assert all(not near(p, q) for k, p in enumerate(got) for q in got[:k])  # T38
-    assert all(any(near(p, q) for q in got) for p in pixels)
-    few = sampling.spaced(df, quota=2).groupBy("occ_bin").count().collect()
-    assert all(r["count"] <= 2 for r in few)
-    assert sampling.spaced(df.limit(0)).count() == 0
+    assert all(any(near(p, q) for q in got) for p in rows if p[2:] not in full) and (quota == 1000 or full)
+    assert sampling.spaced(df.limit(0), distance, quota).count() == 0
 
 
 def test_csv_edge(spark, tmp_path):
