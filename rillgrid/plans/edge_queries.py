@@ -395,7 +395,18 @@ def dtw_nearest(spark, sf):
     """KRN-7, JN-10, WIN-9, 10: DTW to the first four series, as fixed centres."""
     v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
     rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
-    return r9(clustering.assign(v, np.array([r.v for r in rows], float)))
+    return r9(clustering.assign(v, np.array([r.v for r in rows], float)).drop("tables"))
+
+
+_BAND = _DTW.replace("AS c FROM v, v c JOIN centre ON centre.series = c.series)", "AS c FROM v, v c JOIN centre ON centre.series = c.series WHERE abs(v.i - c.i) <= 3)").replace("NULL::DOUBLE AS up FROM", "NULL::DOUBLE AS up, NULL::DOUBLE AS lf FROM").replace("coalesce(l.up, 'inf'::DOUBLE)), u.d\n", "coalesce(l.up, u.lf, 'inf'::DOUBLE)), u.d, l.d\n")
+
+
+@query(break_sql.recursive(with_views("daily obs", _BAND).replace("\n, med AS", ", med AS")))
+def dtw_banded(spark, sf):
+    """KRN-7, JN-10: DTW within 3 days of the diagonal, by bounds and tables only where these do not decide."""
+    v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
+    rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
+    return r9(clustering.assign(v, np.array([r.v for r in rows], float), radius=3).drop("tables"))
 
 
 _SOFT = _DTW.replace("c.c + least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE))", "c.c - 1.0 * (-least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE)) + ln(" + " + ".join(f"coalesce(exp(least(coalesce(l.d, 'inf'::DOUBLE), coalesce(u.d, 'inf'::DOUBLE), coalesce(l.up, 'inf'::DOUBLE)) - {x}), 0)" for x in ("l.d", "u.d", "l.up")) + "))").replace("sqrt(d)", "d")
@@ -406,4 +417,4 @@ def softdtw_nearest(spark, sf):
     """KRN-9: soft-DTW (gamma 1) to the first four series, as fixed centres."""
     v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
     rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
-    return r9(clustering.assign(v, np.array([r.v for r in rows], float), "softdtw"))
+    return r9(clustering.assign(v, np.array([r.v for r in rows], float), "softdtw").drop("tables"))

@@ -568,7 +568,7 @@ def euclid_assign(spark, sf):
 def dtw_assign(spark, sf):
     v = _vectors(spark, sf)
     centres, _ = clustering.kmeans(v)
-    return r9(clustering.assign(v, centres))
+    return r9(clustering.assign(v, centres).drop("tables"))
 
 
 @query()

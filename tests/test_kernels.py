@@ -248,3 +248,85 @@ def test_cuts_do_not_depend_on_the_scale(spark):
             assert cuts[0][(102, 1)] == ([15], 0.0) and cuts[0][(100, 0)][1] == 0.0
     picked = [{(r.series, r.h): (r.m, r.cuts_full) for r in seg.bfast_models(scaled(spark, f)).collect()} for f in (1.0, 1e-8, 1e8)]
     assert picked[0] == picked[1] == picked[2] and any(m for m, _ in picked[0].values())
+
+
+def banded_dtw(a, b, radius):
+    d = {(0, 0): 0.0}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            if radius is None or abs(i - j) <= radius:
+                d[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(d.get(k, np.inf) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+    return d.get((len(a), len(b)), np.inf) ** 0.5
+
+
+@pytest.mark.parametrize("radius", [None, 0, 1, 3, 40])
+@pytest.mark.parametrize(("t", "m"), [(1, 1), (2, 2), (12, 12), (9, 11)])
+def test_bounds_and_bands_are_exact(radius, t, m):
+    rng = np.random.default_rng(t)
+    x, c = rng.random((25, t)).cumsum(1), rng.random((6, m)).cumsum(1) + rng.integers(0, 3, (6, 1))
+    c[4] = c[1]
+    full = np.array([[banded_dtw(a, b, radius) for b in c] for a in x])
+    assert clustering.dtw(x, c, radius) == pytest.approx(full)
+    assert np.all(clustering.lower_bounds(x, c, radius) <= full**2 + 1e-9)
+    label, near, tables = clustering.nearest(x, c, radius)
+    assert label.tolist() == full.argmin(1).tolist() and near == pytest.approx(np.sort(full, 1)[:, :2]) and tables.max() <= 6
+    alone, one, _ = clustering.nearest(x, c, radius, second=False)
+    assert alone.tolist() == label.tolist() and one[:, 0] == pytest.approx(near[:, 0])
+
+
+def shapes(n, t=30, seed=0):
+    """Four planted shapes, shifted a little, of unequal shares."""
+    rng = np.random.default_rng(seed)
+    time = np.arange(t)
+    kinds = [np.sin(time / 4), (time > 12) * 2.0, (time > 20) * -1.5, np.exp(-((time - 15) ** 2) / 8) * 3]
+    pick = rng.choice(4, n, p=[0.7, 0.2, 0.07, 0.03])
+    return np.array([np.roll(kinds[k], rng.integers(-2, 3)) + rng.normal(0, 0.05, t) for k in pick]), pick
+
+
+def test_most_tables_need_not_be_computed(spark):
+    x, _ = shapes(400)
+    centres = np.concatenate([x[[0]], np.array([np.full(30, v) for v in (5.0, 9.0, -7.0, 12.0)]), x[[1]] + 0.5])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "series int, v array<double>")
+    got = clustering.assign(rows, centres, radius=3).collect()
+    full = clustering.dtw(x, centres, 3)
+    assert [r.label for r in sorted(got, key=lambda r: r.series)] == full.argmin(1).tolist()
+    assert sum(r.tables for r in got) <= 0.5 * full.size
+
+
+def test_seeds_by_distance_beat_hash_seeds(spark):
+    """Over 20 seeds, the inertia from k-means|| is no higher than that from the series of the least hashes, nearly always and in sum."""
+    x, _ = shapes(240)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "series int, v array<double>").coalesce(1).cache()
+    start = clustering.seeds(rows, 4, 20, rounds=3)
+    again = clustering.seeds(rows.repartition(3), 4, 20, rounds=3)
+    assert all(np.array_equal(start[r], again[r]) for r in start) and all(len(c) == 4 for c in start.values())
+    by_hash = {r: np.array([row.v for row in rows.orderBy(F.xxhash64(F.lit(r), "series"), "series").select("v").limit(4).collect()]) for r in range(20)}
+    cost = lambda c: float((clustering.nearest(x, c, second=False)[1][:, 0] ** 2).sum())
+    ours, hashes = [cost(start[r]) for r in range(20)], [cost(by_hash[r]) for r in range(20)]
+    assert sum(a <= b for a, b in zip(ours, hashes, strict=True)) >= 18 and sum(ours) < 0.5 * sum(hashes)
+    fitted = clustering.kmeans(rows, 4, iterations=4, inits=20, start=start)[1]
+    assert fitted <= clustering.kmeans(rows, 4, iterations=4, inits=20, start=by_hash)[1] * (1 + 1e-9) and fitted <= min(ours)
+
+
+def test_one_round_of_kmeans_by_hand(spark):
+    """Assignment and barycentre of one round, path by path."""
+    x, _ = shapes(40, 12, 3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "series int, v array<double>").repartition(3)
+    c = x[[0, 5, 9]].copy()
+    total, count = np.zeros(c.shape), np.zeros(c.shape)
+    for v in x:
+        k = int(np.argmin([banded_dtw(v, y, None) for y in c]))
+        d = np.full((13, 13), np.inf)
+        d[0, 0] = 0
+        for i in range(1, 13):
+            for j in range(1, 13):
+                d[i, j] = (v[i - 1] - c[k][j - 1]) ** 2 + min(d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
+        i = j = 12
+        while i and j:
+            total[k, j - 1] += v[i - 1]
+            count[k, j - 1] += 1
+            i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: d[p])
+    want = total / count
+    got, inertia = clustering.kmeans(rows, 3, iterations=1, start={0: c})
+    assert got == pytest.approx(want[np.lexsort((want[:, 0], want.mean(1)))])
+    assert inertia == pytest.approx(sum(min(banded_dtw(v, y, None) for y in c) ** 2 for v in x))
