@@ -151,6 +151,43 @@ def partitions(table: np.ndarray, points: np.ndarray, most: int, min_size: int)
     return out
 
 
+def pruned_partition(z: np.ndarray, points: np.ndarray, beta: float, min_size: int) -> tuple[float, np.ndarray]:
+    """KRN-2: cost and cuts (places in points) of the partition of least cost plus beta for each cut, by PELT (Killick and others 2012).
+
+    Costs are shares of the series' spread, as in relative(). A start that is no better than beginning anew at a
+    point is not tried again once a segment from that point is long enough; what rounding could hide is kept. Memory
+    is linear in the series. Ties go to fewer cuts, then to the earliest start.
+    """
+    unit = float(spread(z[None])[0])
+    last = len(points) - 1
+    if not unit:
+        return 0.0, np.zeros(0, np.int64)
+    z = z - z.mean()
+    s, q = (np.r_[0.0, np.cumsum(x)][points] for x in (z, z * z))
+    best, share, cuts, back = (np.zeros(last + 1) for _ in range(4))
+    back = back.astype(np.int64)
+    until = np.full(last + 1, np.iinfo(np.int64).max)
+    alive = np.zeros(1, np.int64)
+    for t in range(1, last + 1):
+        alive = alive[until[alive] > points[t]]
+        c = alive[points[t] - points[alive] >= min_size]
+        if not len(c):
+            best[t] = np.inf
+            continue
+        cost = np.round(np.maximum(0.0, q[t] - q[c] - (s[t] - s[c]) ** 2 / (points[t] - points[c])) / unit, DIGITS)
+        total = best[c] + cost + beta * (c > 0)
+        at = np.lexsort((c, cuts[c] + (c > 0), total.round(DIGITS + 2)))[0]
+        best[t], share[t], cuts[t], back[t] = total[at], share[c[at]] + cost[at], cuts[c[at]] + (c[at] > 0), c[at]
+        worse = c[best[c] + cost - beta * (c == 0) > best[t] + 1e-8]
+        until[worse] = np.minimum(until[worse], points[t] + min_size)
+        alive = np.append(alive, t)
+    found, t = [], last
+    while back[t]:
+        t = back[t]
+        found.append(t)
+    return float(share[last]) * unit, np.array(found[::-1], np.int64)
+
+
 def _edges(table: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each point, the places of the nearest edges before and after it."""
     place = np.arange(edge.shape[1])
@@ -370,6 +407,35 @@ def pelt_breaks(models: DataFrame, variances: DataFrame, penalties: Sequence[flo
     return scored.groupBy(series, "penalty_scale").agg(best.alias("b")).select(series, "penalty_scale", "b.*")
 
 
+def pelt_pruned(vectors: DataFrame, variances: DataFrame, penalties: Sequence[float], min_size: int = 5, jump: int = 5, series: str = "series") -> DataFrame:
+    """KRN-2, JN-11, PRJ-28: what pelt_breaks chooses from pelt_models, by a pruned search for each penalty: for long series, in memory linear in their length.
+
+    vectors: (series, v); variances: (series, ref_var, smooth_var). Gives (series, penalty_scale, m, rss, cuts, cuts_full).
+    """
+    kind = dict(vectors.dtypes)[series]
+    n = F.size(F.filter("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))).cast("double")
+    given = vectors.select(series, "v").join(variances, series).select(series, "v", breaks.penalty(F.lit(1.0), F.col("ref_var"), F.col("smooth_var"), n).alias("one"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, values, one in zip(frame[series], frame["v"], frame["one"], strict=True):
+                y = _doubles(values)
+                index = np.flatnonzero(np.isfinite(y))
+                z = y[index]
+                if len(z) < min_size:
+                    continue
+                points, unit = admissible(len(z), min_size, jump), float(spread(z[None])[0])
+                for scale in penalties:
+                    rss, cuts = pruned_partition(z, points, float(scale) * float(one) / unit if unit and one == one else 0.0, min_size)
+                    at = points[cuts]
+                    rows.append((key, float(scale), len(at), rss, at.tolist(), (index[at - 1] + 1).tolist()))
+            if rows:
+                yield pd.DataFrame(rows, columns=[series, "penalty_scale", "m", "rss", "cuts", "cuts_full"])
+
+    return given.mapInPandas(run, f"`{series}` {kind}, penalty_scale double, m int, rss double, cuts array<int>, cuts_full array<int>")
+
+
 def detection_rates(chosen: DataFrame, by: Sequence[str], n_total: int) -> DataFrame:
     """AGG-20, T18: the share of series with a break, over all series, also those too short to search."""
     return chosen.groupBy(*by).agg(F.count_if(F.col("m") > 0).alias("n_with_breaks")).select(*by, F.lit(n_total).cast("long").alias("n_total"), "n_with_breaks", (F.col("n_with_breaks") / max(1, n_total)).alias("rate"))

@@ -54,6 +54,21 @@ SWEEP = (
     + _picked("finer", "fine") + _rates("second", "finer") + ", swept AS (SELECT * FROM first UNION ALL SELECT * FROM second)"
 )
 
+# A long series by the plain recurrence over all earlier points, no candidate left out; f: least cost so far, as shares of the spread
+LONG = """WITH RECURSIVE y AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS ts, round(avg(l_discount), 9) AS v FROM lineitem GROUP BY 1, 2),
+x AS (SELECT series, v - avg(v) OVER w AS c, row_number() OVER (PARTITION BY series ORDER BY ts) AS k, count(*) OVER w AS n, var_pop(v) OVER w AS var FROM y WINDOW w AS (PARTITION BY series)),
+ps AS (SELECT series, k, n, var, sum(c) OVER o AS s, sum(c * c) OVER o AS q FROM x WINDOW o AS (PARTITION BY series ORDER BY k ROWS UNBOUNDED PRECEDING)),
+pts AS (SELECT series, n, max(var) AS var, list_prepend(0, list(k ORDER BY k)) AS k, list_prepend(0.0, list(s ORDER BY k)) AS s, list_prepend(0.0, list(q ORDER BY k)) AS q FROM ps WHERE k = n OR (k % 5 = 0 AND k <= n - 5) GROUP BY series, n),
+g AS (SELECT series, n, k, s, q, q[-1] AS u, ps, ps * var * ln(n) / q[-1] AS beta FROM pts, (VALUES (0.5::DOUBLE), (2.0)) p(ps) WHERE n >= 5 AND q[-1] > 0),
+walk AS (SELECT series, ps, 1 AS t, [0.0::DOUBLE] AS f, [0] AS m, [1] AS back FROM g
+  UNION ALL SELECT series, ps, t + 1, list_append(f, b.total), list_append(m, b.m), list_append(back, b.i) FROM (
+    SELECT w.*, list_min(list_transform(list_filter(range(1, t + 1), lambda i: k[t + 1] - k[i] >= 5), lambda i: {'r': round(f[i] + round(greatest(0, q[t + 1] - q[i] - (s[t + 1] - s[i]) * (s[t + 1] - s[i]) / (k[t + 1] - k[i])) / u, 10) + CASE WHEN i > 1 THEN beta ELSE 0 END, 12),
+      'm': w.m[i] + CASE WHEN i > 1 THEN 1 ELSE 0 END, 'i': CAST(i AS INTEGER), 'total': f[i] + round(greatest(0, q[t + 1] - q[i] - (s[t + 1] - s[i]) * (s[t + 1] - s[i]) / (k[t + 1] - k[i])) / u, 10) + CASE WHEN i > 1 THEN beta ELSE 0 END})) AS b
+    FROM walk w JOIN g ON g.series = w.series AND g.ps = w.ps WHERE t < len(k))),
+ended AS (SELECT w.series, w.ps, g.k, w.back, w.m[t] AS m, (w.f[t] - g.beta * w.m[t]) * g.u AS rss, t FROM walk w JOIN g ON g.series = w.series AND g.ps = w.ps WHERE t = len(g.k)),
+trace AS (SELECT series, ps, k, back, m, rss, back[t] AS i FROM ended UNION ALL SELECT series, ps, k, back, m, rss, back[i] FROM trace WHERE i > 1)
+SELECT series, ps AS penalty_scale, m, round(rss, 9) AS rss, CAST(CASE WHEN i > 1 THEN k[i] END AS INTEGER) AS break_index FROM trace WHERE i > 1 OR m = 0"""
+
 PELT_SWEEP = FIVES + PATHS + SWEEP + " SELECT * FROM swept"
 PELT_BREAKS = FIVES + PATHS + _picked("chosen", "(VALUES (2.0::DOUBLE)) p(ps)") + """, e AS (SELECT series, ps, m, rss, unnest(CASE WHEN m = 0 THEN [NULL] ELSE cuts END) AS c FROM chosen)
 SELECT e.series, ps AS penalty_scale, m, round(rss, 9) AS rss, CAST(f.pos + 1 AS INTEGER) AS break_index FROM e LEFT JOIN f ON f.series = e.series AND f.i = e.c - 1"""

@@ -418,3 +418,12 @@ def softdtw_nearest(spark, sf):
     v = checkpoint(series.vectors(series.prepared(views.obs(spark, sf), scale=False)))
     rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
     return r9(clustering.assign(v, np.array([r.v for r in rows], float), "softdtw").drop("tables"))
+
+
+@query(break_sql.LONG)
+def pelt_long(spark, sf):
+    """KRN-2: series of some 2,500 days, by the pruned search."""
+    y = r9(table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("ts")).agg(F.avg("l_discount").alias("v")))
+    v = checkpoint(y.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "v"))), lambda p: p["v"]).alias("v"), F.var_pop("v").alias("ref_var")))
+    found = segmentation.pelt_pruned(v.select("series", "v"), v.select("series", "ref_var", F.col("ref_var").alias("smooth_var")), [0.5, 2.0])
+    return r9(found.select("series", "penalty_scale", "m", "rss", F.explode_outer("cuts_full").alias("break_index")), "rss")

@@ -330,3 +330,34 @@ def test_one_round_of_kmeans_by_hand(spark):
     got, inertia = clustering.kmeans(rows, 3, iterations=1, start={0: c})
     assert got == pytest.approx(want[np.lexsort((want[:, 0], want.mean(1)))])
     assert inertia == pytest.approx(sum(min(banded_dtw(v, y, None) for y in c) ** 2 for v in x))
+
+
+def test_pruned_search_equals_the_table(spark):
+    """Many penalties, sizes and grids: the same cuts and costs as from the table of all segments."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [None if rng.random() < 0.03 else float(x) for x in np.repeat(rng.normal(0, 1, 9), 10) * (i % 4) + rng.normal(0, 0.3, 90)]) for i in range(12)]
+    rows += [(50, [1.0] * 30), (51, [0.5] * 3), (52, [0.0] * 12 + [2.0] * 12), (53, [0.0, 1.0] * 20)]
+    v = spark.createDataFrame(rows, "series long, v array<double>")
+    var = v.select("series", F.explode("v").alias("x")).groupBy("series").agg(F.var_pop("x").alias("ref_var")).withColumn("smooth_var", F.col("ref_var"))
+    penalties = [0.05, 0.3, 1.0, 2.0, 5.0, 40.0]
+    for size, jump in ((5, 5), (3, 1), (1, 1), (7, 2)):
+        want = {(r.series, r.penalty_scale): r for r in seg.pelt_breaks(seg.pelt_models(v, min_size=size, jump=jump), var, penalties).collect()}
+        got = {(r.series, r.penalty_scale): r for r in seg.pelt_pruned(v, var, penalties, size, jump).collect()}
+        assert set(got) == set(want)
+        for key, r in got.items():
+            assert (r.m, r.rss) == (want[key].m, pytest.approx(want[key].rss, abs=1e-7)), (key, size, jump)
+            if key[0] < 50:
+                assert (r.cuts, r.cuts_full) == (want[key].cuts, want[key].cuts_full), (key, size, jump)
+
+
+def test_pruned_search_takes_linear_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    z = np.repeat(rng.normal(0, 3, 200), 100) + rng.normal(0, 1, 20_000)
+    points = seg.admissible(len(z), 5, 1)
+    tracemalloc.start()
+    rss, cuts = seg.pruned_partition(z, points, 3 * np.log(len(z)) / seg.spread(z[None])[0], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and 120 < len(cuts) < 240 and rss == pytest.approx(((z - np.repeat([z[a:b].mean() for a, b in zip([0, *points[cuts]], [*points[cuts], len(z)], strict=True)], np.diff([0, *points[cuts], len(z)]))) ** 2).sum(), rel=1e-5)
