@@ -24,23 +24,22 @@ def _place(spark: SparkSession, name: str) -> str:
 
 
 def _raster(spark, sf):
-    """A written raster of the pixels' values on the first day, NULL where there is none."""
-    rows = views.obs(spark, sf).where(F.col("ts") == F.lit("2024-01-01").cast("date")).select("row", "col", "v")
+    """A written raster of the pixels' values on every day, NULL where there is none."""
     path = _place(spark, "raster")
-    tables.write_raster(rows, path, ["v"], tile=4)
+    tables.write_raster(views.obs(spark, sf).select("ts", "row", "col", "v"), path, ["v"], tile=4)
     return path
 
 
-@query(with_views("daily obs", "SELECT row, col, round(v, 9) AS v FROM obs WHERE ts = DATE '2024-01-01'"))
+@query(with_views("daily obs", "SELECT ts, row, col, round(v, 9) AS v FROM obs"))
 def raster_roundtrip(spark, sf):
     """SNK-1, 2, SRC-5: nodata in the file, NULL in the table."""
-    return r9(tables.read_raster(spark, _raster(spark, sf), ["v"]).select("row", "col", "v"))
+    return r9(tables.read_raster(spark, _raster(spark, sf), ["v"]).select("ts", "row", "col", "v"))
 
 
-@query(with_views("daily obs", "SELECT row, col, round(coalesce(v, -9999.0), 9) AS v FROM obs WHERE ts = DATE '2024-01-01'"))
+@query(with_views("daily obs", "SELECT ts, row, col, round(coalesce(v, -9999.0), 9) AS v FROM obs"))
 def raster_literal(spark, sf):
     """SRC-3: nodata stays a number."""
-    return r9(tables.read_raster(spark, _raster(spark, sf), ["v"], nodata="literal").select("row", "col", "v"))
+    return r9(tables.read_raster(spark, _raster(spark, sf), ["v"], nodata="literal").select("ts", "row", "col", "v"))
 
 
 @query(with_views("daily", "SELECT row, col, count(CASE WHEN v < 0.5 THEN v END) AS n, round(sum(CASE WHEN v < 0.5 THEN v END), 9) AS total FROM daily GROUP BY row, col"))
@@ -54,8 +53,9 @@ def band_read(spark, sf):
 
 @query(with_views("daily", "SELECT series, ts, round(CASE WHEN v < 0.9 THEN v END, 9) AS v FROM daily"))
 def csv_roundtrip(spark, sf):
-    """SNK-4, 8, SRC-6: a CSV with a header and empty cells, read with an explicit schema."""
+    """SNK-4, 8, SRC-6: a CSV with a header and empty cells that replaces an older one, read with an explicit schema."""
     path = _place(spark, "csv")
+    tables.write_csv(views.daily(spark, sf).select("series", "ts", F.lit(-1.0).alias("v")), path)
     tables.write_csv(r9(views.daily(spark, sf).select("series", "ts", F.when(F.col("v") < 0.9, F.col("v")).alias("v"))), path)
     return tables.read_csv(spark, path, "series long, ts date, v double")
 
@@ -66,7 +66,7 @@ def wide_csv(spark, sf):
     path = _place(spark, "wide")
     counts = table(spark, sf, "events").groupBy(F.format_string("pix_0_%d", F.length("event_type")).alias("series"), F.to_date("ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").cast("double").alias("v"))
     counts = checkpoint(counts.withColumn("v", F.when(F.col("v") % 7 != 0, F.col("v"))))
-    names = sorted(r.series for r in counts.select("series").distinct().limit(100).collect())
+    names = sorted(r.series for r in counts.select("series").distinct().collect())  # the columns of the file
     tables.write_csv(tables.to_wide(counts, names).withColumnRenamed("ts", "timestamp").withColumn("note", F.lit("x")), path)
     return tables.read_wide(spark, path).where("v IS NOT NULL")
 
@@ -80,21 +80,20 @@ def band_times(spark, sf):
     return tables.read_band_times(spark, path)
 
 
-@query("SELECT strftime(CAST(ts AS DATE), '%Y%m%d_000000_x.parquet') AS name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts FROM events GROUP BY ALL")
+@query("SELECT strftime(CAST(ts AS DATE), '%Y%m%d_000000_x.parquet') AS name, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts, CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) AS newest FROM events GROUP BY ALL")
 def file_listing(spark, sf):
-    """SRC-11, 13: the files of a folder by pattern, and the time that each name holds."""
+    """SRC-11…13: the files of a folder by pattern, the time that each name holds, and the one written last."""
     path = _place(spark, "files")
-    days = table(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("day")).distinct().collect()
+    days = table(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("day")).distinct().orderBy("day").collect()
     jvm = spark.sparkContext._jvm
-    for r in days:
+    for k, r in enumerate(days):
         at = jvm.org.apache.hadoop.fs.Path(f"{path}/{r.day}_000000_x.parquet")
         out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
         out.writeBytes("x")
         out.close()
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(at, 1_700_000_000_000 + 1000 * k, -1)
     found = tables.files(spark, path, "*_x.parquet")
-    newest = tables.newest(found)
-    assert newest is not None  # SRC-12
-    return found.select("name", "ts")
+    return found.select("name", "ts", (F.col("path") == F.lit(tables.newest(found))).alias("newest"))
 
 
 @query("SELECT 'occurrence' AS run, (SELECT count(*) FROM events) AS rows_read, 0.6::DOUBLE AS threshold")
@@ -105,11 +104,11 @@ def run_information(spark, sf):
     return spark.read.schema("run string, rows_read long, threshold double").json(path)
 
 
-@query(with_views("spectra", "SELECT CAST(label AS INTEGER) AS row, CAST(b - 1 AS INTEGER) AS band, round([" + ", ".join(BANDS) + "][b], 9) AS x FROM (SELECT label, " + ", ".join(f"avg({b}) AS {b}" for b in BANDS) + " FROM spectra WHERE label < 3 GROUP BY label), range(1, 9) r(b)"))
+@query(with_views("spectra", "SELECT CAST(label AS INTEGER) AS row, CAST(b - 1 AS INTEGER) AS band, round([" + ", ".join(BANDS) + "][b], 9) AS x FROM (SELECT label, " + ", ".join(f"avg({b}) AS {b}" for b in BANDS) + " FROM (SELECT * REPLACE (label % 3 AS label) FROM spectra) GROUP BY label), range(1, 9) r(b)"))
 def matrix_roundtrip(spark, sf):
-    """SNK-5, SRC-9: the endmember matrix, from either orientation."""
+    """SNK-5, SRC-9: the endmember matrix of three classes, from either orientation."""
     path = _place(spark, "matrix")
-    tables.write_matrix(endmembers.mean_spectra(views.spectra(spark, sf).where("label < 3"), BANDS), path, BANDS, ["label"])
+    tables.write_matrix(endmembers.mean_spectra(views.spectra(spark, sf).withColumn("label", F.col("label") % 3), BANDS), path, BANDS, ["label"])
     rows = tables.read_matrix(spark, path)
     turned = endmembers.oriented([list(c) for c in zip(*rows, strict=True)])
     assert turned == endmembers.oriented(rows)
@@ -241,18 +240,23 @@ def common_times(spark, sf):
     return r9(scenes.common_times(raw.withColumn("v", series.rolling_median3()), raw))
 
 
-@query("SELECT CAST(r * 3 + c AS INTEGER) AS tile, CAST(r * 20 AS INTEGER) AS row0, CAST(least(103, r * 20 + 20) AS INTEGER) AS row1, CAST(c * 20 AS INTEGER) AS col0, CAST(least(47, c * 20 + 20) AS INTEGER) AS col1 FROM range(6) a(r), range(3) b(c)")
+@query(with_views("daily", """, hw AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM daily)
+SELECT CAST((row // 4) * ((w + 3) // 4) + col // 4 AS INTEGER) AS tile, CAST(row // 4 * 4 AS INTEGER) AS row0, CAST(least(any_value(h), row // 4 * 4 + 4) AS INTEGER) AS row1, CAST(col // 4 * 4 AS INTEGER) AS col0, CAST(least(any_value(w), col // 4 * 4 + 4) AS INTEGER) AS col1, count(*) AS n, round(sum(v), 9) AS total
+FROM daily, hw GROUP BY row // 4, col // 4, w""").replace("\n, hw AS", ", hw AS"))
 def grid_tiles(spark, sf):
-    """The table function tiles(H, W, size)."""
-    return scenes.tiles(spark, 103, 47, 20)
+    """The table function tiles(H, W, size) over the pixels' grid, and what lies in each window."""
+    d = views.daily(spark, sf)
+    h, w = d.agg(F.max("row") + 1, F.max("col") + 1).first()
+    sums = d.groupBy(F.expr("cast(row div 4 * 4 as int)").alias("row0"), F.expr("cast(col div 4 * 4 as int)").alias("col0")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return r9(scenes.tiles(spark, h, w, 4).join(sums, ["row0", "col0"]).select("tile", "row0", "row1", "col0", "col1", "n", "total"))
 
 
 @query(with_views("daily", ", c AS (SELECT ts, count(*) AS n, avg(v) AS mean FROM daily GROUP BY ts) SELECT row_number() OVER (ORDER BY 'C' || CAST(n % 13 AS VARCHAR), ts) AS place, 'C' || CAST(n % 13 AS VARCHAR) AS name, ts FROM c").replace("\n, c AS", ", c AS"))
 def text_order(spark, sf):
-    """SRT-2, PRJ-33: C10 sorts before C2; the place is read off the ordered rows."""
+    """SRT-2, PRJ-33: C10 sorts before C2; places follow the partitions of the ordered rows, one for each day."""
     c = views.daily(spark, sf).groupBy("ts").agg(F.count("*").alias("n")).select("ts", F.concat(F.lit("C"), (F.col("n") % 13).cast("string")).alias("name"))
-    rows = scenes.ordered(scenes.front(c, ["name", "missing"]), "name", "ts").collect()  # a row for each day
-    return spark.createDataFrame([(i, r.name, r.ts) for i, r in enumerate(rows, 1)], "place long, name string, ts date")
+    rows = scenes.ordered(scenes.front(c, ["name", "missing"]), "name", "ts").withColumn("k", F.monotonically_increasing_id())
+    return rows.select(F.row_number().over(Window.orderBy("k")).cast("long").alias("place"), "name", "ts")
 
 
 @query(with_views("daily", """, p AS (SELECT ts, row, col, v, (row // 4) * 4 + col // 4 AS w FROM daily),
@@ -341,12 +345,12 @@ def break_rules(spark, sf):
     return b.join(n, "series").select("series", F.col("break_index").cast("long").alias("break_index"), breaks.inside_edges(F.col("break_index"), F.col("n"), 12).alias("inside"), rule("all").alias("all_rules"), rule("twsv_and_any").alias("any_rule"), breaks.final_label(rule("all"), F.col("delta")).alias("label"))
 
 
-@query(queries._sql(break_sql.PELT_SWEEP).replace("SELECT * FROM swept", "SELECT 'PELT-l2' AS method, 'penalty' AS criterion, penalty_scale AS crit_scale, CAST(NULL AS INTEGER) AS min_size, n_with_breaks, rate FROM swept UNION ALL SELECT 'events', 'LWZ', 1.0::DOUBLE, 5, (SELECT count(*) FROM events), 0.5::DOUBLE"))
+@query("SELECT 'PELT-l2' AS method, 'penalty' AS criterion, penalty_scale AS crit_scale, CAST(NULL AS INTEGER) AS max_breaks, n_with_breaks, rate FROM (" + queries._sql(break_sql.PELT_SWEEP) + ") UNION ALL SELECT 'Binseg-linear', criterion, scale, 3, n_with_breaks, rate FROM (" + queries._sql(break_sql.BINSEG_SWEEP) + ")")
 def merged_summaries(spark, sf):
-    """CTL-7, SET-1: the summaries of two methods under one another; the columns that one lacks are NULL."""
+    """CTL-7, SET-1: the summaries of both sweeps under one another; the columns that one lacks are NULL."""
     pelt = queries.QUERIES["pelt_sweep"](spark, sf).select(F.lit("penalty").alias("criterion"), F.col("penalty_scale").alias("crit_scale"), "n_with_breaks", "rate")
-    other = table(spark, sf, "events").agg(F.lit("LWZ").alias("criterion"), F.lit(1.0).alias("crit_scale"), F.lit(5).alias("min_size"), F.count("*").alias("n_with_breaks"), F.lit(0.5).alias("rate"))
-    return segmentation.merged_summaries({"PELT-l2": pelt, "events": other}).select("method", "criterion", "crit_scale", "min_size", "n_with_breaks", "rate")
+    binseg = queries.QUERIES["binseg_ic"](spark, sf).select("criterion", F.col("scale").alias("crit_scale"), F.lit(3).alias("max_breaks"), "n_with_breaks", "rate")
+    return segmentation.merged_summaries({"PELT-l2": pelt, "Binseg-linear": binseg}).select("method", "criterion", "crit_scale", "max_breaks", "n_with_breaks", "rate")
 
 
 @query(queries._sql(break_sql.FIVES + break_sql.PATHS + break_sql._picked("chosen", "(VALUES (1.0::DOUBLE)) p(ps)") + """, e AS (SELECT c.series, f.pos + 1 AS b FROM (SELECT series, unnest(cuts) AS i FROM chosen) c JOIN f ON f.series = c.series AND f.i = c.i - 1),
@@ -366,11 +370,11 @@ def mean_filled(spark, sf):
     return r9(views.obs(spark, sf).select("series", "ts", series.mean_filled().alias("v")))
 
 
-@query(with_views("spectra", "SELECT CAST(label AS INTEGER) AS cluster, CAST(b - 1 AS INTEGER) AS place, round([" + ", ".join(f"round(avg({b}), 12)" for b in BANDS).replace("round(avg", "round(avg") + "][b] * 3 + 2, 9) AS v FROM (SELECT * FROM spectra WHERE label < 4), range(1, 9) r(b) GROUP BY label, b"))
+@query(with_views("spectra", "SELECT CAST(label AS INTEGER) AS cluster, CAST(b - 1 AS INTEGER) AS place, round([" + ", ".join(f"round(avg({b}), 12)" for b in BANDS).replace("round(avg", "round(avg") + "][b] * 3 + 2, 9) AS v FROM spectra, range(1, 9) r(b) GROUP BY label, b"))
 def denormalised_centres(spark, sf):
-    """PRJ-20, SRC-15: centres as a table, with mean 2 and deviation 3."""
-    x = views.spectra(spark, sf)
-    rows = [[round(v, 12) for v in row] for row in endmembers.matrix(endmembers.mean_spectra(x, BANDS), BANDS, [0, 1, 2, 3])]
+    """PRJ-20, SRC-15: the classes' centres as a table, with mean 2 and deviation 3."""
+    means = endmembers.mean_spectra(views.spectra(spark, sf), BANDS)
+    rows = [[round(v, 12) for v in row] for row in endmembers.matrix(means, BANDS, sorted(r.label for r in means.select("label").collect()))]
     out = clustering.denormalised(clustering.centroid_table(spark, np.array(rows)), 2.0, 3.0)
     return r9(out.select("cluster", F.posexplode("v").alias("place", "v")))
 
