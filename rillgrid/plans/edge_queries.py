@@ -271,6 +271,15 @@ def warped_scenes(spark, sf):
     return r9(coregistration.warped(d, ties, 4))
 
 
+@query()
+def registered_scenes(spark, sf):
+    """KRN-10: every day's scene against the first day's: tie points below a pixel, without outliers, and the scene moved by their field."""
+    d = checkpoint(views.obs(spark, sf).select(F.date_format("ts", "yyyyMMdd").alias("scene"), "row", "col", F.coalesce("v", F.lit(0.0)).alias("v")))
+    first = d.agg(F.min("scene")).first()[0]
+    ties = coregistration.consistent(coregistration.tie_points(d, d.where(F.col("scene") == first), 8, refine=True))
+    return r9(coregistration.registered(d, checkpoint(ties), 8))
+
+
 # --- columns and aggregates -----------------------------------------------------------------------
 
 

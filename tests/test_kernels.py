@@ -361,3 +361,45 @@ def test_pruned_search_takes_linear_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6 and 120 < len(cuts) < 240 and rss == pytest.approx(((z - np.repeat([z[a:b].mean() for a, b in zip([0, *points[cuts]], [*points[cuts], len(z)], strict=True)], np.diff([0, *points[cuts], len(z)]))) ** 2).sum(), rel=1e-5)
+
+
+def smooth_image(height, width, seed=0):
+    """A function of the plane that can be sampled anywhere."""
+    rng = np.random.default_rng(seed)
+    waves = [(rng.uniform(-0.9, 0.9), rng.uniform(-0.9, 0.9), rng.uniform(0, 6.28), rng.uniform(0.3, 1)) for _ in range(60)]
+    return lambda y, x: sum(a * np.cos(u * y + v * x + p) for u, v, p, a in waves)
+
+
+@pytest.mark.parametrize("shift", [(0.25, -0.25), (0.0, 0.5), (-1.75, 2.25), (3.0, -4.0)])
+def test_shifts_below_a_pixel_are_found(shift):
+    image = smooth_image(64, 64)
+    y, x = np.mgrid[0:64, 0:64].astype(float)
+    for seed in range(3):
+        image = smooth_image(64, 64, seed)
+        noise = np.random.default_rng(seed).normal(0, 0.05, (64, 64))
+        dy, dx, peak = coregistration.refined_shift(image(y, x), image(y - shift[0], x - shift[1]) + noise)
+        assert abs(dy + shift[0]) <= 0.1 and abs(dx + shift[1]) <= 0.1 and peak > 0
+
+
+def test_scenes_are_registered_below_a_pixel(spark):
+    """A shift of (0.75, -1.25) pixels is found in all windows, a false tie point is rejected, and the moved scene lies on the reference."""
+    image, n = smooth_image(96, 96, 4), 96
+    y, x = np.mgrid[0:n, 0:n].astype(float)
+    ref, moved = image(y, x), image(y - 0.75, x + 1.25)
+    rows = lambda a, *k: [(*k, r, c, float(a[r, c])) for r in range(n) for c in range(n)]
+    reference = spark.createDataFrame(rows(ref), "row int, col int, v double")
+    target = spark.createDataFrame(rows(moved, "s") + [("t", r, c, v) for r, c, v in rows(ref)], "scene string, row int, col int, v double")
+    ties = coregistration.tie_points(target, reference, 32, refine=True)
+    found = {(t.scene, t.win_r, t.win_c): (t.dy / 3, t.dx / 3) for t in ties.collect()}
+    assert len(found) == 18 and all(abs(y + 0.75) <= 0.1 and abs(x - 1.25) <= 0.1 for (s, *_), (y, x) in found.items() if s == "s") and all(v == (0.0, 0.0) for (s, *_), v in found.items() if s == "t")
+    false = ties.withColumn("dx", F.when((F.col("win_r") == 1) & (F.col("win_c") == 1), 14.0).otherwise(F.col("dx"))).cache()
+    kept = coregistration.consistent(false)
+    assert kept.count() == 16 and kept.where("win_r = 1 AND win_c = 1").count() == 0
+    out = {(r.scene, r.row, r.col): r.v for r in coregistration.registered(target, kept, 32).collect()}
+    assert len(out) == 2 * n * n and all(out["t", r, c] == pytest.approx(ref[r, c]) for r in range(n) for c in range(n))
+    inner = [(r, c) for r in range(3, n - 3) for c in range(3, n - 3)]
+    before, after = (np.sqrt(np.mean([(f(r, c) - ref[r, c]) ** 2 for r, c in inner])) for f in (lambda r, c: moved[r, c], lambda r, c: out["s", r, c]))
+    assert after < 0.2 * before and out["s", 95, 40] is None
+    assert coregistration.registered(target.limit(0), kept, 32).count() == 0
+    alone = {(r.row, r.col): r.v for r in coregistration.registered(target.where("scene = 't' AND NOT (row = 5 AND col = 5)"), kept.limit(0), 32).collect()}
+    assert len(alone) == n * n - 1 and alone[6, 6] == pytest.approx(ref[6, 6])
