@@ -36,27 +36,27 @@ def _encoded(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and wordless texts go; rows with a null id or source stay by their text; repeated rows are judged alike; no rows give none."""
     return _staged(0, quality_rules.keep_good, docs, sf_dir)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without cross-site boilerplate lines; n_chars follows the text."""
+    """All documents, without cross-site boilerplate lines; n_chars follows the text. Null texts stay null, a null source counts as one site, repeated rows lose the same lines; no rows give none."""
     return _staged(1, _lines, docs, sf_dir)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id. Documents without words are linked with nothing and stay; repeated rows of an id stay or go together, rows with a null id stay; no rows give none."""
     return _staged(2, minhash_dedup.keep_one, docs, sf_dir)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, dealt to shards."""
+    """Documents as often as their source's target takes them, dealt to shards. Null and wordless texts add no words to any target, a null source is one of its own, repeated rows count each; no rows give none."""
     return _staged(3, mixing.mix, docs, sf_dir)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and piece ids of each document of the mix."""
+    """doc_id and piece ids of each document of the mix, a row for each time that it is taken. Null and empty texts have no piece; no rows give none."""
     return _staged(4, _encoded, docs, sf_dir)
 
 
