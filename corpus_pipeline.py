@@ -14,12 +14,22 @@ from rillgrid.llm import line_dedup, minhash_dedup, mixing, pieces, quality_rule
 
 ORACLE_SQL = None  # suffix arrays, signatures and pieces are beyond SQL; tests/llm compares with brute force
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BATCH = 500  # rows of whole texts that go to a Python worker at once, at most
 _scratch: dict[tuple, list] = {}  # by session and folder: the tables of the last stage that was begun, until the one after it begins
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH rows: a batch of texts is in memory several times, in the JVM and in Python, for each running task. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "0"))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def _staged(number: int, stage: Callable[[DataFrame], DataFrame], docs: DataFrame, sf_dir: str) -> DataFrame:
     """stage(docs). A stage's rows have been written by the time that the next one of its folder begins; its own tables go then."""
     key = docs.sparkSession.sparkContext.applicationId, sf_dir, number
+    _bounded(docs.sparkSession)
     scratch.release(_scratch.pop((*key[:2], number - 1), []))
     with scratch.scope() as held:
         out = stage(docs)
@@ -65,6 +75,7 @@ STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedu
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's rows are written to the shared folder and reread, and its own tables deleted."""
+    _bounded(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in (("quality", quality_rules.keep_good), ("lines", _lines), ("near", minhash_dedup.keep_one), ("mixture", mixing.mix)):
         with scratch.scope() as held:
