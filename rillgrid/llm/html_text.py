@@ -2,7 +2,8 @@
 
 The standard library's parser streams events. Text between block boundaries makes a line; its
 ratio is the logarithm of 1 + its characters outside links per tag. Ratios are smoothed by a
-Gaussian over neighbouring lines. Hints then weaken a line's level, they never decide alone: by
+Gaussian over neighbouring lines along the document tree: where one region ends and another begins,
+lines stand ``GAP`` further apart. Hints then weaken a line's level: by
 ``KIND`` in elements that are boilerplate by their kind (nav, footer, aside, form, ... or a container
 whose class, id or role names a menu, an advert, comments, ...), by ``OUTSIDE`` (the
 nearer to it, the more text they hold) outside a page's article and main elements. Two means of the levels give a threshold, ``cut`` of
@@ -10,9 +11,12 @@ the way from the low to the high one, that parts the lines into two clusters.
 
 A region is an element that can hold a whole text (article, main, section, div, td, body). Its worth
 is the characters of its lines in the high cluster less those of its lines in the low one; the region
-of the highest worth is the content, widened to the article or main element around it if that is worth
-anything. It gives all of its lines, short ones too, but those of the low cluster that a hint weakened
-or that stand in a list of at least ``LINKS`` lines of link text alone.
+of the highest worth is the content. Without an h1 it is widened to a region around it, not the page, that
+has one and is worth ``WIDE`` as much. If lines of the low cluster show that it holds more than the content, it is
+left for a region inside that has two or more lines of the high cluster, at least ``SHARE`` of the worth and every
+h1, unless it has high lines of its own. Then it is widened to the article or main element around it if that is worth anything. It gives all of its lines, short ones and
+lists of links too, but those of the low cluster that a hint weakened or, where the region is the page
+as a whole, that stand in a list of at least ``LINKS`` lines of link text alone.
 
 Character references are decoded, white space in a line becomes one space, lines are trimmed, empty
 ones go, the rest is joined by ``\\n`` in page order. Null, empty and text-free pages, and pages
@@ -45,7 +49,7 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising breadcrumb br
 OUTER_NAMES = frozenset("banner copyright dropdown footer header login masthead topbar".split())  # hints outside articles only
 OWN_NAMES = frozenset("article entry post title".split())  # as in "entry-header": no outer hint
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-SIGMA, CUT, KIND, OUTSIDE, LINKS = 1.0, 0.5, 0.2, 0.5, 3
+SIGMA, CUT, KIND, OUTSIDE, LINKS, GAP, SHARE, WIDE = 1.0, 0.5, 0.2, 0.5, 3, 1.0, 0.5, 0.9
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -57,6 +61,7 @@ class Line(NamedTuple):
     region: int
     article: int  # the region of the article or main element around it, 0 for none
     group: int  # the innermost block element that is no paragraph, for lists of links
+    top: bool  # in an h1
 
 
 class _Lines(HTMLParser):
@@ -66,6 +71,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.outer = [0]  # region 0 is the page
+        self.body = 0  # the body's region
         self.open: list[tuple[str, bool, bool, int, int, int]] = []  # name, skipped, hinted, region, article, group
         self.parts: list[str] = []
         self.tags = self.links = self.link_depth = self.groups = 0
@@ -78,7 +84,7 @@ class _Lines(HTMLParser):
         if text:
             _, hinted, region, article, group = self.state()
             linked = min(1.0, self.links / len(text))
-            self.lines.append(Line(text, math.log1p(len(text) * (1 - linked) / max(1, self.tags)), linked, hinted, region, article, group))
+            self.lines.append(Line(text, math.log1p(len(text) * (1 - linked) / max(1, self.tags)), linked, hinted, region, article, group, any(x[0] == "h1" for x in self.open[-3:])))
         self.parts, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -106,6 +112,7 @@ class _Lines(HTMLParser):
         if tag in REGIONS:
             self.outer.append(region)
             region = len(self.outer) - 1
+            self.body = region if tag == "body" else self.body
             article = article or (region if tag in ("article", "main") else 0)
         if tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "tr", "td", "th"):
             self.groups += 1
@@ -146,16 +153,16 @@ class _Lines(HTMLParser):
                 self.links += len(data.strip())
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian means over neighbouring lines, normalised at the ends."""
-    reach = max(1, int(np.ceil(3 * sigma)))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    total, weight = np.zeros(len(ratios)), np.zeros(len(ratios))
-    for k, w in zip(range(-reach, reach + 1), kernel, strict=True):
-        to, of = slice(max(0, k), len(ratios) + min(0, k)), slice(max(0, -k), len(ratios) - max(0, k))
-        if abs(k) < len(ratios):
-            total[to] += w * ratios[of]
-            weight[to] += w
+def smoothed(ratios: np.ndarray, sigma: float = SIGMA, place: np.ndarray | None = None) -> np.ndarray:
+    """Gaussian means over neighbouring lines, normalised at the ends. place: where the lines stand, ascending by 1 or more; else one after another."""
+    place = np.arange(len(ratios)) if place is None else place
+    total, weight = ratios.astype(float), np.ones(len(ratios))
+    for k in range(1, min(max(1, int(np.ceil(3 * sigma))), len(ratios) - 1) + 1):
+        w = np.exp(-0.5 * ((place[k:] - place[:-k]) / sigma) ** 2)
+        total[k:] += w * ratios[:-k]
+        total[:-k] += w * ratios[k:]
+        weight[k:] += w
+        weight[:-k] += w
     return total / weight
 
 
@@ -183,26 +190,46 @@ def main_text(html: str | None, sigma: float = SIGMA, cut: float = CUT) -> str:
     length = sum(len(x.text) for x in lines if not x.hinted)
     share = sum(len(x.text) for x in lines if x.article and not x.hinted) / length
     factor = np.array([(KIND if x.hinted else 1.0) * (1.0 if x.article else 1.0 - (1.0 - OUTSIDE) * share) for x in lines])
-    level = factor * smoothed(np.array([x.ratio for x in lines]), sigma)
+    region_of = np.array([x.region for x in lines])
+    place = np.arange(len(lines)) + GAP * np.r_[0, np.cumsum(region_of[1:] != region_of[:-1])]
+    level = factor * smoothed(np.array([x.ratio for x in lines]), sigma, place)
     low, high = two_means(level)
     content = level >= low + cut * (high - low)
-    worth, top_article = [0] * len(outer), {x.region: x.article for x in lines}
+    worth, high_lines, low_lines, tops = ([0] * len(outer) for _ in range(4))
+    top_article = {x.region: x.article for x in lines}
+    own = {x.region for x, good in zip(lines, content, strict=True) if good or x.top}
     for x, good in zip(lines, content, strict=True):
         worth[x.region] += len(x.text) if good else -len(x.text)
+        (high_lines if good else low_lines)[x.region] += 1
+        tops[x.region] += x.top and not x.hinted
+    inner: dict[int, list[int]] = {}
     for region in range(len(outer) - 1, 0, -1):  # inner regions have higher numbers
-        worth[outer[region]] += worth[region]
+        inner.setdefault(outer[region], []).append(region)
+        for sums in (worth, high_lines, low_lines, tops):
+            sums[outer[region]] += sums[region]
     used = sorted({x.region for x in lines} | {0})
     for region in list(used):
         while region:
             region = outer[region]
             used.append(region)
     best = max(sorted(set(used)), key=lambda r: worth[r])
+    up = outer[best]
+    while up not in (0, parser.body) and not tops[best] and worth[up] >= WIDE * worth[best]:
+        best = up if tops[up] else best
+        up = outer[up]
+    while best not in own and best in inner:
+        into = max(inner[best], key=lambda r: worth[r])
+        if low_lines[into] == low_lines[best] and high_lines[into] < high_lines[best]:
+            break
+        if high_lines[into] < 2 or worth[into] < SHARE * worth[best] or tops[into] < tops[best]:
+            break
+        best = into
     wide = top_article.get(best) or next((x.article for x in lines if x.article and _inside(best, x.article, outer)), 0)
     best = wide if wide and worth[wide] > 0 else best
     listed: dict[int, list[int]] = {}
     for i, x in enumerate(lines):
         listed.setdefault(x.group, []).append(i)
-    menus = {g for g, of in listed.items() if len(of) >= LINKS and all(lines[i].linked > 0.8 and not content[i] for i in of)}
+    menus = {g for g, of in listed.items() if best in (0, parser.body) and len(of) >= LINKS and all(lines[i].linked > 0.8 and not content[i] for i in of)}
     return "\n".join(x.text for x, good, f in zip(lines, content, factor, strict=True) if _inside(x.region, best, outer) and (good or (f == 1.0 and x.group not in menus)))
 
 

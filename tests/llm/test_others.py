@@ -124,6 +124,36 @@ def test_ratios_select_the_region():
     assert html_text.main_text(teaser).count(p) == 3
 
 
+def test_smoothing_decides_between_regions():
+    """Teasers among links are lines of high ratio between low ones: smoothing along the tree lowers them, the article's neighbours hold each other up."""
+    p = "Words of a real paragraph go here. " * 3
+    text = "<div>" + f"<p>{p}</p>" * 4 + "</div>"
+    teasers = "<div>" + "".join(f"<p><a href='/{i}'>A link of words {i}</a></p><p>A teaser that says some words of what is told on the page behind</p>" for i in range(12)) + "</div>"
+    want = "\n".join([p.strip()] * 4)
+    assert html_text.main_text(f"<body>{teasers}{text}</body>") == want
+    assert "teaser" in html_text.main_text(f"<body>{teasers}{text}</body>", sigma=0.05)
+    assert html_text.main_text(f"<body>{teasers}{text}</body>", cut=-1.0) != want
+    far = html_text.smoothed(np.array([0.0, 3.0, 0.0]), 1.0, np.array([0.0, 1.0, 3.0]))
+    assert far[2] == pytest.approx(3 * np.exp(-2) / (1 + np.exp(-2) + np.exp(-4.5)))
+
+
+def test_lists_of_links_in_an_article_stay():
+    p = "Words of a real paragraph go here. " * 6
+    items = "".join(f"<li><a href='/{i}'>Source {i}</a></li>" for i in range(3))
+    want = f"{p.strip()}\nSource 0\nSource 1\nSource 2\n{p.strip()}"
+    for tag in ("article", "main", "div"):
+        assert html_text.main_text(f"<body><nav><a href='/'>Home</a></nav><{tag}><p>{p}</p><ul>{items}</ul><p>{p}</p></{tag}></body>") == want
+    flat = f"<body><ul>{items}</ul><p>{p}</p><p>{p}</p></body>"  # no region but the page: a menu
+    assert html_text.main_text(flat) == f"{p.strip()}\n{p.strip()}"
+
+
+def test_inner_region_keeps_the_heading():
+    p = "Words of a real paragraph go here. " * 6
+    inside = f"<div><div><h1>Title</h1></div><div><p>{p}</p><p>{p}</p><p>{p}</p></div></div>"
+    page = f"<body><div>An advert says this in words.</div>{inside}<div>Someone owns the rights to this page.</div></body>"
+    assert html_text.main_text(page) == "Title\n" + "\n".join([p.strip()] * 3)
+
+
 def test_two_means_and_smoothing():
     assert html_text.two_means(np.array([1.0, 1.0])) == (1.0, 1.0)
     assert html_text.two_means(np.array([0.0, 1.0, 9.0, 10.0])) == (0.5, 9.5)
@@ -139,6 +169,13 @@ def test_extract_without_articles_and_names(spark):
         assert np.mean([html_text.main_text(change(r.html)) == html_text.main_text(r.html) for r in rows]) >= 0.95
 
 
+def test_extract_with_neutral_containers(spark):
+    """Every telling element a div, every name gone: ratios and regions alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    neutral = lambda html: re.sub(r' (?:class|id|role)="[^"]*"', "", re.sub(r"(</?)(?:nav|aside|footer|header|form|article|main|section)\b", r"\1div", html))
+    assert np.mean([html_text.main_text(neutral(r.html)) == html_text.main_text(r.html) for r in rows]) >= 0.95
+
+
 def test_extract_matches_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {}
