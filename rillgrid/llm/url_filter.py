@@ -71,7 +71,7 @@ def basket(url: str | None, host: str, path: str) -> list[str]:
     """The distinct tokens of a url. Digits count by their number, so that ids form no token of their own."""
     labels = host.split(".") if host else []
     out = {f"h:{x}" for x in labels} | {"s:" + ".".join(labels[k:]) for k in range(len(labels) - 1)}
-    out |= {"p:" + re.sub(r"\d+", lambda m: "9" * min(len(m[0]), 4), x) for x in path.split("/") if x}
+    out |= {"p:" + re.sub(r"\d+", lambda m: "9" * len(m[0]), x) for x in path.split("/") if x}
     query = re.search(r"\?([^#]*)", url or "")
     out |= {"q:" + x.partition("=")[0] for x in query[1].split("&") if x} if query else set()
     scheme, found, _ = (url or "").partition("://")

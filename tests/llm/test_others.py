@@ -230,6 +230,7 @@ def test_learned_rules_match_brute_force(spark, support, count):
 
 def test_long_schemes_are_told_apart():
     one, two = (url_filter.basket(u, *url_filter.parts(u)) for u in ("abcdefghijklmnopq://x.com/", "abcdefghijklmnopr://x.com/"))
+    assert "p:post-9999" in url_filter.basket("", "x.com", "/post-1234") and "p:post-99999999" in url_filter.basket("", "x.com", "/post-20240101")
     assert one != two and not any(t.startswith("scheme:") for t in url_filter.basket("x" * 100, "", ""))
 
 
