@@ -14,6 +14,7 @@ from rillgrid.plans.registry import query, r9
 from rillgrid.plans.session import checkpoint, shared_folder
 from rillgrid.plans.views import BANDS, table, with_views
 from rillgrid.sources import geotiff, tables
+from rillgrid.streaming import incremental
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -198,6 +199,20 @@ def resumed_parts(spark, sf):
     return r9(spark.read.parquet(path).groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"), F.sum("v").alias("total")))
 
 
+@query(with_views("daily", "SELECT row, count(*) AS n, round(sum(v), 9) AS total FROM daily GROUP BY row"))
+def followed_parts(spark, sf):
+    """CTL-5, 6: files that arrive in two goes, taken up in batches by runs that go on from each other; the last run has nothing to do."""
+    folder, path, state = (_place(spark, x) for x in ("arrivals", "followed", "followed-state"))
+    rows = views.daily(spark, sf).select("row", "col", "v")
+    runs = []
+    for part in ("row % 2 = 0", "row % 2 = 1", None):
+        if part:
+            rows.where(part).repartition(4, "row", "col").write.mode("append").parquet(folder)
+        runs.append(incremental.follow(spark, folder, "row long, col long, v double", path, state, key="row", files=2))
+    assert runs[0] and runs[1] and not runs[2] and [b["batch"] for r in runs for b in r] == list(range(len(runs[0]) + len(runs[1])))
+    return r9(spark.read.parquet(path).groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+
+
 # --- scenes ---------------------------------------------------------------------------------------
 
 
