@@ -510,3 +510,17 @@ def odd_rows():
     from tests.llm.conftest import odd_documents
 
     return odd_documents()
+
+
+@pytest.mark.parametrize(("given", "held"), [("10000", "500"), ("0", "500"), ("-1", "500"), ("200", "200")])
+def test_pipeline_bounds_batches(spark, given, held):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, given)
+        corpus_pipeline._bounded(spark)
+        assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
