@@ -25,12 +25,18 @@ def dates(stack: DataFrame, ts: str = "ts") -> list:
 
 
 def dense(stack: DataFrame, key: Sequence[str] = PIXEL, ts: str = "ts", v: str = "v", axis: Sequence | None = None) -> DataFrame:
-    """Every (pixel, date) once, v NULL where the stack has none: one shuffle by pixel, no cross join. Of repeated dates the largest value stays."""
-    axis = dates(stack, ts) if axis is None else list(axis)
+    """Every (pixel, date) once, v NULL where the stack has none: one shuffle by pixel, no cross join. Of repeated dates the largest value stays.
+
+    Without a given axis the dates are one value that a subquery finds, so they are neither in the plan nor on the driver.
+    """
     kind = stack.schema[ts].dataType
     held = stack.groupBy(*key, ts).agg(F.max(v).alias(v)).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col(v).isNotNull() & F.col(ts).isNotNull(), F.struct(ts, v)))).alias("held"))
-    grid = F.explode(F.array(*(F.lit(t).cast(kind) for t in axis)) if axis else F.array().cast(f"array<{kind.simpleString()}>"))
-    return held.select(*key, "held", grid.alias(ts)).select(*key, ts, F.try_element_at("held", F.col(ts)).alias(v))
+    if axis is None:
+        every = F.array_sort(F.collect_set(ts))
+        grid = stack.agg(F.when(F.size(every) > MOST_DATES, F.raise_error(F.lit(f"more than {MOST_DATES} dates"))).otherwise(every)).scalar()
+    else:
+        grid = F.array(*(F.lit(t).cast(kind) for t in axis)).cast(f"array<{kind.simpleString()}>")
+    return held.withColumn("axis", grid).select(*key, "held", F.explode("axis").alias(ts)).select(*key, ts, F.try_element_at("held", F.col(ts)).alias(v))
 
 
 def present(v: str = "v", nodata: float | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, Window, functions as F
 from rillgrid.functions import breaks, keys, spectral
 from rillgrid.operators import clustering, coregistration, endmembers, scenes, segmentation, series, stack
 from rillgrid.plans import break_sql, queries, views
-from rillgrid.plans.registry import query, r9
+from rillgrid.plans.registry import TIE, query, r9
 from rillgrid.plans.session import checkpoint, shared_folder
 from rillgrid.plans.views import BANDS, table, with_views
 from rillgrid.sources import geotiff, tables
@@ -161,6 +161,19 @@ def geotiff_stack(spark, sf):
     return r9(back.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), times.alias("ts"), F.col("value").alias("v")))
 
 
+@query(with_views("daily", "SELECT strftime(ts, '%Y%m%d_000000_x.tif') AS scene, CASE WHEN day(ts) % 3 > 0 THEN count(v) ELSE 0 END AS n, CASE WHEN day(ts) % 3 > 0 THEN round(sum(CAST(CAST(v AS FLOAT) AS DOUBLE)), 9) END AS total, CASE WHEN day(ts) % 3 > 0 THEN 'whole' ELSE 'no header' END AS state FROM daily GROUP BY ts"))
+def damaged_scenes(spark, sf):
+    """CTL-4: of every third day's scene the file is lost to other bytes; the others are read all the same, and each lost one is a row with its error."""
+    pixels, height = _daily_scenes(spark, sf)
+    path = _place(spark, "damaged")
+    geotiff.write(pixels, path, geotiff.Shape(height, views.WIDTH, 1, **_PLACE), ["v"])
+    lost = pixels.where("cast(substr(scene, 7, 2) as int) % 3 = 0").select("scene").distinct()
+    lost.select("scene", F.lit(0).cast("long").alias("place"), F.lit(b"no raster").alias("raw")).write.format("geotiff").mode("overwrite").save(path)
+    rows = geotiff.read(spark, path, errors="rows").groupBy("scene").agg(F.count(F.col("bands")[0]).alias("n"), F.sum(F.col("bands")[0]).alias("total"), F.max("error").alias("error"))
+    state = F.when(F.col("error").isNull(), "whole").when(F.col("error").contains("not a TIFF"), "no header").otherwise(F.col("error"))
+    return r9(rows.select("scene", "n", "total", state.alias("state")))
+
+
 @query(with_views("daily", "SELECT count(DISTINCT ts) AS files, true AS same FROM daily"))
 def geotiff_profiles(spark, sf):
     """SRC-14: size, reference system and transform agree over all files; their headers alone are read."""
@@ -426,6 +439,30 @@ def dtw_nearest(spark, sf):
     return r9(clustering.assign(v, np.array([r.v for r in rows], float)).drop("tables"))
 
 
+# One round of k-means: every series walks back from the end of the table to its nearest centre's start, by the least of
+# the three cells behind (on ties both steps, then the series' own); a centre's place becomes the mean of what meets it there.
+_ROUND = _DTW.split("dist AS")[0].replace("SELECT series, v, row_number()", "SELECT series, round(v, 9) AS v, row_number()") + """last AS (SELECT max(i) AS n FROM v),
+near AS (SELECT series, label, d FROM walk, last WHERE i = n AND j = n QUALIFY row_number() OVER (PARTITION BY series ORDER BY d, label) = 1),
+best AS (SELECT walk.* FROM walk JOIN near USING (series, label)),
+path AS (SELECT series, label, n AS i, n AS j FROM near, last
+  UNION ALL SELECT series, label, i, j FROM (SELECT p.series, p.label, b.i, b.j, row_number() OVER (PARTITION BY p.series ORDER BY b.d, b.i + b.j, b.j DESC) AS o
+  FROM path p JOIN best b ON b.series = p.series AND b.i BETWEEN p.i - 1 AND p.i AND b.j BETWEEN p.j - 1 AND p.j AND b.i + b.j < p.i + p.j) WHERE o = 1),
+mean AS (SELECT label, p.j, avg(v.v) AS v FROM path p JOIN v ON v.series = p.series AND v.i = p.i GROUP BY label, p.j),
+place AS (SELECT label, row_number() OVER (ORDER BY avg(v), min_by(v, j)) - 1 AS cluster FROM mean GROUP BY label)
+SELECT CAST(cluster AS INTEGER) AS cluster, CAST(j - 1 AS INTEGER) AS place, round(v, 9) AS v, (SELECT round(sum(d), 9) FROM near) AS inertia FROM mean JOIN place USING (label)"""
+
+
+@query(break_sql.recursive(with_views("daily obs", _ROUND).replace("\n, med AS", ", med AS")))
+def dtw_round(spark, sf):
+    """KRN-8: one round of DTW k-means from the first four series: assignment of all series, then the barycentres, in the order of their means."""
+    v = series.vectors(series.prepared(views.obs(spark, sf), scale=False))
+    v = checkpoint(v.withColumn("v", F.transform("v", lambda x: F.floor(x * 1e9 + TIE) / 1e9)))
+    rows = v.where("NOT exists(v, x -> x IS NULL)").orderBy("series").limit(4).collect()
+    centres, inertia = clustering.kmeans(v, 4, iterations=1, start={0: np.array([r.v for r in rows], float)})
+    out = clustering.centroid_table(spark, centres).select("cluster", F.posexplode("v").alias("place", "v"))
+    return r9(out.withColumn("inertia", F.lit(inertia)))
+
+
 _BAND = _DTW.replace("AS c FROM v, v c JOIN centre ON centre.series = c.series)", "AS c FROM v, v c JOIN centre ON centre.series = c.series WHERE abs(v.i - c.i) <= 3)").replace("NULL::DOUBLE AS up FROM", "NULL::DOUBLE AS up, NULL::DOUBLE AS lf FROM").replace("coalesce(l.up, 'inf'::DOUBLE)), u.d\n", "coalesce(l.up, u.lf, 'inf'::DOUBLE)), u.d, l.d\n")
 
 

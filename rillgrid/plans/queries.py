@@ -557,10 +557,11 @@ def _vectors(spark, sf):
     return checkpoint(series.vectors(series.prepared(views.obs(spark, sf))))
 
 
-@query(with_views("spectra", ", m AS (SELECT label AS k, " + ", ".join(f"round(avg({b}), 12) AS m{b}" for b in BANDS) + " FROM spectra WHERE label < 4 GROUP BY label), d AS (SELECT pixel, k, sqrt(" + " + ".join(f"({b} - m{b}) * ({b} - m{b})" for b in BANDS) + ") AS d FROM spectra, m), r AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY d, k) AS o FROM d) SELECT a.pixel AS series, a.k AS label, round(a.d, 9) AS distance, round(b.d - a.d, 9) AS margin FROM r a JOIN r b ON a.pixel = b.pixel AND a.o = 1 AND b.o = 2").replace("\n, m AS", ", m AS"))
+@query(with_views("spectra", ", m AS (SELECT label AS k, " + ", ".join(f"round(avg({b}), 12) AS m{b}" for b in BANDS) + " FROM spectra GROUP BY label), d AS (SELECT pixel, k, sqrt(" + " + ".join(f"({b} - m{b}) * ({b} - m{b})" for b in BANDS) + ") AS d FROM spectra, m), r AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY d, k) AS o FROM d) SELECT a.pixel AS series, a.k AS label, round(a.d, 9) AS distance, round(b.d - a.d, 9) AS margin FROM r a JOIN r b ON a.pixel = b.pixel AND a.o = 1 AND b.o = 2").replace("\n, m AS", ", m AS"))
 def euclid_assign(spark, sf):
     x = views.spectra(spark, sf)
-    centres = [[round(v, 12) for v in row] for row in endmembers.matrix(endmembers.mean_spectra(x, BANDS), BANDS, [0, 1, 2, 3])]
+    means = endmembers.mean_spectra(x, BANDS)
+    centres = [[round(v, 12) for v in row] for row in endmembers.matrix(means, BANDS, sorted(r.label for r in means.select("label").collect()))]
     return r9(clustering.euclid_assign(x.select(F.col("pixel").alias("series"), F.array(*BANDS).alias("v")), centres))
 
 
