@@ -118,6 +118,8 @@ CLEAR, END, MOST = 256, 257, 3836  # MOST: codes between two clearings, when the
 _WIDTHS = np.array([min(12, max(9, (258 + i).bit_length())) for i in range(4096)])  # of the i-th code since a clearing
 _STARTS = np.r_[0, np.cumsum(_WIDTHS)]
 
+LONG = 16  # bytes of a word, beyond which packing looks words up whole
+
 
 def unpacked(data: bytes) -> bytes:
     """What LZW packed: the codes up to each clearing are cut out of the bits together, then followed one by one."""
@@ -152,31 +154,39 @@ def unpacked(data: bytes) -> bytes:
 
 
 def packed(data: bytes) -> bytes:
-    """LZW of data."""
+    """LZW of data, byte by byte; words of more than LONG bytes, such as those of nodata, are found by doubling and halving a length, as the table holds every beginning of its words."""
     codes, since, width_at = [CLEAR], [0], 0
-    table, word = {}, -1
-    for byte in data:
-        if word < 0:
-            word = byte
-            continue
-        key = word << 8 | byte
-        known = table.get(key)
-        if known is not None:
-            word = known
-            continue
-        codes.append(word)
-        since.append(width_at)
-        width_at += 1
-        table[key] = 257 + width_at
-        word = byte
-        if width_at == MOST:
-            codes.append(CLEAR)
-            since.append(width_at)
-            table, width_at = {}, 0
-    if word >= 0:
+    table, long, at, n, last = {}, {}, 0, len(data), 0
+    while at < n:
+        word, end = data[at], at + 1
+        if long and data[at : at + LONG + 1] in long:
+            low, step = LONG + 1, 1
+            if last > low and at + last <= n:
+                low, high = (last, n - at + 1) if data[at : at + last] in long else (low, last)
+            else:
+                high = n - at + 1
+            while low + step < high and data[at : at + low + step] in long:
+                low, step = low + step, 2 * step
+            high = min(high, low + step)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if data[at : at + middle] in long else (low, middle)
+            word, end = long[data[at : at + low]], at + low
+        while end < n and (known := table.get(word << 8 | data[end])) is not None:
+            word, end = known, end + 1
         codes.append(word)
         since.append(width_at)
         width_at += 1
+        last = end - at
+        if end < n:
+            table[word << 8 | data[end]] = 257 + width_at
+            if last >= LONG:
+                long[data[at : end + 1]] = 257 + width_at
+            if width_at == MOST:
+                codes.append(CLEAR)
+                since.append(width_at)
+                table, long, width_at = {}, {}, 0
+        at = end
     codes.append(END)
     since.append(width_at)
     held, wide = np.array(codes, np.uint32), _WIDTHS[since]
@@ -593,7 +603,9 @@ def blocks(pixels: DataFrame, shape: Shape, values: Sequence[str], scene: str =
     tile = F.lit(shape.tile)
     inside = pixels.where((F.col("row") >= 0) & (F.col("row") < shape.height) & (F.col("col") >= 0) & (F.col("col") < shape.width))
     place = (F.expr(f"row div {shape.tile}") * shape.across + F.expr(f"col div {shape.tile}")).cast("long")
-    return inside.select(F.col(scene).cast("string").alias("scene"), place.alias("place"), (F.col("row") % tile).cast("int").alias("row"), (F.col("col") % tile).cast("int").alias("col"), *(F.col(n).cast("double") for n in names)).groupBy("scene", "place").applyInPandas(run, "scene string, place long, raw binary")
+    # As many tasks as the session names: a few pixels may make a large block, so Spark must not join partitions by their size.
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inside.select(F.col(scene).cast("string").alias("scene"), place.alias("place"), (F.col("row") % tile).cast("int").alias("row"), (F.col("col") % tile).cast("int").alias("col"), *(F.col(n).cast("double") for n in names)).repartition(n, "scene", "place").groupBy("scene", "place").applyInPandas(run, "scene string, place long, raw binary")
 
 
 def write(pixels: DataFrame, folder: str, shape: Shape, values: Sequence[str], scene: str = "scene", mode: str = "append") -> None:

@@ -229,6 +229,16 @@ def test_raster_tables_and_files(spark, tmp_path):
     raster.register(spark)
     got = {(r.row, r.col): r.bands for r in spark.read.format("raster").option("path", str(tmp_path / "npy" / "*.npy")).option("tile_rows", 2).load().collect()}
     assert got == {(r, c): [float(x[0, r, c]), float(x[1, r, c])] for r in range(5) for c in range(3)}
+    (tmp_path / "other").mkdir()
+    np.save(tmp_path / "other" / "turned.npy", np.asfortranarray(x.astype(">f4")))
+    np.save(tmp_path / "other" / "flat.npy", x[1].astype("int16"))
+    np.save(tmp_path / "other" / "flat_turned.npy", np.asfortranarray(x[1]))
+    np.save(tmp_path / "other" / "none.npy", np.empty((0, 3)))
+    both = spark.read.format("raster").option("path", f"file://{tmp_path}/other/*.npy").option("tile_rows", 2).load().collect()
+    assert {(r.row, r.col): r.bands for r in both if r.scene == "turned"} == got
+    for scene in ("flat", "flat_turned"):
+        assert {(r.row, r.col): r.bands for r in both if r.scene == scene} == {k: v[1:] for k, v in got.items()}
+    assert len(both) == 45
     listing = tables.files(spark, str(tmp_path / "npy"), "*.npy")
     assert tables.newest(listing).endswith("scene1.npy") and tables.newest(listing.limit(0)) is None
     model = tables.load_or_fit(spark, str(tmp_path / "m"), lambda: df)

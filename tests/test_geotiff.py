@@ -125,3 +125,32 @@ def test_nothing_and_zeros(spark, tmp_path):
     assert os.listdir(folder) == [] and g.read(spark, folder).count() == 0
     form = g.layout(*g.tags(g.header(g.Shape(5, 5, 1, 16), {})))[0]
     assert np.array_equal(g.decoded(b"", 0, form), np.full((5, 5, 1), -9999.0, "f4"))
+
+
+def test_lzw_of_long_and_short_words():
+    """Runs, periods, noise and clearings come back, and packing finds the longest word of its table each time."""
+
+    def plain(data):
+        codes, table, word = [], {bytes([i]): i for i in range(256)}, b""
+        for byte in data:
+            if word + bytes([byte]) in table:
+                word += bytes([byte])
+                continue
+            codes.append(table[word])
+            table[word + bytes([byte])] = len(table) + 2
+            word = bytes([byte])
+            if len(codes) % g.MOST == 0:
+                codes.append(g.CLEAR)
+                table = {bytes([i]): i for i in range(256)}
+        return [g.CLEAR, *codes, *([table[word]] if word else []), g.END]
+
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, int(rng.choice([1, 2, 256])), int(rng.integers(0, 900)), dtype=np.uint8).tobytes() * int(rng.integers(1, 4)) for _ in range(60)]
+    for data in [b"", b"a", bytes(200_000), np.full(9000, -9999.0, "<f4").tobytes(), rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes(), *parts, b"".join(parts)]:
+        assert g.unpacked(g.packed(data)) == data
+        codes, bits, held = plain(data), "".join(f"{b:08b}" for b in g.packed(data)), 0
+        if len(codes) < 3000:
+            for k, code in enumerate(codes):
+                wide = min(12, max(9, (258 + max(0, k - 1)).bit_length()))
+                assert int(bits[held : held + wide], 2) == code
+                held += wide
