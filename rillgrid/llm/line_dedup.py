@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rillgrid.llm.scratch import written
+from rillgrid.llm.scratch import small, written
 
 MIN_SITES = 10
 SKETCH_BITS = 6  # 64 registers: a standard error of 13 %
 BAND = 0.5  # estimates within this share of the threshold are counted exactly
-BROADCAST_ROWS = 500_000  # more boilerplate lines than these go through a shuffle
+NO_ID_PARTS = 64  # rows with a null id meet what they lose in so many parts
 
 
 def _trimmed(line: Column) -> Column:
@@ -43,23 +43,22 @@ def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site
         seen.where(f"n_docs >= {int(min_sites)}").withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= min_sites * (1 - BAND)).drop("sketch"), "likely-lines"
     )
     near = likely.where(F.col("sites") <= min_sites * (1 + BAND)).select("line")
-    exact = lines.join(_small(near, likely), "line", "left_semi").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count("*").alias("exact"))
+    exact = lines.join(small(near), "line", "left_semi").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count("*").alias("exact"))
     return written(likely.join(exact, "line", "left").withColumn("sites", F.coalesce("exact", "sites")).drop("exact").where(F.col("sites") >= min_sites), "boilerplate")
 
 
-def _small(df: DataFrame, counted: DataFrame) -> DataFrame:
-    return F.broadcast(df) if counted.count() <= BROADCAST_ROWS else df
-
-
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with the same columns and rows; text_col without lines that are boilerplate and first seen in another document."""
     found = spread(docs, id_col, text_col, site_col, min_sites)
-    hits = _lines(docs, id_col, text_col, site_col).join(_small(found.select("line", "first_id"), found), "line").where("NOT (id <=> first_id)")
+    hits = _lines(docs, id_col, text_col, site_col).join(small(found.select("line", "first_id")), "line").where("NOT (id <=> first_id)")
     drops = written(hits.groupBy("id").agg(F.collect_set("line").alias("lines")), "line-drops")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.toDF(*names.values())
     id_, text = F.col(names[id_col]), F.col(names[text_col])
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(_trimmed(x)))), "\n")
-    # Texts and drops meet in a shuffle at every size: a broadcast of small drops would only hide what large ones cost.
-    joined = plain.hint("merge").join(drops.withColumnRenamed("id", "drop_id"), id_.eqNullSafe(F.col("drop_id")), "left")
+    # Texts stay where they are if what goes from them fits a broadcast; beyond that both sides are shuffled by id, those without one by a hash of the text.
+    parts = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(NO_ID_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    part = F.when(id_.isNull(), F.pmod(F.xxhash64(text), F.lit(NO_ID_PARTS))).otherwise(0).cast("int")
+    sent = small(drops.select(F.col("id").alias("drop_id"), F.explode(parts).alias("part"), "lines"))
+    joined = plain.join(sent, id_.eqNullSafe(F.col("drop_id")) & (part == F.col("part")), "left")
     return joined.select(*(F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()))

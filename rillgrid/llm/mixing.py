@@ -216,7 +216,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.mapInArrow(_sizes, f"{kinds}, source string, place long, text string, size long").drop("text")
     drawn = _shards(rows, sources, deals).select(*names, "place", F.posexplode("shards").alias("pass", "shard"))
     order = F.xxhash64(F.lit(seed), "place", "pass")
-    return drawn.repartition(shards, "shard").sortWithinPartitions("shard", order).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    return drawn.repartitionById(shards, "shard").sortWithinPartitions("shard", order).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

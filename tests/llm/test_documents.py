@@ -257,6 +257,26 @@ def test_line_dedup(spark, least):
     assert {(r.doc_id, r.source, r.text) for r in out.collect()} == brute_lines(rows, least)
 
 
+def test_line_dedup_beyond_a_broadcast_and_without_ids(spark, monkeypatch):
+    """Joins that shuffle give what broadcasts give; rows with a null id lose all boilerplate, wherever their text sends them."""
+    rows = [(k if k % 3 else None, f"common line\nown {k}" if k % 5 else "common line", f"s{k % 15}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sent = sorted(map(str, line_dedup.remove_boilerplate(df).collect()))
+    monkeypatch.setattr(line_dedup, "small", lambda df: df)
+    shuffled = line_dedup.remove_boilerplate(df)
+    assert sorted(map(str, shuffled.collect())) == sent
+    assert {r.text for r in shuffled.collect() if r.doc_id is None and r.text is not None} == {f"own {k}" for k in range(0, 90, 3) if k % 5} | {""}
+    assert [r.text for r in shuffled.where("text LIKE 'common line%'").collect()] == ["common line\nown 1"]
+
+
+def test_shards_have_a_task_each(spark):
+    df = spark.createDataFrame([(k, "word " * (1 + k % 7), f"s{k % 4}") for k in range(400)], "doc_id long, text string, source string")
+    _, sources, deals, shards = mixing.plan(df, shards=24)
+    held = mixing.mix(df, shards=24).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    dealt = mixing.taken(df, shards=24).select(F.explode("shards").alias("p")).groupBy("p").count().collect()
+    assert shards == 24 and {r.p: r["count"] for r in held} == {r.p: r["count"] for r in dealt} and len(held) > 20
+
+
 def test_line_dedup_empty_and_repeated(odd, none):
     assert line_dedup.remove_boilerplate(none).count() == 0
     assert line_dedup.remove_boilerplate(odd).count() == odd.count()
