@@ -56,9 +56,9 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = docs.toDF(*names.values())
     id_, text = F.col(names[id_col]), F.col(names[text_col])
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("lines"), F.xxhash64(_trimmed(x)))), "\n")
-    # Texts stay where they are if what goes from them fits a broadcast; beyond that both sides are shuffled by id, those without one by a hash of the text.
+    # One plan at every size: texts and what goes from them grow alike, so both are shuffled by id; rows without one go by a hash of the text.
     parts = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(NO_ID_PARTS - 1))).otherwise(F.array(F.lit(0)))
     part = F.when(id_.isNull(), F.pmod(F.xxhash64(text), F.lit(NO_ID_PARTS))).otherwise(0).cast("int")
-    sent = small(drops.select(F.col("id").alias("drop_id"), F.explode(parts).alias("part"), "lines"))
-    joined = plain.join(sent, id_.eqNullSafe(F.col("drop_id")) & (part == F.col("part")), "left")
+    sent = drops.select(F.col("id").alias("drop_id"), F.explode(parts).alias("part"), "lines")
+    joined = plain.hint("merge").join(sent, id_.eqNullSafe(F.col("drop_id")) & (part == F.col("part")), "left")
     return joined.select(*(F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()))
