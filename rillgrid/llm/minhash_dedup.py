@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rillgrid.llm import components, tokens as tk
-from rillgrid.llm.scratch import KEYS_BYTES, small, written
+from rillgrid.llm.scratch import KEYS_BYTES, bounded, small, written
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 LARGE = 64  # members of an unsettled bucket that is dealt anew
@@ -206,18 +206,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()  # the worker lives on and does other tasks
 
 
-def _standing(rows: DataFrame, several: DataFrame) -> DataFrame:
-    """One row of each id: for ids with several texts the one that stands for the id. several: (id, s), the digest of that text."""
+def _standing(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """One row of each id, of a text with a set. again: (id, s) of ids with several such rows, s the digest of the text that stands for the id; None without any. Only those ids' rows are shuffled."""
+    rows = rows.where("n_shingles > 0")
+    if again is None:
+        return rows
     same = " AND ".join(f"s.{c} = {c}" for c in EQUAL)
-    return rows.join(small(several), "id", "left").where(f"s IS NULL OR ({same})").drop("s").dropDuplicates(["id"])
+    return rows.join(small(again), "id", "left_anti").unionByName(rows.join(small(again), "id").where(same).drop("s").dropDuplicates(["id"]))
 
 
-def _distances(pairs: DataFrame, docs: DataFrame, several: DataFrame, width: int, name: str) -> DataFrame:
+def _distances(pairs: DataFrame, docs: DataFrame, again: DataFrame | None, width: int, name: str) -> DataFrame:
     """Written (a, b, both, union) of the pairs (a, b): sets are made only for texts that stand in a pair."""
     pairs = written(pairs, f"{name}-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     named = docs.join(small(ids, KEYS_BYTES), "id", "left_semi")
-    sets = written(_standing(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, n_shingles long, h1 long, h2 long, members binary"), several).select("id", "members"), f"{name}-sets")
+    rows = written(named.mapInArrow(_sets(width), f"id {dict(docs.dtypes)['id']}, n_shingles long, h1 long, h2 long, members binary"), f"{name}-sets")
+    sets = _standing(rows, again).select("id", "members")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     kind = dict(docs.dtypes)["id"]
     return written(joined.mapInArrow(_confirm, f"a {kind}, b {kind}, both long, `union` long"), f"{name}-found")
@@ -237,6 +241,7 @@ def _across(members: DataFrame, near: str, extra: str = "far") -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+@bounded
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (75, 100), width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, n_shingles, class_id (smallest id with an equal set), component_id, kept: a row for each row.
 
@@ -249,17 +254,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(source.mapInArrow(_sketch(width, bands, rows), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>"), "sketches")
     known = sketches.where("n_shingles > 0 AND id IS NOT NULL")
     digest = F.struct(*EQUAL)
-    several = written(known.groupBy("id").agg(F.min(digest).alias("s"), F.max(digest).alias("t")).where("s != t").select("id", "s"), "several")
-    one = known.join(small(several), "id", "left").where("s IS NULL OR (s.n_shingles = n_shingles AND s.h1 = h1 AND s.h2 = h2)").drop("s")
-    classes = one.groupBy(*EQUAL).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    copied = written(classes.where("copies > 1").drop("copies"), "classes")
+    again = written(known.groupBy("id").agg(F.min(digest).alias("s"), F.count("*").alias("rows")).where("rows > 1").select("id", "s"), "again")
+    again = None if again.isEmpty() else again
+    one = _standing(known, again)
+    # Bands go with their class: one shuffle of them at any size, and no join that moves them again.
+    classes = written(one.groupBy(*EQUAL).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    copied = classes.where("copies > 1").select(*EQUAL, "class_id")
     member = sketches.join(copied, EQUAL, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
-    reps = one.join(copied, EQUAL, "left").where("class_id IS NULL OR class_id = id").dropDuplicates(["id"])
-    spread = reps.select("id", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
+    spread = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
+    # One leader for all buckets of a group, so that its members are compared once, not once for each band.
+    shared = spread.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(shared, "shared")
-    buckets = written(spread.join(small(shared), "band"), "buckets")
-    led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, several, width, "led")
+    buckets = written(spread.join(shared, "band"), "buckets")
+    led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, again, width, "led")
     link = F.col("both") * den >= F.col("union") * num
     first = components.smallest_reachable(led.where(link).select("a", "b"))
     # What a leader has not settled: members of a bucket that lie in different components.
@@ -271,20 +278,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "placed",
     )
     open_ = written(placed.join(small(_unsettled(placed, "mixed")), "band"), "open")
-    lows = one.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low").dropDuplicates(["id"])
+    lows = one.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low")
     few = written(open_.where(f"members <= {LARGE}").join(lows, "id"), "few")
     near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
     rest = _across(few, near)
     many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
     if not many.isEmpty():
         chosen = source.join(small(many.select("id"), KEYS_BYTES), "id", "left_semi")
-        fine = written(_standing(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), several).select("id", "bands", "low", "half"), "fine")
+        fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), "fine")
+        fine = _standing(fine, again).select("id", "bands", "low", "half")
         dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
-        again = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "again").join(fine.select("id", "low", "half"), "id")
+        left = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "fine-open").join(fine.select("id", "low", "half"), "id")
         alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
-        far_rest = _across(again.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
+        far_rest = _across(left.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
         rest = rest.unionByName(far_rest).distinct()
-    late = _distances(rest, source, several, width, "late")
+    late = _distances(rest, source, again, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
     return (

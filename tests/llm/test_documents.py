@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from rillgrid.llm import components, language_model, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, tokens as tk
+from rillgrid.llm import components, language_model, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, scratch, tokens as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,6 +137,33 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     check_near(df)
 
 
+def test_near_copies_meet_one_leader(spark, monkeypatch):
+    """Each of a group's members is compared with its leader, not with one for each band; batches of the session stay as they were."""
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = scratch.written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(minhash_dedup, "written", kept)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :])) for i in range(30)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert tables["led-pairs"].count() <= 3 * len(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("empty", [None, " ", ""])
+def test_an_empty_row_beside_a_text_of_one_id(spark, empty):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30 ", "x ")
+    rows = [(1, empty), (1, text), (2, near), (2, empty), (3, near + " y"), (3, near + " y")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == len(rows) and all(r.component_id == 1 for r in got if r.n_shingles)
+    assert sorted((r.doc_id, r.n_shingles) for r in got) == [(1, 0), (1, 56), (2, 0), (2, 56), (3, 57), (3, 57)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     got = {r.id: r.component for r in components.smallest_reachable(spark.createDataFrame(chain, "a long, b long")).collect()}
