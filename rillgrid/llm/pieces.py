@@ -7,7 +7,8 @@ of a prefix is the last piece of its encoding instead of a score: a piece may fo
 merging both alone leaves them as they are, and exactly one does, so one forward pass
 gives the ids that merging gives. No piece holds a mark after
 another character (checked on loading), so a text falls into marked words, a run
-of marks and the characters up to the next, that are solved apart. The distinct words
+of marks and the characters up to the next, that are solved apart; for a BPE file so is the punctuation at a word's end
+that no piece joins to what is before. The distinct words
 of some texts are sorted, which makes neighbours share prefixes: a walk along them is a
 depth-first walk of their trie, and the forward scores of the common prefix stay. Ties
 go to the longer last piece. A character that no piece begins with becomes its bytes'
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from rillgrid.llm import tokens as tk
 
 MARK = "▁"
+OWN = " " + MARK  # in words these stand for other characters
 CACHE = 400_000
 FORBIDDEN = -1e30
 
@@ -52,6 +56,7 @@ class Vocabulary:
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces that cross a word's end, as {crossing[0]!r}, are not supported")
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours inside a piece
         used = set("".join(self.ids))
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in used)
         self.words = re.compile(f"[{alone}]| +[^ {alone}]*|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+")
@@ -102,9 +107,16 @@ class Vocabulary:
             known = self.apart[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
 
+    def cut(self, word: str) -> int:
+        """Where the punctuation at word's end begins, if no piece joins it to what is before; else 0. Merging never crosses that place, so both sides have the ids that they have alone."""
+        at = len(word.rstrip(punctuation))
+        return at if self.merges and 0 < at < len(word) and word[at - 1] not in OWN and word[at - 1 : at + 1] not in self.joined else 0
+
     def solve(self, words: Sequence[str]) -> Iterator[list[int]]:
         """The ids of each of the sorted distinct words, spaces for marks."""
-        step = self._last_piece if self.merges else self._best_score
+        if self.merges:
+            yield from self._solve_merges(words)
+            return
         states: list = [(0.0, 0, "")]  # of each prefix: score, begin of the last piece, the piece
         last = ""
         for word in words:
@@ -114,19 +126,50 @@ class Vocabulary:
             del states[keep + 1 :]
             form = word.replace(MARK, "\0").replace(" ", MARK)
             for end in range(keep + 1, n + 1):
-                states.append(step(form, end, states))
+                states.append(self._best_score(form, end, states))
             last, out, end = word, [], n
             while end:
                 _, start, piece = states[end]
-                if piece:
-                    out.append(self.ids[piece])
-                elif self.byte_ids:
-                    out.extend(self.byte_ids[b] for b in reversed(word[end - 1].encode()))
-                else:
-                    out.append(self.unknown)
+                out.extend((self.ids[piece],) if piece else self._unknown(word[end - 1]))
                 end = start
             yield out[::-1]
 
+    def _unknown(self, character: str) -> list[int]:
+        """The ids of a character that no piece begins with, the last first."""
+        return [self.byte_ids[b] for b in reversed(character.encode())] if self.byte_ids else [self.unknown]
+
+    def _solve_merges(self, words: Sequence[str]) -> Iterator[list[int]]:
+        """The same by merging. Most of the time goes here, so the step over a character stands in the loop."""
+        ids, apart, lengths = self.ids, self.apart, self.lengths.get
+        pieces = [""]  # of each prefix: its last piece, empty for an unknown character
+        last, kept = "", 0
+        for word in words:
+            n, most, keep = len(word), min(len(word), kept), 0
+            while keep < most and word[keep] == last[keep]:
+                keep += 1
+            del pieces[keep + 1 :]
+            form = word.replace(MARK, "\0").replace(" ", MARK) if MARK in word else word.replace(" ", MARK)
+            for end in range(keep + 1, n + 1):
+                for size in lengths(form[end - 2 : end], ()) if end > 1 else ():
+                    if size <= end and (piece := form[end - size : end]) in ids:
+                        before = pieces[end - size]
+                        follows = apart.get((before, piece))
+                        if follows or follows is None and self.may_follow(piece, before):
+                            break
+                else:
+                    piece = self._last_character(form[:end], pieces[end - 1])
+                pieces.append(piece)
+            last, kept, out, end = word, n, [], n
+            while end:
+                if piece := pieces[end]:
+                    out.append(ids[piece])
+                    end -= len(piece)
+                else:
+                    out.extend(self._unknown(word[end - 1]))
+                    end -= 1
+            out.reverse()
+            yield out
+
     def _best_score(self, form: str, end: int, states: list) -> tuple:
         """The best last piece of the prefix up to end; no piece for an unknown character."""
         ids, scores = self.ids, self.scores
@@ -141,24 +184,12 @@ class Vocabulary:
             return states[end - 1][0] + self.penalty, end - 1, ""
         return top, start_at, last
 
-    def _last_piece(self, form: str, end: int, states: list) -> tuple:
-        """The last piece of the prefix up to end by merging; no piece for an unknown character."""
-        ids, apart = self.ids, self.apart
-        if end > 1:
-            for size in self.lengths.get(form[end - 2 : end], ()):
-                start = end - size
-                if start >= 0 and (piece := form[start:end]) in ids:
-                    before = states[start][2]
-                    follows = apart.get((before, piece))
-                    if follows or follows is None and self.may_follow(piece, before):
-                        return 0.0, start, piece
-        piece = form[end - 1]
-        if piece in ids:
-            if self.may_follow(piece, states[end - 1][2]):
-                return 0.0, end - 1, piece
-            piece = self.merged(form[:end])[-1]  # a piece that no two others make stood in the way: by the definition
-            return 0.0, end - len(piece), piece
-        return 0.0, end - 1, ""
+    def _last_character(self, prefix: str, before: str) -> str:
+        """The last piece of a prefix, after before, that ends with no piece of several characters; empty for an unknown character."""
+        piece = prefix[-1]
+        if piece not in self.ids:
+            return ""
+        return piece if self.may_follow(piece, before) else self.merged(prefix)[-1]  # a piece that no two others make stood in the way: by the definition
 
 
 class Encoder:
@@ -179,17 +210,26 @@ class Encoder:
         find = self.vocabulary.words.findall
         split = [find(" " + t) if t else [] for t in texts]
         number = self.number
-        new = sorted({w for ws in split for w in ws if w not in number})
+        new = set(chain.from_iterable(split)).difference(number)
         if new:
-            solved = list(self.vocabulary.solve(new))
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.flat = np.r_[self.flat, np.fromiter((i for s in solved for i in s), np.int32)]
-            self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(s) for s in solved])]
-        codes = np.fromiter((number[w] for ws in split for w in ws), np.int64)
+            cut = self.vocabulary.cut
+            halves = {w: (w[:at], w[at:]) for w in new if (at := cut(w))}
+            whole = sorted(new.difference(halves).union(chain.from_iterable(halves.values())).difference(number))
+            solved = list(self.vocabulary.solve(whole))
+            self._add(whole, np.fromiter(chain.from_iterable(solved), np.int32), np.array([len(s) for s in solved], np.int64))
+            codes = np.fromiter(map(number.__getitem__, chain.from_iterable(halves.values())), np.int64)
+            flat, length = gathered(self.flat, self.at, codes)
+            self._add(list(halves), flat, length.reshape(-1, 2).sum(1))
+        codes = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
         flat, length = gathered(self.flat, self.at, codes)
         per_text = np.r_[0, np.cumsum(np.array([len(ws) for ws in split], np.int64))]
         return flat, np.r_[0, np.cumsum(length)][per_text]
 
+    def _add(self, words: Sequence[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """Words and their ids, one after another."""
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.flat, self.at = np.r_[self.flat, ids], np.r_[self.at, self.at[-1] + np.cumsum(length)]
+
 
 def gathered(flat: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[at[c] : at[c + 1]] of all codes in turn, and their lengths."""

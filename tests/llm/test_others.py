@@ -64,6 +64,18 @@ def test_unigram_viterbi_is_optimal(words):
         assert sum(v.scores[i] if i else v.penalty for i in ids) == pytest.approx(best(word))
 
 
+def test_punctuation_at_an_end_is_solved_once(vocabulary, monkeypatch):
+    """Words that differ in it alone share their solution; the ids are the library's, joined or not."""
+    solved, solve = [], pieces.Vocabulary.solve
+    monkeypatch.setattr(pieces.Vocabulary, "solve", lambda self, words: solve(self, solved.extend(words) or words))
+    tails = ["", "%%%", "&&&", ".%%%", ".", ",", "...", ").", "'", "$$", "***", "?!", "_", '"', ".,;"]
+    words = ["réenoi", "Éier", "oulechaux", "don't", "a.b", "(x", "日本", "12", "x12", "\U0001f600", "é", "", "\x00", "e.g"]
+    texts = [f"{w}{t} {w}{t}" for w in words for t in tails] + ["%%%", " %%%", "  ..", "a %%% b", ""]
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    assert encoded(vocabulary, texts)[0] == [library.encode(t) for t in texts]
+    assert len([w for w in solved if w.startswith(" oulechaux")]) < len(tails) / 2 and len(solved) == len(set(solved))
+
+
 def test_pieces_refuse_crossing_pieces():
     with pytest.raises(ValueError, match="cross"):
         pieces.Vocabulary(["a▁b"], [0.0], [False], None)
