@@ -14,8 +14,10 @@ never with each other, so a bucket of near copies never emits its pairs. Jaccard
 distance is a metric: distances to the leader rule out pairs, and so do low bits of
 the coordinates (a pair at 0.75 falls below the limit once in 10^7). Members of an
 unsettled bucket of more than ``LARGE`` are dealt anew by 96 bands of 7 coordinates,
-which texts that merely share a passage seldom survive; there the join itself compares
-the shingles, so that near misses of a large group become no rows. A link is confirmed on full sets.
+which texts that merely share a passage seldom survive. A band makes a row only where
+another member may hold it too, as counters of hashed bands tell (none is lost; of two bands
+in one slot both stay). There the join itself compares the shingles, so that near misses of
+a large group become no rows. A link is confirmed on full sets.
 
 Rows with a null id are linked with nothing: their class and component are null, and they are kept.
 Null and empty texts have no set. Repeated rows of one id get the same result. Where an id's rows
@@ -37,6 +39,7 @@ from rillgrid.llm.scratch import KEYS_BYTES, bounded, small, written
 BANDS, ROWS, WIDTH = 32, 4, 5
 LARGE = 64  # members of an unsettled bucket that is dealt anew
 FINE_BANDS, FINE_ROWS, FINE = 96, 7, 1024
+SLOTS, BLOCKS = 1 << 24, 64  # counters of the finer bands, added up in blocks: a bit each, 2 MB, when shared
 EQUAL = ["n_shingles", "h1", "h2"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,6 +160,55 @@ def _fine(width: int):
     return run
 
 
+def _slots(batch: pa.RecordBatch) -> np.ndarray:
+    return tk.blocks_of(batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy().view(np.uint64), SLOTS)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of slots: those that this task has seen, and whether once (1) or more often (2)."""
+    total = np.zeros(SLOTS, np.uint8)
+    for batch in batches:
+        slot, n = np.unique(_slots(batch), return_counts=True)
+        total[slot] = np.minimum(total[slot] + n, 2)
+    for block, part in enumerate(np.split(total, BLOCKS)):
+        if len(seen := np.flatnonzero(part).astype(np.int32)):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([seen.tobytes()], pa.binary()), pa.array([part[seen].tobytes()], pa.binary())], names=["block", "seen", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each slot of a block: whether it was seen more than once in all."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, seen, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total, slot = held.setdefault(block, np.zeros(SLOTS // BLOCKS, np.uint8)), np.frombuffer(seen, np.int32)
+            total[slot] = np.minimum(total[slot] + np.frombuffer(counts, np.uint8), 2)
+    for block, total in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def _met(shared):
+    """id and those of its bands whose slot was seen more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, slot = batch.column(1), _slots(batch)
+            kept = (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+            at = bands.offsets.to_numpy() - bands.offsets[0].as_py()
+            ends = np.r_[0, np.cumsum(kept, dtype=np.int64)][at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), bands.flatten().filter(pa.array(kept.astype(bool))))], names=["id", "bands"])
+
+    return run
+
+
+def _meeting(texts: DataFrame) -> DataFrame:
+    """(id, bands) of texts (id, bands), without the bands that no other text can hold: the driver reads one bit for each slot."""
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in texts.select("bands").mapInArrow(_counts, "block int, seen binary, counts binary").repartition(BLOCKS, "block").mapInArrow(_added, "block int, bits binary").collect():
+        bits[r.block * (SLOTS // BLOCKS // 8) :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    return texts.mapInArrow(_met(shared), f"id {dict(texts.dtypes)['id']}, bands array<long>")
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = source.join(small(many.select("id"), KEYS_BYTES), "id", "left_semi")
         fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), "fine")
         fine = _standing(fine, again).select("id", "bands", "low", "half")
-        dealt = written(small(many).join(fine.select("id", "bands"), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
+        dealt = written(small(many).join(_meeting(fine.select("id", "bands")), "id").select("id", "c", F.explode("bands").alias("band")), "dealt")
         left = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "fine-open").join(fine.select("id", "low", "half"), "id")
         alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
         far_rest = _across(left.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")

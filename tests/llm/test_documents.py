@@ -154,6 +154,46 @@ def test_near_copies_meet_one_leader(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_finer_bands_make_rows_only_where_they_meet(spark, monkeypatch):
+    """Texts that share a passage, with links among them: a finer band of one text alone is not dealt, no link is lost."""
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = scratch.written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(minhash_dedup, "written", kept)
+    monkeypatch.setattr(minhash_dedup, "LARGE", 2)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"o{rng.integers(10**9)}" for _ in range(60)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(" p30 ", f" n{i} ", 1)) for i in range(0, 60, 6)]
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    dealt, many = tables["dealt"].groupBy("band").count(), tables["many"].count()
+    lone = dealt.where("count = 1").count()
+    assert many >= 40 and tables["dealt"].count() < 48 * many and lone <= 10  # two bands in one slot both stay
+    assert dealt.where("count > 1").count() == tables["fine"].join(tables["many"], "id").select(F.explode("bands").alias("band")).groupBy("band").count().where("count > 1").count() > 0
+
+
+def test_bands_of_several_tasks_are_counted_together():
+    def task(*lists):
+        return pa.record_batch({"id": pa.array(range(len(lists)), pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64()))})
+
+    one, other = task([1 << 50, 2 << 50], [], [-1]), task([2 << 50, 3 << 50], [-2, 5 << 50, 5 << 50])
+    counted = [b for t in (one, other, task()) for b in minhash_dedup._counts(iter([t]))]
+    bits = np.zeros(minhash_dedup.SLOTS // 8, np.uint8)
+    for batch in minhash_dedup._added(iter(counted)):
+        for block, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at = block * len(bits) // minhash_dedup.BLOCKS
+            bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
+
+    class Shared:
+        value = bits
+
+    got = [b.column(1).to_pylist() for t in (one, other, other.slice(1)) for b in minhash_dedup._met(Shared)(iter([t]))]
+    assert got == [[[2 << 50], [], [-1]], [[2 << 50], [-2, 5 << 50, 5 << 50]], [[-2, 5 << 50, 5 << 50]]]  # -1 and -2 stand in one slot
+
+
 @pytest.mark.parametrize("empty", [None, " ", ""])
 def test_an_empty_row_beside_a_text_of_one_id(spark, empty):
     text = " ".join(f"w{i}" for i in range(60))
