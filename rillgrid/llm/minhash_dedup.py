@@ -229,12 +229,14 @@ def _sketch(width: int, bands: int, rows: int):
 
 
 def _sets(width: int):
+    """id, digest and shingles of each text, and what columns come after id and text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, d, o in tk.chunks(*tk.column(batch, "text")):
                 sets, at = shingles(d, o, width)
                 values = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(sets.view(np.uint8) if len(sets) else np.zeros(1, np.uint8))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), values.cast(pa.binary())], names=["id", *EQUAL, "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in _digest(sets, at)), values.cast(pa.binary()), *(c.slice(lo, hi - lo) for c in batch.columns[2:])], names=["id", *EQUAL, "members", *batch.schema.names[2:]])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -279,6 +281,17 @@ def _distances(pairs: DataFrame, docs: DataFrame, again: DataFrame | None, width
     return written(joined.mapInArrow(_confirm, f"a {kind}, b {kind}, both long, `union` long"), f"{name}-found")
 
 
+def _led(buckets: DataFrame, docs: DataFrame, again: DataFrame | None, width: int) -> DataFrame:
+    """Written (a, b, both, union) of each leader a in buckets (id, leader) and member b. A member's leaders, one for each band at most, go with its text, so that sets meet in one shuffle."""
+    kind = dict(docs.dtypes)["id"]
+    met = written(buckets.groupBy("id").agg(F.collect_set(F.when(F.col("leader") != F.col("id"), F.col("leader"))).alias("leaders"), F.max(F.col("leader") == F.col("id")).alias("leads")), "led-pairs")
+    named = docs.join(small(met, KEYS_BYTES), "id").select("id", "text", "leaders", "leads")
+    rows = written(named.mapInArrow(_sets(width), f"id {kind}, n_shingles long, h1 long, h2 long, members binary, leaders array<{kind}>, leads boolean"), "led-sets")
+    sets = _standing(rows, again)
+    joined = sets.select(F.explode("leaders").alias("a"), F.col("id").alias("b"), F.col("members").alias("y")).join(sets.where("leads").select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
+    return written(joined.mapInArrow(_confirm, f"a {kind}, b {kind}, both long, `union` long"), "led-found")
+
+
 def _unsettled(placed: DataFrame, name: str) -> DataFrame:
     """(band, members, major) of the buckets whose members lie in several components; major holds the most."""
     held = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
@@ -286,11 +299,11 @@ def _unsettled(placed: DataFrame, name: str) -> DataFrame:
 
 
 def _across(members: DataFrame, near: str, extra: str = "far") -> DataFrame:
-    """Distinct (a, b), a < b, of one bucket and different components, where near holds. One of each pair is outside its bucket's largest component."""
+    """(a, b), a < b, of one bucket and different components, where near holds. One of each pair is outside its bucket's largest component."""
     left = members.where("c != major").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("far").alias("fa"), F.col("low").alias("la"), F.col(extra).alias("ha"))
     right = members.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("major").alias("m"), F.col("far").alias("fb"), F.col("low").alias("lb"), F.col(extra).alias("hb"))
     found = left.join(right, "band").where(f"cx != cy AND (cy = m OR x < y) AND {near}")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 @bounded
@@ -313,12 +326,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(one.groupBy(*EQUAL).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     copied = classes.where("copies > 1").select(*EQUAL, "class_id")
     member = sketches.join(copied, EQUAL, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
-    spread = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
+    # Dealt by band once, for a bucket's leader and for its members.
+    spread = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("band")).repartition("band")
     # One leader for all buckets of a group, so that its members are compared once, not once for each band.
     shared = spread.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = written(shared, "shared")
     buckets = written(spread.join(shared, "band"), "buckets")
-    led = _distances(buckets.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), source, again, width, "led")
+    led = _led(buckets, source, again, width)
     link = F.col("both") * den >= F.col("union") * num
     first = components.smallest_reachable(led.where(link).select("a", "b"))
     # What a leader has not settled: members of a bucket that lie in different components.
@@ -330,11 +343,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "placed",
     )
     open_ = written(placed.join(small(_unsettled(placed, "mixed")), "band"), "open")
-    lows = one.join(small(written(open_.where(f"members <= {LARGE}").select("id").distinct(), "low-ids")), "id", "left_semi").select("id", "low")
+    of_open = written(open_.groupBy("id").agg(F.first("c").alias("c"), F.max(F.col("members") <= LARGE).alias("few"), F.max(F.col("members") > LARGE).alias("many")), "open-ids")
+    lows = one.join(small(of_open.where("few").select("id")), "id", "left_semi").select("id", "low")
     few = written(open_.where(f"members <= {LARGE}").join(lows, "id"), "few")
     near = f"NOT {_unlike(bands * rows // 16, 4, bands * rows, num / den)} AND abs(fa - fb) <= {1 - num / den + 1e-9}"
     rest = _across(few, near)
-    many = written(open_.where(f"members > {LARGE}").select("id", "c").distinct(), "many")
+    many = written(of_open.where("many").select("id", "c"), "many")
     if not many.isEmpty():
         chosen = source.join(small(many.select("id"), KEYS_BYTES), "id", "left_semi")
         fine = written(chosen.mapInArrow(_fine(width), f"id {kind}, n_shingles long, h1 long, h2 long, bands array<long>, low array<long>, half array<int>"), "fine")
@@ -343,8 +357,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = written(dealt.join(small(_unsettled(dealt, "fine-mixed")), "band"), "fine-open").join(fine.select("id", "low", "half"), "id")
         alike = f"size(array_intersect(ha, hb)) * {num + den} >= {num} * (size(ha) + size(hb)) - {num + den}"  # one collision of halves is allowed for
         far_rest = _across(left.withColumn("far", F.lit(0.0)), f"NOT {_unlike(FINE // 64, 1, FINE, num / den)} AND {alike}", "half")
-        rest = rest.unionByName(far_rest).distinct()
-    late = _distances(rest, source, again, width, "late")
+        rest = rest.unionByName(far_rest)
+    late = _distances(rest.distinct(), source, again, width, "late")
     links = first.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(late.where(link).select("a", "b"))
     final = components.smallest_reachable(links).where("id != component")
     return (

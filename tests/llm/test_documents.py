@@ -211,6 +211,52 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.smallest_reachable(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_are_stars_settle_in_one_shuffle(spark, monkeypatch):
+    """Repeated links and loops too; two stars with a common leaf take one round more, a random graph what it needs."""
+    made = []
+
+    def kept(df, name):
+        made.append(name)
+        return scratch.written(df, name)
+
+    def found(links, kind="long"):
+        made.clear()
+        return {r.id: r.component for r in components.smallest_reachable(spark.createDataFrame(links, f"a {kind}, b {kind}")).collect()}
+
+    monkeypatch.setattr(components, "written", kept)
+    stars = [(3, i) for i in range(10, 30)] + [(i, 5) for i in range(40, 50)]
+    assert found(stars + stars + [(7, 7), (None, 3)]) == {i: 3 for i in (3, *range(10, 30))} | {i: 5 for i in (5, *range(40, 50))}
+    assert made == ["links", "low"]
+    assert found([*stars, (29, 5)]) == {i: 3 for i in (3, 5, *range(10, 30), *range(40, 50))}
+    assert made.count("low") <= 3
+    rng = np.random.default_rng(4)
+    links = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 200, (150, 2)).tolist()]
+    least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found(links, "string") == least
+
+
+def test_sets_meet_their_leaders_in_one_shuffle(spark, monkeypatch):
+    """A member's leaders go with its set: each pair of a bucket's leader and a member is compared once, and no list of ids is dealt out besides."""
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = scratch.written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(minhash_dedup, "written", kept)
+    base = [[f"w{i}x{g}" for i in range(90)] for g in range(4)]
+    rows = [(100 * g + i, " ".join(base[g][:i] + [f"e{i}"] + base[g][i + 1 :])) for g in range(4) for i in range(9)]
+    rows += [(1000 + g, " ".join(base[g][:45] + base[(g + 1) % 4][:45])) for g in range(4)] + [rows[5], (3000, rows[20][1])]
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = sorted(tuple(r) for r in tables["led-found"].select("a", "b").collect())
+    assert pairs == sorted(tuple(r) for r in tables["buckets"].where("id != leader").select("leader", "id").distinct().collect())
+    assert not {"shared", "led-ids"} & set(tables) and "late-ids" in tables
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=24), min_size=1, max_size=4))
 def test_suffix_repeats_match_brute_force(texts):
